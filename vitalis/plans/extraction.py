@@ -385,3 +385,10 @@ SQL = {
         LEFT JOIN (SELECT user_id AS subject_id, * EXCLUDE (user_id) FROM ev_wide) e USING (subject_id)
         LEFT JOIN line_wide l USING (stay_id)""",
 }
+
+WIDE_COLUMNS = (["subject_id", "stay_id", "o_orderstatus", "o_orderpriority", "o_totalprice", "c_mktsegment",
+                 "c_acctbal", "label"] + list(PART_FLAGS) + ["height_cm", "weight_kg", "bmi"]
+                + _WIDE_EV_COLS + _WIDE_LINE_COLS + ["status_f"] + [one_hot_name(s, "seg_") for s in SEGMENTS]
+                + ["red_or_temp"])
+WIDE_FLAGS = list(PART_FLAGS) + ["status_f", "red_or_temp"] + [one_hot_name(s, "seg_") for s in SEGMENTS]
+WIDE_NUMERIC = [c for c in WIDE_COLUMNS if c not in ("o_orderstatus", "o_orderpriority", "c_mktsegment")]
