@@ -10,6 +10,8 @@ points only affect the work split, never the result: the metrics are exact.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,44 +43,62 @@ def rates(conf: DataFrame) -> DataFrame:
     )
 
 
-def score_table(preds: DataFrame, label: str = "label", score: str = "score", n_buckets: int = 64) -> DataFrame:
-    """One row per distinct score: pos, neg, and pos_above / neg_above (strictly higher scores)."""
+def score_table(preds: DataFrame, label: str = "label", score: str = "score", n_buckets: int = 64,
+                group_cols: Sequence[str] = ()) -> DataFrame:
+    """One row per (group, distinct score): pos, neg, and pos_above / neg_above
+    (counts at strictly higher scores within the group)."""
+    g = list(group_cols)
     per = (preds.where(F.col(score).isNotNull())
-                .groupBy(F.col(score).cast("double").alias("score"))
+                .groupBy(*g, F.col(score).cast("double").alias("score"))
                 .agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg")))
     per = per.where(~F.isnan("score"))
     qs = per.approxQuantile("score", [i / n_buckets for i in range(1, n_buckets)], 1.0 / (4 * n_buckets)) \
         if n_buckets > 1 else []
     splits = [float("-inf")] + sorted(set(qs)) + [float("inf")]
     b = Bucketizer(splits=splits, inputCol="score", outputCol="_b").transform(per)
-    higher_in_bucket = Window.partitionBy("_b").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
+    higher_in_bucket = (Window.partitionBy(*g, "_b").orderBy(F.desc("score"))
+                              .rowsBetween(Window.unboundedPreceding, -1))
     local = b.select("*", F.coalesce(F.sum("pos").over(higher_in_bucket), F.lit(0)).alias("_lp"),
                      F.coalesce(F.sum("neg").over(higher_in_bucket), F.lit(0)).alias("_ln"))
-    totals = b.groupBy("_b").agg(F.sum("pos").alias("_tp"), F.sum("neg").alias("_tn"))
-    # the totals table has at most n_buckets rows: a single-partition window over it is fine
-    higher_buckets = Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_b", F.coalesce(F.sum("_tp").over(higher_buckets), F.lit(0)).alias("_op"),
+    totals = b.groupBy(*g, "_b").agg(F.sum("pos").alias("_tp"), F.sum("neg").alias("_tn"))
+    # at most (groups x n_buckets) rows: windows over it are cheap
+    higher_buckets = Window.partitionBy(*g).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*g, "_b", F.coalesce(F.sum("_tp").over(higher_buckets), F.lit(0)).alias("_op"),
                             F.coalesce(F.sum("_tn").over(higher_buckets), F.lit(0)).alias("_on"))
-    return (local.join(F.broadcast(offsets), "_b")
-                 .select("score", "pos", "neg", (F.col("_lp") + F.col("_op")).alias("pos_above"),
+    return (local.join(offsets, [*g, "_b"])
+                 .select(*g, "score", "pos", "neg", (F.col("_lp") + F.col("_op")).alias("pos_above"),
                          (F.col("_ln") + F.col("_on")).alias("neg_above")))
 
 
-def ranking_metrics(preds: DataFrame, label: str = "label", score: str = "score", n_buckets: int = 64) -> DataFrame:
-    """M10 + M11: tie-aware ROC-AUC (Mann-Whitney) and step-wise average precision.
-    Both are 0 when only one class is present."""
-    t = score_table(preds, label, score, n_buckets)
+def ranking_metrics(preds: DataFrame, label: str = "label", score: str = "score", n_buckets: int = 64,
+                    group_cols: Sequence[str] = ()) -> DataFrame:
+    """M10 + M11: tie-aware ROC-AUC (Mann-Whitney) and step-wise average precision,
+    per group.  Both are 0 when only one class is present."""
+    g = list(group_cols)
+    t = score_table(preds, label, score, n_buckets, g)
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     pa, na = F.col("pos_above").cast("double"), F.col("neg_above").cast("double")
-    agg = t.agg(F.sum(pos).alias("P"), F.sum(neg).alias("N"),
-                F.sum(neg * (pa + pos / 2.0)).alias("_auc_num"),
-                F.sum(F.when(F.col("pos") > 0, pos * (pa + pos) / (pa + pos + na + neg)).otherwise(0.0)).alias("_ap_num"))
+    aggs = [F.sum(pos).alias("P"), F.sum(neg).alias("N"),
+            F.sum(neg * (pa + pos / 2.0)).alias("_auc_num"),
+            F.sum(F.when(F.col("pos") > 0, pos * (pa + pos) / (pa + pos + na + neg)).otherwise(0.0)).alias("_ap_num")]
+    agg = t.groupBy(*g).agg(*aggs) if g else t.agg(*aggs)
     one_class = F.coalesce(F.col("P"), F.lit(0.0)) * F.coalesce(F.col("N"), F.lit(0.0)) == 0
     return agg.select(
+        *g,
         F.when(one_class, 0.0).otherwise(F.col("_auc_num") / (F.col("P") * F.col("N"))).alias("roc_auc"),
         F.when(one_class, 0.0).otherwise(F.col("_ap_num") / F.col("P")).alias("pr_auc"))
 
 
+def grouped_evaluate(preds: DataFrame, group_cols: Sequence[str], label: str = "label", pred: str = "prediction",
+                     score: str = "score", n_buckets: int = 64) -> DataFrame:
+    """All metrics per group (one row per group): a leaderboard in one job."""
+    g = list(group_cols)
+    y, p = F.col(label) == 1, F.col(pred) == 1
+    conf = preds.groupBy(*g).agg(F.count_if(y & p).alias("tp"), F.count_if(~y & ~p).alias("tn"),
+                                 F.count_if(~y & p).alias("fp"), F.count_if(y & ~p).alias("fn"))
+    return rates(conf).join(ranking_metrics(preds, label, score, n_buckets, g), g, "left")
+
+
 def evaluate(preds: DataFrame, label: str = "label", pred: str = "prediction", score: str = "score",
              n_buckets: int = 64) -> DataFrame:
     """All seven metrics plus the confusion counts in one row."""
