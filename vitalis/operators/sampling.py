@@ -66,14 +66,15 @@ def part_sizes(n: Column, fractions: Sequence[float]) -> list[Column]:
 
 def stratified_split(df: DataFrame, id_col: str, target: str, fractions: Sequence[float] = (0.6, 0.2, 0.2),
                      names: Sequence[str] = ("train", "val", "test"), seed: int = 42,
-                     split_col: str = "split", bits: int = 16) -> DataFrame:
+                     split_col: str = "split", bits: int = 16, tiebreak: Sequence[str] = ()) -> DataFrame:
     """D3: per class, the first ``round(f1*n)`` rows in hash order go to the first
     part, the next ``round(f2*n)`` to the second, the rest to the last.
 
     Class shares are preserved to within one row per class, and the split is
-    the same on every run and every cluster layout."""
+    the same on every run and every cluster layout.  When ``id_col`` is not
+    unique, ``tiebreak`` columns order rows sharing an id."""
     h = df.withColumn("_h", hash_key(id_col, seed))
-    r = ranked(h, [target], "_h", [id_col], "_rank", "_n", bits)
+    r = ranked(h, [target], "_h", [id_col, *tiebreak], "_rank", "_n", bits)
     cuts = part_sizes(F.col("_n"), fractions)
     label = F.lit(names[-1])
     for cut, name in reversed(list(zip(cuts, names[:-1]))):

@@ -101,13 +101,13 @@ def sql_hash(id_expr: str, seed: int = SEED) -> str:
     return f"('0x' || substr(md5(CAST({id_expr} AS VARCHAR) || '|{seed}'), 1, 15))::BIGINT"
 
 
-def sql_split(src: str, id_col: str, target: str) -> str:
+def sql_split(src: str, id_col: str, target: str, tiebreak: str = "") -> str:
     """Relation (all columns of ``src`` + split) using the same rank rule as the operator."""
     c1 = f"floor(n * {FRACTIONS[0]} + 0.5)"
     c2 = f"{c1} + floor(n * {FRACTIONS[1]} + 0.5)"
     return f"""(SELECT * EXCLUDE (h, rk, n),
         CASE WHEN rk < {c1} THEN 'train' WHEN rk < {c2} THEN 'val' ELSE 'test' END AS split
-      FROM (SELECT *, row_number() OVER (PARTITION BY {target} ORDER BY h, {id_col}) - 1 AS rk,
+      FROM (SELECT *, row_number() OVER (PARTITION BY {target} ORDER BY h, {id_col}{', ' + tiebreak if tiebreak else ''}) - 1 AS rk,
                    count(*) OVER (PARTITION BY {target}) AS n
             FROM (SELECT *, {sql_hash(id_col)} AS h FROM {src})))"""
 
