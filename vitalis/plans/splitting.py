@@ -156,3 +156,76 @@ def _impute_sql() -> str:
 
 
 SQL["d2_impute"] = _impute_sql()
+
+# ---------------------------------------------------------------------------
+# K-NN and SMOTE on embeddings (class 3 against the rest)
+# ---------------------------------------------------------------------------
+EMB_DIM = 64
+EMB_CLASS = 3
+SMOTE_K = 5
+
+
+def embedding_rows(spark, sf) -> DataFrame:
+    e = table(spark, sf, "embeddings")
+    return e.select("vec_id", (F.col("label") == EMB_CLASS).cast("int").alias("y"),
+                    *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(EMB_DIM)])
+
+
+def q_knn(spark, sf):
+    from ..operators.neighbors import exact_knn
+    e = embedding_rows(spark, sf).where(F.col("y") == 1)
+    pts = e.select(F.col("vec_id").alias("id"), F.array(*[f"e{i}" for i in range(EMB_DIM)]).alias("x"))
+    n = pts.count()
+    return rounded(exact_knn(pts, min(SMOTE_K, n - 1)))
+
+
+def q_smote(spark, sf):
+    from ..operators.smote import smote
+    syn, _ = smote(embedding_rows(spark, sf), "vec_id", "y", [f"e{i}" for i in range(EMB_DIM)], k=SMOTE_K, seed=SEED)
+    total = sum((F.col(f"e{i}") for i in range(EMB_DIM)), F.lit(0.0))
+    return rounded(syn.select("vec_id", "_base_id", "_neighbor_id", "gap", "e0", "e1", total.alias("x_sum")))
+
+
+def q_smote_counts(spark, sf):
+    from ..operators.smote import smote_union
+    out = smote_union(embedding_rows(spark, sf), "vec_id", "y", [f"e{i}" for i in range(EMB_DIM)], k=SMOTE_K, seed=SEED)
+    return out.groupBy("y", "synthetic").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES.update({"d7_exact_knn": q_knn, "d7_smote": q_smote, "d7_smote_counts": q_smote_counts})
+
+_EMB = f"""pts AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE label = {EMB_CLASS}),
+kk AS (SELECT least({SMOTE_K}, count(*) - 1) AS k, count(*) AS n_min FROM pts),
+knn AS (SELECT q_id, c_id, rank, dist FROM (
+    SELECT q.id AS q_id, c.id AS c_id,
+           row_number() OVER (PARTITION BY q.id ORDER BY list_sum(list_transform(range(1, {EMB_DIM} + 1),
+                 lambda i: (q.x[i] - c.x[i]) * (q.x[i] - c.x[i]))), c.id) AS rank,
+           sqrt(list_sum(list_transform(range(1, {EMB_DIM} + 1), lambda i: (q.x[i] - c.x[i]) * (q.x[i] - c.x[i])))) AS dist
+    FROM pts q JOIN pts c ON q.id <> c.id) WHERE rank <= (SELECT k FROM kk))"""
+
+
+def _draw(tag: str) -> str:
+    return f"('0x' || substr(md5(CAST(j AS VARCHAR) || '|{tag}|{SEED}'), 1, 15))::BIGINT"
+
+
+_SMOTE = f"""{_EMB},
+idx AS (SELECT id, x, row_number() OVER (ORDER BY {sql_hash('id')}, id) - 1 AS base_idx FROM pts),
+gen AS (SELECT j, {_draw('base')} % (SELECT n_min FROM kk) AS base_idx,
+               CAST({_draw('nn')} % (SELECT k FROM kk) + 1 AS INTEGER) AS rank,
+               CAST({_draw('gap')} AS DOUBLE) / {float(2 ** 60)!r} AS gap
+        FROM (SELECT unnest(range((SELECT count(*) FROM embeddings WHERE label <> {EMB_CLASS})
+                                  - (SELECT n_min FROM kk))) AS j)),
+syn AS (SELECT g.j, i.id AS base_id, n.c_id AS neighbor_id, g.gap,
+               list_transform(range(1, {EMB_DIM} + 1), lambda t: i.x[t] + g.gap * (p.x[t] - i.x[t])) AS nx
+        FROM gen g JOIN idx i USING (base_idx) JOIN knn n ON n.q_id = i.id AND n.rank = g.rank
+        JOIN pts p ON p.id = n.c_id)"""
+
+SQL.update({
+    "d7_exact_knn": f"WITH {_EMB} SELECT q_id, c_id, rank, {sql_round('dist')} AS dist FROM knn",
+    "d7_smote": f"""WITH {_SMOTE} SELECT -(j + 1) AS vec_id, base_id AS _base_id, neighbor_id AS _neighbor_id,
+        {sql_round('gap')} AS gap, {sql_round('nx[1]')} AS e0, {sql_round('nx[2]')} AS e1,
+        {sql_round('list_sum(nx)')} AS x_sum FROM syn""",
+    "d7_smote_counts": f"""SELECT CAST(label = {EMB_CLASS} AS INTEGER) AS y, 0 AS synthetic, count(*) AS n FROM embeddings GROUP BY 1
+        UNION ALL SELECT 1, 1, (SELECT count(*) FROM embeddings WHERE label <> {EMB_CLASS})
+                                - (SELECT count(*) FROM embeddings WHERE label = {EMB_CLASS})""",
+})
