@@ -119,6 +119,8 @@ def anthropometrics(measures: DataFrame, entity: str, aliases: Mapping[str, Sequ
     computed from height and weight when both exist.
     """
     def pick(names: Sequence[str]):
+        if not names:
+            return F.lit(None).cast("double")
         if mode == "row":
             return F.coalesce(*[F.col(n) for n in names])
         for n in names:
