@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import extraction
 
-_MODULES = ["extraction", "quality", "splitting", "evaluation", "modelling", "reporting", "sources"]
+_MODULES = ["extraction", "quality", "splitting", "evaluation", "modelling", "reporting", "sources", "incremental"]
 
 
 def _loaded():
