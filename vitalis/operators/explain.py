@@ -214,4 +214,6 @@ def tree_attributions(df: DataFrame, id_col: str, features: Sequence[str], fitte
             yield pd.DataFrame(out, columns=["model_name", "row_id", "feature", "value", "attribution"])
 
     rows = df.select(F.col(id_col).cast("bigint").alias("_rid"), *[F.col(f).cast("double") for f in feats])
+    # spread the rows over the cluster: each row costs trees x leaves x depth^2
+    rows = rows.repartition(max(1, spark.sparkContext.defaultParallelism), "_rid")
     return rows.mapInPandas(explain, LONG_SCHEMA), expected

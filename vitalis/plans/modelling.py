@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import explain as EX
 from ..operators import models as MD
 from ..operators import prep as P
 from ..operators import quality as Q
@@ -70,7 +71,34 @@ def tuning(spark, sf, models=MD.BOOSTED, n_trials=None):
     return rounded(SR.tuning_matrix(train_variants(enc), val, test, feats, "label", models, n_trials))
 
 
+EXPLAIN_ROWS = 1000
+
+
+def _rf_and_test(spark, sf):
+    enc, feats = model_table(spark, sf)
+    key = ("rf", id(spark), sf)
+    if key not in _CACHE:
+        _CACHE[key] = MD.fit("Random_Forest", enc.where(F.col("split") == "train"), feats, "label")
+    return _CACHE[key], enc.where(F.col("split") == "test"), feats
+
+
+def q_batch_scoring(spark, sf):
+    """M7: predicted class and P(y=1) of the fitted forest on the test rows."""
+    fitted, test, _ = _rf_and_test(spark, sf)
+    return rounded(fitted.transform(test).select("subject_id", "label", "prediction", "score"))
+
+
+def q_tree_attributions(spark, sf):
+    """Exact TreeSHAP of the forest for at most 1000 sampled test rows."""
+    fitted, test, feats = _rf_and_test(spark, sf)
+    rows = S.sample_rows(test, "subject_id", EXPLAIN_ROWS, seed=SEED)
+    attr, expected = EX.tree_attributions(rows, "subject_id", feats, fitted.model, "Random_Forest")
+    return rounded(attr.withColumn("expected_value", F.lit(expected)))
+
+
 QUERIES = {
     "m12_leaderboard": q_leaderboard,
     "m13_search_lr": q_search_lr,
+    "m7_batch_scoring": q_batch_scoring,
+    "m17_tree_attributions": q_tree_attributions,
 }
