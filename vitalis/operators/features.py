@@ -69,11 +69,28 @@ def any_flags(codes: DataFrame, entity: str, code_col: str, flags: Mapping[str,
     per = codes.groupBy(entity).agg(*aggs)
     if entities is None:
         return per
+    return _default_zero(per, entity, list(flags), entities)
+
+
+def _default_zero(per: DataFrame, entity: str, flags: Sequence[str], entities: DataFrame) -> DataFrame:
     base = entities.select(entity).distinct()
     out = base.join(per, on=entity, how="left")
     return out.select(entity, *[F.coalesce(F.col(n), F.lit(0)).cast("int").alias(n) for n in flags])
 
 
+def flagged_only(flags_df: DataFrame, flags: Sequence[str]) -> DataFrame:
+    """Rows of a per-code flag table with at least one flag set."""
+    return flags_df.where(F.greatest(*[F.col(n) for n in flags]) == 1) if len(flags) > 1 else \
+        flags_df.where(F.col(flags[0]) == 1)
+
+
+def rollup_flags(df: DataFrame, entity: str, flags: Sequence[str], entities: DataFrame | None = None) -> DataFrame:
+    """Lift 0/1 flags to a coarser entity (``max`` per entity, combined
+    map-side), e.g. part -> order -> customer; listed entities without rows get 0."""
+    per = df.groupBy(entity).agg(*[F.max(n).cast("int").alias(n) for n in flags])
+    return per if entities is None else _default_zero(per, entity, flags, entities)
+
+
 def keyword_flags(rows: DataFrame, entity: str, name_col: str, value_col: str,
                   flags: Mapping[str, tuple[Sequence[str], str]], entities: DataFrame | None = None) -> DataFrame:
     """A5: flag = 1 when some row's name contains a keyword (case-insensitive)

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,15 +44,29 @@ def rates(conf: DataFrame) -> DataFrame:
     )
 
 
+def score_counts(preds: DataFrame, label: str = "label", pred: str | None = "prediction", score: str = "score",
+                 group_cols: Sequence[str] = ()) -> DataFrame:
+    """The one pass over the predictions: positives and negatives per
+    (group, score, predicted class).  Every metric is derived from this table,
+    which is much smaller than the data (ties and classes collapse) and is
+    persisted (recomputable from lineage) because several metrics read it."""
+    g = list(group_cols)
+    keys = [*g, F.col(score).cast("double").alias("score")]
+    if pred:
+        keys.append(F.col(pred).cast("int").alias("prediction"))
+    counts = (preds.groupBy(*keys)
+                   .agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg")))
+    return counts.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def score_table(preds: DataFrame, label: str = "label", score: str = "score", n_buckets: int = 64,
-                group_cols: Sequence[str] = ()) -> DataFrame:
+                group_cols: Sequence[str] = (), counts: DataFrame | None = None) -> DataFrame:
     """One row per (group, distinct score): pos, neg, and pos_above / neg_above
     (counts at strictly higher scores within the group)."""
     g = list(group_cols)
-    per = (preds.where(F.col(score).isNotNull())
-                .groupBy(*g, F.col(score).cast("double").alias("score"))
-                .agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg")))
-    per = per.where(~F.isnan("score"))
+    c = counts if counts is not None else score_counts(preds, label, None, score, g)
+    per = (c.where(F.col("score").isNotNull() & ~F.isnan("score"))
+            .groupBy(*g, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
     qs = per.approxQuantile("score", [i / n_buckets for i in range(1, n_buckets)], 1.0 / (4 * n_buckets)) \
         if n_buckets > 1 else []
     splits = [float("-inf")] + sorted(set(qs)) + [float("inf")]
@@ -71,11 +86,11 @@ def score_table(preds: DataFrame, label: str = "label", score: str = "score", n_
 
 
 def ranking_metrics(preds: DataFrame, label: str = "label", score: str = "score", n_buckets: int = 64,
-                    group_cols: Sequence[str] = ()) -> DataFrame:
+                    group_cols: Sequence[str] = (), counts: DataFrame | None = None) -> DataFrame:
     """M10 + M11: tie-aware ROC-AUC (Mann-Whitney) and step-wise average precision,
     per group.  Both are 0 when only one class is present."""
     g = list(group_cols)
-    t = score_table(preds, label, score, n_buckets, g)
+    t = score_table(preds, label, score, n_buckets, g, counts)
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     pa, na = F.col("pos_above").cast("double"), F.col("neg_above").cast("double")
     aggs = [F.sum(pos).alias("P"), F.sum(neg).alias("N"),
@@ -89,20 +104,32 @@ def ranking_metrics(preds: DataFrame, label: str = "label", score: str = "score"
         F.when(one_class, 0.0).otherwise(F.col("_ap_num") / F.col("P")).alias("pr_auc"))
 
 
+def _confusion_from_counts(counts: DataFrame, g: Sequence[str]) -> DataFrame:
+    p = F.col("prediction") == 1
+    aggs = [F.sum(F.when(p, F.col("pos")).otherwise(0)).alias("tp"),
+            F.sum(F.when(~p, F.col("neg")).otherwise(0)).alias("tn"),
+            F.sum(F.when(p, F.col("neg")).otherwise(0)).alias("fp"),
+            F.sum(F.when(~p, F.col("pos")).otherwise(0)).alias("fn")]
+    conf = counts.groupBy(*g).agg(*aggs) if g else counts.agg(*aggs)
+    return conf.select(*g, *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in ("tp", "tn", "fp", "fn")])
+
+
 def grouped_evaluate(preds: DataFrame, group_cols: Sequence[str], label: str = "label", pred: str = "prediction",
                      score: str = "score", n_buckets: int = 64) -> DataFrame:
-    """All metrics per group (one row per group): a leaderboard in one job."""
+    """All metrics per group (one row per group): a leaderboard from one pass
+    over the predictions."""
     g = list(group_cols)
-    y, p = F.col(label) == 1, F.col(pred) == 1
-    conf = preds.groupBy(*g).agg(F.count_if(y & p).alias("tp"), F.count_if(~y & ~p).alias("tn"),
-                                 F.count_if(~y & p).alias("fp"), F.count_if(y & ~p).alias("fn"))
-    return rates(conf).join(ranking_metrics(preds, label, score, n_buckets, g), g, "left")
+    counts = score_counts(preds, label, pred, score, g)
+    return rates(_confusion_from_counts(counts, g)).join(
+        ranking_metrics(preds, label, score, n_buckets, g, counts), g, "left")
 
 
 def evaluate(preds: DataFrame, label: str = "label", pred: str = "prediction", score: str = "score",
              n_buckets: int = 64) -> DataFrame:
-    """All seven metrics plus the confusion counts in one row."""
-    return rates(confusion(preds, label, pred)).crossJoin(ranking_metrics(preds, label, score, n_buckets))
+    """All seven metrics plus the confusion counts in one row, from one pass."""
+    counts = score_counts(preds, label, pred, score)
+    return rates(_confusion_from_counts(counts, [])).crossJoin(
+        ranking_metrics(preds, label, score, n_buckets, (), counts))
 
 
 def evaluate_dict(preds: DataFrame, **kw) -> dict:

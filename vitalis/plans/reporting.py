@@ -51,14 +51,12 @@ def line_board_input(spark: SparkSession, sf: str) -> DataFrame:
                      F.col("l_linestatus").alias("variant"), "l_discount", "l_tax", "l_quantity")
     split = S.stratified_split(base, "line_id", "label", FRACTIONS, seed=SEED,
                                tiebreak=LINE_TIEBREAK).where(F.col("split") != "train")
-    parts = [split.select("split", "variant", F.lit(name).alias("model"), "label",
-                          F.expr(expr).cast("double").alias("score"),
-                          (F.expr(expr) >= thr).cast("int").alias("prediction"))
-             for name, (expr, thr) in SCORERS.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    # all scorers from one pass: one (model, score, prediction) struct per scorer, exploded
+    scored = F.explode(F.array(*[F.struct(F.lit(name).alias("model"), F.expr(expr).cast("double").alias("score"),
+                                          (F.expr(expr) >= thr).cast("int").alias("prediction"))
+                                 for name, (expr, thr) in SCORERS.items()])).alias("_s")
+    return split.select("split", "variant", "label", scored).select("split", "variant", "_s.model", "label",
+                                                                     "_s.score", "_s.prediction")
 
 
 def boards(spark, sf) -> DataFrame:
