@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import either_flag, indicator, one_hot, one_hot_name
-from ..operators.cohort import attach, first_per_key, horizon_labels, lookup, wide_join, window_join
+from ..operators.cohort import attach, first_per_key, horizon_labels, in_cohort, lookup, wide_join, window_join
 from ..operators.features import (anthropometrics, any_flags, first_measure, flagged_only, keyword_flags,
                                   measure_features, rollup_flags, window_stats)
 from ..sources.codes import INCH_TO_CM, LAB_STATS, LB_TO_KG, VITAL_STATS
@@ -42,6 +42,7 @@ CONVERSATION_FLAGS = {
 }
 MEASURE_ALIASES = {"height": ["view", "click"], "weight": ["purchase", "signup"], "bmi": ["bmi"]}
 SEGMENTS = ["BUILDING", "AUTOMOBILE", "HOUSEHOLD", "FURNITURE"]
+COHORT_ITEMS = ["F"]
 
 
 # ---------------------------------------------------------------------------
@@ -179,6 +180,16 @@ def q_code_flags(spark: SparkSession, sf: str) -> DataFrame:
     return part_flags(spark, sf)
 
 
+def q_cohort_events(spark: SparkSession, sf: str) -> DataFrame:
+    """S3 + J3 + P3: item-filtered lineitem scan (pushed ``IN`` filter) kept to
+    the cohort's stays by a left-semi join, counted per stay and item."""
+    stays = first_stays(spark, sf)
+    li = (table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("stay_id"), "l_linestatus")
+          .where(F.col("l_linestatus").isin(COHORT_ITEMS)))
+    kept = in_cohort(li, stays, "stay_id")
+    return kept.groupBy("stay_id", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
+
+
 def q_code_flags_rows(spark: SparkSession, sf: str) -> DataFrame:
     """A4 on (subject, code) fact rows, the shape of a diagnoses table."""
     return any_flags(code_rows(spark, sf), "subject_id", "code", PART_FLAGS, entities=first_stays(spark, sf))
@@ -232,6 +243,7 @@ QUERIES = {
     "a3_line_window_wide": q_line_window_wide,
     "a4_code_flags": q_code_flags,
     "a4_code_flags_rows": q_code_flags_rows,
+    "j3_cohort_events": q_cohort_events,
     "a5_keyword_flags": q_keyword_flags,
     "a6_first_measure": q_first_measure,
     "p12_anthropometrics": q_anthropometrics,
@@ -381,6 +393,10 @@ SQL = {
     "a3_line_window_wide": f"WITH {SQL_FIRST_STAYS}, {SQL_LINE_LONG} SELECT * FROM line_wide",
     "a4_code_flags": f"WITH {SQL_FIRST_STAYS}, {SQL_FLAGS} SELECT * FROM flags",
     "a4_code_flags_rows": f"WITH {SQL_FIRST_STAYS}, {SQL_FLAGS} SELECT * FROM flags",
+    "j3_cohort_events": f"""WITH {SQL_FIRST_STAYS}
+        SELECT l_orderkey AS stay_id, l_linestatus, count(*) AS n FROM lineitem
+        WHERE l_linestatus IN ({', '.join(repr(i) for i in COHORT_ITEMS)})
+          AND l_orderkey IN (SELECT stay_id FROM first_stays) GROUP BY ALL""",
     "a5_keyword_flags": "SELECT conv_id, " + ", ".join(
         f"max(CAST({_kw_sql(k, p)} AS INTEGER)) AS {n}" for n, (k, p) in CONVERSATION_FLAGS.items())
         + " FROM conversations GROUP BY conv_id",

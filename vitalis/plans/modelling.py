@@ -41,18 +41,29 @@ def model_table(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
     enc = Q.impute(enc, means).checkpoint(eager=True)
     feats = P.feature_columns(enc, "label")
     _CACHE[key] = (enc, feats)
+    _CACHE[("cats",) + key] = cats
     return enc, feats
 
 
-def train_variants(enc: DataFrame) -> dict[str, DataFrame]:
+def train_variants(enc: DataFrame, feats: list[str] | None = None, cats: list[str] | None = None) -> dict[str, DataFrame]:
+    """The original train part, its down-sampled and its SMOTE variants
+    (validation and test stay the same)."""
+    from ..operators.smote import smote_union
     train = enc.where(F.col("split") == "train")
-    return {"original": train, "downsampling": S.downsample(train, "subject_id", "label", seed=SEED, shuffle_col=None)}
+    out = {"original": train,
+           "downsampling": S.downsample(train, "subject_id", "label", seed=SEED, shuffle_col=None)}
+    if feats:
+        sm = smote_union(train, "subject_id", "label", feats, categorical=cats or [], seed=SEED)
+        out["smote"] = sm.drop("synthetic")
+    # every variant feeds several fits: materialise each once (reliable checkpoint)
+    return {k: v.checkpoint(eager=True) for k, v in out.items()}
 
 
 def q_leaderboard(spark, sf):
     enc, feats = model_table(spark, sf)
     val = enc.where(F.col("split") == "val")
-    return rounded(MD.run_grid(train_variants(enc), val, feats, "label"))
+    cats = _CACHE.get(("cats", id(spark), sf), [])
+    return rounded(MD.run_grid(train_variants(enc, feats, cats), val, feats, "label", parallel=6))
 
 
 def q_search_lr(spark, sf):

@@ -63,9 +63,18 @@ def q_sample_rows(spark, sf):
     return S.sample_rows(line_rows(spark, sf), "line_id", SAMPLE_N, seed=SEED)
 
 
+DOC_SMOTE_FEATURES = ["n_chars", "quality", "text_len", "n_digits", "n_upper"]
+
+
 def q_variant_sizes(spark, sf):
-    tr = train_part(spark, sf)
-    v = S.variants({"original": tr, "downsampling": S.downsample(tr, "doc_id", "toxic", seed=SEED)})
+    """Original / down-sampled / SMOTE train variants of the document table."""
+    from ..operators.smote import smote_union
+    from .reporting import doc_features
+    d = S.stratified_split(doc_features(spark, sf), "doc_id", "toxic", FRACTIONS, seed=SEED)
+    tr = d.where(F.col("split") == "train").drop("split")
+    v = S.variants({"original": tr, "downsampling": S.downsample(tr, "doc_id", "toxic", seed=SEED),
+                    "smote": smote_union(tr, "doc_id", "toxic", DOC_SMOTE_FEATURES, categorical=["quality"],
+                                         seed=SEED)})
     return v.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("toxic") == 1).alias("positives"))
 
 
@@ -143,7 +152,9 @@ SQL = {
     "d6_downsample_lines": f"SELECT * FROM {sql_downsample(LINES, 'line_id', 'label')}",
     "d9_sample_rows": f"SELECT line_id, label FROM {LINES} ORDER BY {sql_hash('line_id')}, line_id LIMIT {SAMPLE_N}",
     "d8_variant_sizes": f"""SELECT 'original' AS variant, count(*) AS n, count_if(toxic = 1) AS positives FROM {TRAIN}
-        UNION ALL SELECT 'downsampling', count(*), count_if(toxic = 1) FROM {sql_downsample(TRAIN, 'doc_id', 'toxic')}""",
+        UNION ALL SELECT 'downsampling', count(*), count_if(toxic = 1) FROM {sql_downsample(TRAIN, 'doc_id', 'toxic')}
+        UNION ALL SELECT 'smote', 2 * greatest(count_if(toxic = 1), count_if(toxic <> 1)),
+                         greatest(count_if(toxic = 1), count_if(toxic <> 1)) FROM {TRAIN}""",
 }
 
 
