@@ -96,3 +96,20 @@ def test_table_mode_alias_and_timestamp_parse(spark):
     assert table_mode[1] is None and row_mode[1] == pytest.approx(60 * 2.54)
     t = spark.createDataFrame([("2024-01-02 03:04:05",)], "t string").select(to_ts("t").alias("t")).first()["t"]
     assert (t.year, t.hour, t.second) == (2024, 3, 5)
+
+
+def test_svc_rbf_features_and_linear_kernel(spark, tiny):
+    tr, val = tiny.where("split = 'train'"), tiny.where("split = 'val'")
+    rbf = MD.fit("SVC", tr, ["a", "b", "c"], "label")
+    lin = MD.fit("SVC", tr, ["a", "b", "c"], "label", params={"kernel": "linear", "gamma": "auto"})
+    assert rbf.rff is not None and rbf.rff[0].shape == (MD.RFF_COMPONENTS, 3)
+    assert lin.rff is None
+    for f in (rbf, lin):
+        r = MD.evaluate_model(f, val)
+        assert 0.0 <= r["roc_auc"] <= 1.0
+    # the feature map approximates the RBF kernel
+    w, b = MD.rff_spec(2, 0.5, 4000, seed=1)
+    x, y = np.array([0.3, -0.2]), np.array([-0.1, 0.4])
+    zx = np.sqrt(2 / 4000) * np.cos(w @ x + b)
+    zy = np.sqrt(2 / 4000) * np.cos(w @ y + b)
+    assert abs(zx @ zy - np.exp(-0.5 * ((x - y) ** 2).sum())) < 0.05

@@ -9,8 +9,9 @@ single-machine optimiser, and seeded independent draws keep every trial
 reproducible and parallel.
 
 Parameters without an MLlib counterpart (reg_alpha, reg_lambda, num_leaves,
-min_samples_split, gamma, the RBF kernel) are drawn and recorded but do not
-change the fit; the mapping is in ``to_mllib``.
+min_samples_split) are drawn and recorded but do not change the fit; the SVC
+kernel and gamma select the random-Fourier RBF map (see ``models``); the
+mapping is in ``to_mllib``.
 """
 
 from __future__ import annotations
@@ -106,6 +107,9 @@ def to_mllib(model: str, params: dict, weight_sum: float | None = None) -> dict:
         p["regParam"] = 1.0 / (float(params["C"]) * n)
         if model == "Logistic_Regression":
             p["elasticNetParam"] = 1.0 if params["penalty"] == "l1" else 0.0
+        else:  # consumed by models.fit: random-Fourier RBF map or linear
+            p["kernel"] = params["kernel"]
+            p["gamma"] = params["gamma"]
     return p
 
 
