@@ -25,6 +25,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LONG_SCHEMA = "model_name string, row_id bigint, feature string, value double, attribution double"
+# The forest is shipped to every executor; its size is the model's, not the
+# data's, but deep forests on huge data can be large.  Refuse rather than cap.
+MAX_FOREST_NODES = 20_000_000
 
 
 def to_long(df: DataFrame, id_col: str, features: Sequence[str], value_col: str = "value") -> DataFrame:
@@ -80,6 +83,9 @@ def forest_nodes(spark: SparkSession, model, scratch: str | None = None) -> tupl
     path = os.path.join(base.replace("file:", ""), f"model-{uuid.uuid4().hex}")
     model.write().overwrite().save(path)
     nodes = spark.read.parquet(os.path.join(path, "data"))
+    n_nodes = nodes.count()
+    if n_nodes > MAX_FOREST_NODES:
+        raise ValueError(f"forest has {n_nodes} nodes (> {MAX_FOREST_NODES}); too large to broadcast for TreeSHAP")
     kind = "gbt" if "GBT" in type(model).__name__ else "rf"
     if "treeID" not in nodes.columns:  # single decision tree
         nodes = nodes.withColumn("treeID", F.lit(0)).withColumn("nodeData", F.struct("*"))

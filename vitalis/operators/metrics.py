@@ -17,6 +17,10 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# score ranges: each range is one window partition, so 1024 keeps a range small
+# even with billions of distinct scores; the offset table has <= 1024 rows.
+N_BUCKETS = 1024
+
 
 def confusion(preds: DataFrame, label: str = "label", pred: str = "prediction") -> DataFrame:
     """M8: TP, TN, FP, FN in one pass."""
@@ -59,7 +63,7 @@ def score_counts(preds: DataFrame, label: str = "label", pred: str | None = "pre
     return counts.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def score_table(preds: DataFrame, label: str = "label", score: str = "score", n_buckets: int = 64,
+def score_table(preds: DataFrame, label: str = "label", score: str = "score", n_buckets: int = N_BUCKETS,
                 group_cols: Sequence[str] = (), counts: DataFrame | None = None) -> DataFrame:
     """One row per (group, distinct score): pos, neg, and pos_above / neg_above
     (counts at strictly higher scores within the group)."""
@@ -85,7 +89,7 @@ def score_table(preds: DataFrame, label: str = "label", score: str = "score", n_
                          (F.col("_ln") + F.col("_on")).alias("neg_above")))
 
 
-def ranking_metrics(preds: DataFrame, label: str = "label", score: str = "score", n_buckets: int = 64,
+def ranking_metrics(preds: DataFrame, label: str = "label", score: str = "score", n_buckets: int = N_BUCKETS,
                     group_cols: Sequence[str] = (), counts: DataFrame | None = None) -> DataFrame:
     """M10 + M11: tie-aware ROC-AUC (Mann-Whitney) and step-wise average precision,
     per group.  Both are 0 when only one class is present."""
@@ -115,7 +119,7 @@ def _confusion_from_counts(counts: DataFrame, g: Sequence[str]) -> DataFrame:
 
 
 def grouped_evaluate(preds: DataFrame, group_cols: Sequence[str], label: str = "label", pred: str = "prediction",
-                     score: str = "score", n_buckets: int = 64) -> DataFrame:
+                     score: str = "score", n_buckets: int = N_BUCKETS) -> DataFrame:
     """All metrics per group (one row per group): a leaderboard from one pass
     over the predictions."""
     g = list(group_cols)
@@ -125,7 +129,7 @@ def grouped_evaluate(preds: DataFrame, group_cols: Sequence[str], label: str = "
 
 
 def evaluate(preds: DataFrame, label: str = "label", pred: str = "prediction", score: str = "score",
-             n_buckets: int = 64) -> DataFrame:
+             n_buckets: int = N_BUCKETS) -> DataFrame:
     """All seven metrics plus the confusion counts in one row, from one pass."""
     counts = score_counts(preds, label, pred, score)
     return rates(_confusion_from_counts(counts, [])).crossJoin(

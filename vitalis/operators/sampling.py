@@ -21,6 +21,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HASH_BITS = 60
+# 2**20 hash buckets: at 1e11 rows about 1e5 rows per (class, bucket) window,
+# while the (class, bucket) offset table stays <= 1M rows per class.
+RANK_BITS = 20
 
 
 def hash_key(id_col: str | Column, seed: int = 42) -> Column:
@@ -31,7 +34,7 @@ def hash_key(id_col: str | Column, seed: int = 42) -> Column:
 
 
 def ranked(df: DataFrame, group_cols: Sequence[str], hash_col: str, tiebreak: Sequence[str],
-           rank_col: str = "rank", size_col: str | None = "group_size", bits: int = 16) -> DataFrame:
+           rank_col: str = "rank", size_col: str | None = "group_size", bits: int = RANK_BITS) -> DataFrame:
     """Add the exact 0-based rank of each row inside ``group_cols`` ordered by
     (``hash_col``, ``tiebreak``), and optionally the group size.
 
@@ -66,7 +69,7 @@ def part_sizes(n: Column, fractions: Sequence[float]) -> list[Column]:
 
 def stratified_split(df: DataFrame, id_col: str, target: str, fractions: Sequence[float] = (0.6, 0.2, 0.2),
                      names: Sequence[str] = ("train", "val", "test"), seed: int = 42,
-                     split_col: str = "split", bits: int = 16, tiebreak: Sequence[str] = ()) -> DataFrame:
+                     split_col: str = "split", bits: int = RANK_BITS, tiebreak: Sequence[str] = ()) -> DataFrame:
     """D3: per class, the first ``round(f1*n)`` rows in hash order go to the first
     part, the next ``round(f2*n)`` to the second, the rest to the last.
 
@@ -107,7 +110,7 @@ def class_counts(df: DataFrame, target: str) -> dict:
     return {r[0]: r[1] for r in df.groupBy(target).count().collect()}
 
 
-def downsample(df: DataFrame, id_col: str, target: str, seed: int = 42, bits: int = 16,
+def downsample(df: DataFrame, id_col: str, target: str, seed: int = 42, bits: int = RANK_BITS,
                shuffle_col: str | None = "shuffle_key") -> DataFrame:
     """Every class is cut to the size of the smallest class, drawing without
     replacement in hash order; the largest class is found, not assumed.
