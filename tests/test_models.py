@@ -100,8 +100,8 @@ def test_table_mode_alias_and_timestamp_parse(spark):
 
 def test_svc_rbf_features_and_linear_kernel(spark, tiny):
     tr, val = tiny.where("split = 'train'"), tiny.where("split = 'val'")
-    rbf = MD.fit("SVC", tr, ["a", "b", "c"], "label")
-    lin = MD.fit("SVC", tr, ["a", "b", "c"], "label", params={"kernel": "linear", "gamma": "auto"})
+    rbf = MD.fit("SVC", tr, ["a", "b", "c"], "label", params={"maxIter": 20})
+    lin = MD.fit("SVC", tr, ["a", "b", "c"], "label", params={"kernel": "linear", "gamma": "auto", "maxIter": 20})
     assert rbf.rff is not None and rbf.rff[0].shape == (MD.RFF_COMPONENTS, 3)
     assert lin.rff is None
     for f in (rbf, lin):

@@ -26,14 +26,13 @@ import os
 import traceback
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
 
 import numpy as np
 
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -101,15 +100,16 @@ def rff_spec(n_features: int, gamma: float, n_components: int = RFF_COMPONENTS,
     return w, b
 
 
-def rff_columns(features: Sequence[str], spec) -> list:
-    """The feature map as built-in column expressions (stays in codegen)."""
+def rff_array(features: Sequence[str], spec):
+    """The feature map as one array expression: W and b fold into literals, one
+    ``aggregate`` per component (no per-component columns, so no code blow-up)."""
     w, b = spec
     scale = math.sqrt(2.0 / len(b))
-    cols = []
-    for j in range(len(b)):
-        dot = reduce(lambda x, y: x + y, [F.col(f) * float(w[j, i]) for i, f in enumerate(features)])
-        cols.append((F.lit(scale) * F.cos(dot + float(b[j]))).alias(f"_rff{j}"))
-    return cols
+    rows = F.array(*[F.struct(F.array(*[F.lit(float(v)) for v in w[j]]).alias("w"), F.lit(float(b[j])).alias("b"))
+                     for j in range(len(b))])
+    x = F.array(*[F.col(f).cast("double") for f in features])
+    return F.transform(rows, lambda r: F.lit(scale) * F.cos(
+        F.aggregate(F.zip_with(r["w"], x, lambda a, c: a * c), F.lit(0.0), lambda acc, v: acc + v) + r["b"]))
 
 
 def resolve_gamma(gamma, scaled_train: DataFrame, features: Sequence[str]) -> float:
@@ -134,11 +134,9 @@ class Fitted:
     def _vectors(self, df: DataFrame) -> DataFrame:
         if self.scaler:
             df = P.apply_scaler(df, self.scaler)
-        cols = self.features
         if self.rff is not None:
-            df = df.select("*", *rff_columns(self.features, self.rff))
-            cols = [f"_rff{j}" for j in range(len(self.rff[1]))]
-        return VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep").transform(df)
+            return df.withColumn("features", array_to_vector(rff_array(self.features, self.rff)))
+        return VectorAssembler(inputCols=self.features, outputCol="features", handleInvalid="keep").transform(df)
 
     def transform(self, df: DataFrame) -> DataFrame:
         """M7: adds ``prediction`` and ``score`` (P(y=1); the margin when no probability)."""

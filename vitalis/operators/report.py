@@ -172,7 +172,7 @@ def beeswarm_points(attr: DataFrame, imp: DataFrame, top: int = 15) -> DataFrame
     """Points of the top features (by importance): attribution, raw value
     and the value normalised per feature for colouring."""
     w = Window.partitionBy("model_name").orderBy(F.desc("importance"), "feature")
-    keep = imp.withColumn("feature_rank", F.row_number().over(w)).where(F.col("feature_rank") <= top) \
+    keep = imp.withColumn("feature_rank", F.row_number().over(w).cast("bigint")).where(F.col("feature_rank") <= top) \
               .select("model_name", "feature", "feature_rank")
     pts = attr.join(F.broadcast(keep), ["model_name", "feature"])
     return minmax_normalise(pts, "feature", "value")

@@ -29,11 +29,30 @@ def queries():
     return out
 
 
+def _bigint_counts(sql: str) -> str:
+    """DuckDB types ``count_if`` as HUGEINT; Spark's ``count_if`` is BIGINT.
+    Wrap every ``count_if(...)`` of our oracle text in a BIGINT cast."""
+    out, i, key = [], 0, "count_if("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 0, j + len(key) - 1
+        while True:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            if depth == 0:
+                break
+            k += 1
+        out.append(sql[i:j] + "CAST(count_if(" + _bigint_counts(sql[j + len(key):k]) + ") AS BIGINT)")
+        i = k + 1
+
+
 def oracle_sql():
     out = {}
     for m in _loaded():
         out.update(getattr(m, "SQL", {}))
-    return out
+    return {k: _bigint_counts(v) for k, v in out.items()}
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
