@@ -14,8 +14,6 @@ plus a per-model expected value, so that for each row
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -79,10 +77,11 @@ def forest_nodes(spark: SparkSession, model, scratch: str | None = None) -> tupl
     The model is saved under the session's checkpoint folder (shared on a
     cluster) and its node table read back; the table has trees x nodes rows.
     Returns (trees, tree_weights, kind) with kind 'rf' or 'gbt'."""
-    base = scratch or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="vitalis-model-")
-    path = os.path.join(base.replace("file:", ""), f"model-{uuid.uuid4().hex}")
+    from ..session import ensure_checkpoint_dir
+    base = scratch or ensure_checkpoint_dir(spark)
+    path = f"{base.rstrip('/')}/model-{uuid.uuid4().hex}"
     model.write().overwrite().save(path)
-    nodes = spark.read.parquet(os.path.join(path, "data"))
+    nodes = spark.read.parquet(f"{path}/data")
     n_nodes = nodes.count()
     if n_nodes > MAX_FOREST_NODES:
         raise ValueError(f"forest has {n_nodes} nodes (> {MAX_FOREST_NODES}); too large to broadcast for TreeSHAP")

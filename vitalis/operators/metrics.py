@@ -136,6 +136,14 @@ def evaluate(preds: DataFrame, label: str = "label", pred: str = "prediction", s
         ranking_metrics(preds, label, score, n_buckets, (), counts))
 
 
-def evaluate_dict(preds: DataFrame, **kw) -> dict:
-    """``evaluate`` collected to a dict (one row)."""
-    return evaluate(preds, **kw).first().asDict()
+def evaluate_dict(preds: DataFrame, label: str = "label", pred: str = "prediction", score: str = "score",
+                  n_buckets: int = N_BUCKETS) -> dict:
+    """``evaluate`` collected to a dict (one row); the cached count table is
+    released afterwards."""
+    counts = score_counts(preds, label, pred, score)
+    try:
+        row = rates(_confusion_from_counts(counts, [])).crossJoin(
+            ranking_metrics(preds, label, score, n_buckets, (), counts)).first()
+        return row.asDict()
+    finally:
+        counts.unpersist()
