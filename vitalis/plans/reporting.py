@@ -18,6 +18,7 @@ from ..operators import quality as Q
 from ..operators import report as R
 from ..operators import sampling as S
 from . import extraction as X
+from ..session import ensure_checkpoint_dir
 from .common import rounded, sql_round, table
 from .quality import _ANY, _RATIOS, SPARSE_THRESHOLD, WIDE_RULES, WIDE_SQL
 from .splitting import FRACTIONS, SEED, sql_downsample, sql_split
@@ -178,7 +179,11 @@ def q_val_vs_test(spark, sf):
 
 
 def _clean(spark, sf):
-    raw = Q.nans_to_nulls(X.wide_table(spark, sf))
+    """Raw, range-filtered and complete stage tables.  The raw table feeds every
+    stage and two driver decisions, so it is materialised once (reliable
+    checkpoint in the shared folder), as the pipeline's written stage would be."""
+    ensure_checkpoint_dir(spark)
+    raw = Q.nans_to_nulls(X.wide_table(spark, sf)).checkpoint(eager=True)
     ranged = Q.range_filter(raw, WIDE_RULES)
     return raw, ranged, Q.drop_sparse(ranged, SPARSE_THRESHOLD)
 
