@@ -20,19 +20,21 @@ ROWS = {
                  (1, 14, 104, "Coronary Care Unit (CCU)", T(2024, 2, 1), T(2024, 2, 2), 1.0),
                  (2, 12, 102, "Surgical Intensive Care Unit (SICU)", IN2, IN2 + 30 * H, 1.2),
                  (3, 13, 103, "Neuro Unit", IN3, IN3 + 40 * H, 1.6)],
-    "diagnoses_icd": [(1, "E119"), (1, "Z87891"), (2, "I10"), (2, "F17210"), (2, None)],
+    "diagnoses_icd": [(1, 11, "E119"), (1, 14, "I10"), (1, 11, "Z87891"), (2, 12, "I10"), (2, 12, "F17210"),
+                      (2, 12, None)],
     "omr": [(1, dt.date(2023, 12, 1), "Height (Inches)", "70"), (1, dt.date(2023, 12, 1), "Weight (Lbs)", "154"),
             (1, dt.date(2023, 11, 1), "Weight (Lbs)", "150"), (2, dt.date(2023, 12, 2), "Smoking status", "Former smoker"),
             (3, dt.date(2023, 12, 3), "Alcohol use", "none")],
     "chartevents": [(101, 220045, IN1 + H, 80.0), (101, 211, IN1 + 2 * H, 100.0), (101, 220045, IN1 + 25 * H, 200.0),
-                    (101, 999, IN1 + H, 5.0), (102, 220050, IN2 + 3 * H, 120.0), (104, 220045, T(2024, 2, 1, 1), 60.0)],
+                    (101, 999, IN1 + H, 5.0), (102, 220050, IN2 + 3 * H, 120.0), (104, 220045, T(2024, 2, 1, 1), 60.0),
+                    (101, 223762, IN1 + H, 37.0), (101, 223761, IN1 + 2 * H, 98.6)],
     "labevents": [(11, 50931, IN1 + 2 * H, 110.0), (11, 50931, IN1 - H, 90.0), (None, 50931, IN1 + H, 70.0),
                   (12, 50912, IN2 + 5 * H, 1.2)],
 }
 
 
 @pytest.fixture(scope="module")
-def final(spark):
+def tables(spark):
     base = tempfile.mkdtemp(prefix="vitalis-clinical-")
     for name, rows in ROWS.items():
         sub = "hosp" if name in CL.HOSP else "icu"
@@ -40,8 +42,22 @@ def final(spark):
         data = [r + (None,) * (len(schema) - len(r)) for r in rows]
         df = spark.createDataFrame(data, schema)
         df.coalesce(1).write.mode("overwrite").option("header", "true").csv(os.path.join(base, sub, f"{name}.csv"))
-    t = CL.load(spark, base, "csv")
-    return {r["subject_id"]: r.asDict() for r in CL.extract(t).collect()}
+    return CL.load(spark, base, "csv")
+
+
+@pytest.fixture(scope="module")
+def final(tables):
+    return {r["subject_id"]: r.asDict() for r in CL.extract(tables).collect()}
+
+
+def test_options(tables, final):
+    opt = {r["subject_id"]: r.asDict() for r in CL.extract(tables, comorbidity_scope="index_admission",
+                                                           convert_units=True).collect()}
+    # subject 1's hypertension code belongs to a later admission
+    assert final[1]["hypertension"] == 1 and opt[1]["hypertension"] == 0
+    # 37.0 C and 98.6 F: averaged raw by default, both 37 C after conversion
+    assert final[1]["temperature_mean"] == pytest.approx((37.0 + 98.6) / 2)
+    assert opt[1]["temperature_mean"] == pytest.approx(37.0)
 
 
 def test_first_stay_label_and_indicators(final):

@@ -50,18 +50,29 @@ def load(spark: SparkSession, base: str, fmt: str = "csv", paths: Mapping[str, s
 
 
 def extract(t: Mapping[str, DataFrame], window_hours: float = 24.0, horizon_hours: float = 48.0,
-            compat: bool = False, normalise_dots: bool = False, alias_mode: str = "table") -> DataFrame:
+            compat: bool = False, normalise_dots: bool = False, alias_mode: str = "table",
+            not_before: bool = False, comorbidity_scope: str = "subject", convert_units: bool = False) -> DataFrame:
     """One row per subject (first ICU stay) with label, flags, measures and
-    first-day vital / lab statistics."""
+    first-day vital / lab statistics.
+
+    Defaults reproduce the original; the options are its documented quirks:
+    ``not_before`` ignores deaths before admission, ``comorbidity_scope=
+    'index_admission'`` uses only the index admission's diagnoses (the original
+    uses all of the subject's), ``convert_units`` converts Fahrenheit items
+    before temperatures are averaged."""
     spark = t["icustays"].sparkSession
     stays = first_per_key(t["icustays"].select("subject_id", "hadm_id", "stay_id", "first_careunit", "intime",
                                               "outtime"), "subject_id", ["intime"], ["stay_id"], compat=compat)
     pat = t["patients"].select("subject_id", "gender", "anchor_age", "dod")
     adm = t["admissions"].select("hadm_id", "deathtime")
     labelled = horizon_labels(attach(attach(stays, pat, "subject_id"), adm, "hadm_id"),
-                              "intime", ["dod", "deathtime"], horizon_hours, TARGET)
+                              "intime", ["dod", "deathtime"], horizon_hours, TARGET, not_before=not_before)
 
-    diag = in_cohort(t["diagnoses_icd"].select("subject_id", "icd_code"), stays, "subject_id")
+    if comorbidity_scope == "index_admission":
+        diag = t["diagnoses_icd"].join(stays.select("subject_id", "hadm_id"), ["subject_id", "hadm_id"], "left_semi")
+    else:
+        diag = in_cohort(t["diagnoses_icd"], stays, "subject_id")
+    diag = diag.select("subject_id", "icd_code")
     comorbid = any_flags(diag, "subject_id", "icd_code", K.ICD_FLAGS, entities=stays, normalise_dots=normalise_dots)
 
     omr = in_cohort(t["omr"], stays, "subject_id")
@@ -79,6 +90,12 @@ def extract(t: Mapping[str, DataFrame], window_hours: float = 24.0, horizon_hour
     ce = (t["chartevents"].where(F.col("itemid").isin(all_vital_ids))          # pushed to the scan
           .select("stay_id", F.col("itemid").cast("long").alias("itemid"), "charttime",
                   to_number("valuenum").alias("valuenum")))
+    if convert_units:
+        conv = spark.createDataFrame([(int(i), float(a), float(b)) for i, (a, b) in K.CHART_CONVERSIONS.items()],
+                                     "itemid long, _scale double, _offset double")
+        ce = (ce.join(F.broadcast(conv), "itemid", "left")   # fixed-size code table
+                .withColumn("valuenum", F.col("valuenum") * F.coalesce("_scale", F.lit(1.0))
+                            + F.coalesce("_offset", F.lit(0.0))).drop("_scale", "_offset"))
     ce = window_join(ce, stays.select("stay_id", "intime"), "stay_id", "charttime", "intime", 0.0, window_hours)
     vitals = measure_features(lookup(ce, vital_items, "itemid"), "stay_id", "item_type", "valuenum",
                               list(K.VITAL_ITEMS), K.VITAL_STATS)

@@ -77,6 +77,12 @@ ICD_FLAGS: dict[str, list[str]] = {
     "sleep_disorder": ["G47", "F51", "327", "307.4"],
 }
 
+# Optional unit conversion for chart items (value * scale + offset).  The
+# original averages these temperature items without converting them; the
+# pipeline applies this table only when asked (``convert_units=True``).
+FAHRENHEIT_ITEMS = [223761, 678]
+CHART_CONVERSIONS: dict[int, tuple[float, float]] = {i: (5.0 / 9.0, -32.0 * 5.0 / 9.0) for i in FAHRENHEIT_ITEMS}
+
 # OMR measure -> accepted result names, in order of preference
 ANTHROPOMETRIC_ALIASES: dict[str, list[str]] = {
     "height": ["Height (Inches)", "Height"],
