@@ -185,3 +185,16 @@ def test_minmax_normalise_constant_group(spark):
     got = {(r["g"], r["v"]): r["norm_value"] for r in R.minmax_normalise(df, "g", "v").collect()}
     assert got == {("a", 1.0): 0.0, ("a", 3.0): 1.0, ("b", 5.0): 0.0}
     assert not math.isnan(got[("b", 5.0)])
+
+
+def test_hours_ignore_session_dst(spark):
+    """Windows and horizons count wall-clock hours, whatever the session zone."""
+    from vitalis.functions.columns import elapsed_hours
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        df = spark.sql("SELECT timestamp_ntz'2024-03-09 12:00:00' AS o, timestamp_ntz'2024-03-11 12:00:00' AS e")
+        r = df.select(elapsed_hours("e", "o").alias("h"), horizon_flag("o", 48, ["e"]).alias("y")).first()
+        assert (r["h"], r["y"]) == (48.0, 1)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)

@@ -41,9 +41,17 @@ def epoch_micros(c: ColumnLike) -> Column:
     return F.unix_micros(_c(c).cast("timestamp"))
 
 
+def elapsed_micros(t: ColumnLike, origin: ColumnLike) -> Column:
+    """Wall-clock microseconds from ``origin`` to ``t``.  ``timestamp_diff``
+    counts local date-time, like the naive datetimes of the original (and the
+    oracle): an hour lost or gained at a DST change in the session time zone
+    does not shift windows."""
+    return F.timestamp_diff("MICROSECOND", _c(origin), _c(t))
+
+
 def elapsed_hours(t: ColumnLike, origin: ColumnLike) -> Column:
     """(t - origin) in fractional hours."""
-    return (epoch_micros(t) - epoch_micros(origin)) / F.lit(3.6e9)
+    return elapsed_micros(t, origin) / F.lit(3.6e9)
 
 
 def horizon_flag(origin: ColumnLike, hours: float, events: Sequence[ColumnLike],
@@ -53,13 +61,13 @@ def horizon_flag(origin: ColumnLike, hours: float, events: Sequence[ColumnLike],
     The original has no lower bound, so an event before the origin counts;
     ``not_before=True`` adds ``event >= origin``.  All-null -> 0.
     """
-    limit = epoch_micros(origin) + F.lit(int(round(hours * 3.6e9)))
+    limit = F.lit(int(round(hours * 3.6e9)))
     conds = []
     for e in events:
-        em = epoch_micros(e)
-        cond = em <= limit
+        d = elapsed_micros(e, origin)
+        cond = d <= limit
         if not_before:
-            cond = cond & (em >= epoch_micros(origin))
+            cond = cond & (d >= 0)
         conds.append(F.coalesce(cond, F.lit(False)))
     return reduce(lambda a, b: a | b, conds).cast("int")
 
