@@ -107,8 +107,17 @@ def q_tree_attributions(spark, sf):
     return rounded(attr.withColumn("expected_value", F.lit(expected)))
 
 
+def q_tree_importance(spark, sf):
+    """A18 on the forest's TreeSHAP values: mean |attribution| per feature."""
+    fitted, test, feats = _rf_and_test(spark, sf)
+    rows = S.sample_rows(test, "subject_id", EXPLAIN_ROWS, seed=SEED)
+    attr, _ = EX.tree_attributions(rows, "subject_id", feats, fitted.model, "Random_Forest")
+    return rounded(EX.importance(attr, top=20))
+
+
 QUERIES = {
     "m12_leaderboard": q_leaderboard,
+    "a18_tree_importance": q_tree_importance,
     "m13_search_lr": q_search_lr,
     "m7_batch_scoring": q_batch_scoring,
     "m17_tree_attributions": q_tree_attributions,
