@@ -65,8 +65,15 @@ def test_tree_shap_additive_and_exact(spark, kind):
     assert len(sums) == 20
     for k, v in truth.items():
         assert abs(expected + sums[k] - v) < 1e-6
-    # exact Shapley values of the first tree by brute force
+    # exact Shapley values of the first tree by brute force; batch == per-row
     trees, _, _ = E.forest_nodes(spark, model)
+    xs = np.array([[r["a"], r["b"], r["c"]] for r in sample.collect()])
+    for t in trees:
+        batch = E.tree_shap_batch(xs, t)
+        for i, x in enumerate(xs):
+            one = np.zeros(3)
+            E.tree_shap_row(x, t, one)
+            assert np.allclose(batch[i], one, atol=1e-10)
     for r in sample.limit(5).collect():
         x = np.array([r["a"], r["b"], r["c"]])
         phi = np.zeros(3)

@@ -171,6 +171,73 @@ def tree_shap_row(x: np.ndarray, tree: dict, phi: np.ndarray) -> None:
     recurse(0, [], 1.0, 1.0, -1)
 
 
+def leaf_paths(tree: dict) -> list[tuple[int, list[tuple[int, float, bool, float]]]]:
+    """Every leaf with its path: (feature, threshold, goes_left, cover ratio)."""
+    left, right, feat, thr, cover = (tree[k] for k in ("left", "right", "feat", "thr", "cover"))
+    out, stack = [], [(0, [])]
+    while stack:
+        j, path = stack.pop()
+        if left[j] < 0:
+            out.append((j, path))
+            continue
+        cj = cover[j] if cover[j] > 0 else 1.0
+        stack.append((left[j], path + [(int(feat[j]), float(thr[j]), True, cover[left[j]] / cj)]))
+        stack.append((right[j], path + [(int(feat[j]), float(thr[j]), False, cover[right[j]] / cj)]))
+    return out
+
+
+def tree_shap_batch(x: np.ndarray, tree: dict, paths=None) -> np.ndarray:
+    """Path-dependent TreeSHAP of one tree for a batch of rows (n x d), vectorised
+    over rows.  Per leaf, repeated features merge into one path element (zero
+    fraction = product of cover ratios, one fraction = all branches followed);
+    the Shapley weights are the coefficients of the product of the elements'
+    linear factors, which does not depend on the path order, so this equals
+    ``tree_shap_row``."""
+    n, d = x.shape
+    phi = np.zeros((n, d))
+    val = tree["val"]
+    for leaf, path in (paths if paths is not None else leaf_paths(tree)):
+        v = val[leaf]
+        if v == 0 or not path:
+            continue
+        merged: dict[int, list] = {}
+        for f, t, is_left, ratio in path:
+            col = x[:, f]
+            le = (col <= t) & ~np.isnan(col)
+            go = (le if is_left else ~le).astype(float)
+            if f in merged:
+                merged[f][0] *= ratio
+                merged[f][1] = merged[f][1] * go
+            else:
+                merged[f] = [ratio, go]
+        feats = list(merged)
+        zs = [1.0] + [merged[f][0] for f in feats]
+        os_ = [np.ones(n)] + [merged[f][1] for f in feats]
+        w = [np.ones(n)]
+        for e in range(1, len(zs)):          # EXTEND
+            size = len(w)
+            w.append(np.zeros(n))
+            for i in range(size - 1, -1, -1):
+                w[i + 1] = w[i + 1] + os_[e] * w[i] * (i + 1) / (size + 1)
+                w[i] = zs[e] * w[i] * (size - i) / (size + 1)
+        last = len(w) - 1
+        for e, f in enumerate(feats, start=1):  # UNWIND-sum per element
+            z, o = zs[e], os_[e]
+            nonzero = o != 0
+            safe_o = np.where(nonzero, o, 1.0)
+            safe_z = z if z != 0 else 1.0
+            carry = w[last].copy()
+            tot_nz = np.zeros(n)
+            tot_z = np.zeros(n)
+            for j in range(last - 1, -1, -1):
+                new = carry * (last + 1) / ((j + 1) * safe_o)
+                tot_nz += new
+                carry = w[j] - new * z * (last - j) / (last + 1)
+                tot_z += w[j] * (last + 1) / (safe_z * (last - j))
+            phi[:, f] += np.where(nonzero, tot_nz, tot_z) * (o - z) * v
+    return phi
+
+
 def tree_expected(tree: dict) -> float:
     """Cover-weighted mean leaf value (the model output with no feature known)."""
     left, right, val, cover = tree["left"], tree["right"], tree["val"], tree["cover"]
@@ -205,18 +272,19 @@ def tree_attributions(df: DataFrame, id_col: str, features: Sequence[str], fitte
 
     def explain(batches):
         ts, sc = bc.value
+        paths = [leaf_paths(t) for t in ts]
         for pdf in batches:
             xs = pdf[feats].to_numpy(dtype=float)
-            out = []
-            for rid, x in zip(pdf["_rid"].to_numpy(), xs):
-                phi = np.zeros(len(feats))
-                for s, t in zip(sc, ts):
-                    part = np.zeros(len(feats))
-                    tree_shap_row(x, t, part)
-                    phi += s * part
-                for f, v, a in zip(feats, x, phi):
-                    out.append((model_name, int(rid), f, float(v), float(a)))
-            yield pd.DataFrame(out, columns=["model_name", "row_id", "feature", "value", "attribution"])
+            if len(xs) == 0:
+                continue
+            phi = np.zeros_like(xs)
+            for s, t, p in zip(sc, ts, paths):
+                phi += s * tree_shap_batch(xs, t, p)
+            n, k = xs.shape
+            yield pd.DataFrame({"model_name": model_name,
+                                "row_id": np.repeat(pdf["_rid"].to_numpy().astype("int64"), k),
+                                "feature": np.tile(np.array(feats, dtype=object), n),
+                                "value": xs.reshape(-1), "attribution": phi.reshape(-1)})
 
     rows = df.select(F.col(id_col).cast("bigint").alias("_rid"), *[F.col(f).cast("double") for f in feats])
     # spread the rows over the cluster: each row costs trees x leaves x depth^2
