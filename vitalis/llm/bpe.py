@@ -108,7 +108,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", leaf: int
         c = codec(path, pattern, leaf)
         return [pa.array([c.encode(t).astype("<u4", copy=False).tobytes() for t in common.texts(batch, text)], pa.binary())]
 
-    return common.add_columns(df, [T.StructField(out, T.BinaryType())], fn)
+    return common.add_columns(df, [T.StructField(out, T.BinaryType())], fn, text)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", leaf: int = LEAF, out: str = "decoded") -> DataFrame:

@@ -30,14 +30,18 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
 
 
-def add_columns(df: DataFrame, fields: list[T.StructField], fn: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
-    """Append ``fields`` computed by ``fn`` from each Arrow batch; other columns pass as they are."""
+def add_columns(df: DataFrame, fields: list[T.StructField], fn: Callable[[pa.RecordBatch], list[pa.Array]], by: str | None = None) -> DataFrame:
+    """Append ``fields`` computed by ``fn`` from each Arrow batch; other columns pass as they are.
+
+    ``by`` names a text column: batches are then cut so that each part holds a few MB of it.
+    """
     base = without(df, [f.name for f in fields])
     names = base.columns + [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays(list(b.columns) + fn(b), names=names)
+        for whole in batches:
+            for b in slices(whole, by) if by else [whole]:
+                yield pa.RecordBatch.from_arrays(list(b.columns) + fn(b), names=names)
 
     return base.mapInArrow(run, T.StructType(base.schema.fields + fields))
 
@@ -47,7 +51,7 @@ def texts(batch: pa.RecordBatch, name: str) -> list[str]:
     return [t or "" for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
 
-def slices(batch: pa.RecordBatch, name: str, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, name: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about ``most`` bytes of ``name`` (a longer row stays whole)."""
     col = batch.column(batch.schema.get_field_index(name))
     import pyarrow.compute as pc

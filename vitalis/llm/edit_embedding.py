@@ -17,7 +17,7 @@ and ``near_pairs`` verifies candidates by likeness.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -126,12 +126,9 @@ def alike(a: str, b: str) -> float:
 def fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
     """Add ``out``, the fingerprint of ``text``: equal texts have equal ones, a null or empty text has the empty one."""
     def fn(batch: pa.RecordBatch) -> list[pa.Array]:
-        prints: list[str] = []
-        for part in common.slices(batch, text):
-            prints += fingerprints(common.texts(part, text))
-        return [pa.array(prints, pa.string())]
+        return [pa.array(fingerprints(common.texts(batch, text)), pa.string())]
 
-    return common.add_columns(df, [T.StructField(out, T.StringType())], fn)
+    return common.add_columns(df, [T.StructField(out, T.StringType())], fn, text)
 
 
 def likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
@@ -142,19 +139,20 @@ def likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
     return common.add_columns(df, [T.StructField(out, T.DoubleType())], fn)
 
 
-def with_next(df: DataFrame, key: str = "doc_id", text: str = "text", carry: str = "fingerprint",
-              blocks_per_partition: int = 4) -> DataFrame:
-    """For each row, the row that follows in descending ``key`` order (after the last, the first).
+def compare_next(df: DataFrame, edit: Callable[[str, str], str], key: str = "doc_id", text: str = "text",
+                 blocks_per_partition: int = 4) -> DataFrame:
+    """Compare each text with an edited one, made by ``edit(text, next text)``, and with the next row's text.
 
-    Returns key, text, ``carry``, next_text_head (the first floor(len(text)/3) characters of the next row's
-    text), next_``carry``.  Rows are dealt to blocks between quantiles of the key and the first row of
-    each block also goes to the block before, so one shuffle suffices and no task sees the whole order.
-    A null key comes last; equal keys are ordered by text.
+    The next row follows in descending ``key`` order (after the last, the first).  Returns key, n_chars, fingerprint,
+    edited, edited_fingerprint, near_edited and near_next (likeness of the fingerprints).  Rows are dealt to
+    blocks between quantiles of the key and the first row of each block also goes to the block before, so one
+    shuffle suffices and no task sees the whole order.  A null key comes last; equal keys are ordered by text;
+    a null text counts as empty; a single row is its own next one.
     """
     spark = df.sparkSession
     low = -(1 << 63)
-    rows = df.select(F.coalesce(F.col(key), F.lit(low)).alias("_k"), F.col(key).alias("_key"),
-                     F.coalesce(F.col(text), F.lit("")).alias("_text"), F.col(carry).alias("_carry"))
+    rows = df.select(F.coalesce(F.col(key), F.lit(low)).alias("_k"), F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    rows = fingerprint(rows, "_text", "_print")
     n = max(2, blocks_per_partition * int(spark.conf.get("spark.sql.shuffle.partitions")))
     keys = df.select(F.coalesce(F.col(key), F.lit(low)).alias("_k"))
     bounds = sorted(set(keys.approxQuantile("_k", [i / n for i in range(1, n)], 0.25 / n)))
@@ -172,30 +170,32 @@ def with_next(df: DataFrame, key: str = "doc_id", text: str = "text", carry: str
     dealt = blocked(rows).join(F.broadcast(ghosts), "_k", "left").withColumn("_at", F.explode(F.when(
         F.col("_to").isNull(), F.array(F.struct(F.col("_block").alias("block"), F.lit(False).alias("ghost")))).otherwise(
         F.array(F.struct(F.col("_block").alias("block"), F.lit(False).alias("ghost")), F.struct(F.col("_to").alias("block"), F.lit(True).alias("ghost"))))))
-    dealt = dealt.select(F.col("_at.block").alias("_block"), F.col("_at.ghost").alias("_ghost"), "_k", "_key", "_text", "_carry")
+    dealt = dealt.select(F.col("_at.block").alias("_block"), F.col("_at.ghost").alias("_ghost"), "_k", "_key", "_text", "_print")
     ordered = dealt.repartition("_block").sortWithinPartitions("_block", "_ghost", F.desc("_k"), "_text")
-    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField(text, T.StringType()), T.StructField(carry, T.StringType()),
-                           T.StructField("next_text_head", T.StringType()), T.StructField(f"next_{carry}", T.StringType())])
-    names = schema.names
-    kind = rows.schema["_key"].dataType
+    kind = df.schema[key].dataType
+    schema = T.StructType([T.StructField("_key", kind), T.StructField("n_chars", T.LongType()), T.StructField("fingerprint", T.StringType()), T.StructField("edited", T.StringType()),
+                           T.StructField("edited_fingerprint", T.StringType()), T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None     # the row whose next one is still to come
-        key_type = pa.int64() if isinstance(kind, T.LongType) else pa.int32()
         for batch in batches:
-            cols: list[list] = [[] for _ in names]
-            block, ghost, _, ids, body, extra = (c.to_pylist() for c in batch.columns)
-            for row in zip(block, ghost, ids, body, extra, strict=True):
-                if held is not None and held[0] == row[0]:
-                    for c, v in zip(cols, (held[2], held[3], held[4], row[3][: len(held[3]) // 3], row[4]), strict=True):
-                        c.append(v)
-                    held = None
-                if not row[1]:
-                    held = row
-            if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], key_type), *[pa.array(c, pa.string()) for c in cols[1:]]], names=names)
-
-    return ordered.mapInArrow(run, schema)
+            for part in common.slices(batch, "_text"):
+                block, ghost, _, _, body, own = (c.to_pylist() for c in part.columns)
+                pairs = []
+                for row in zip(block, ghost, part.column(3), body, own, strict=True):
+                    if held is not None and held[0] == row[0]:
+                        pairs.append((held, row))
+                        held = None
+                    if not row[1]:
+                        held = row
+                edited = [edit(a[3], b[3]) for a, b in pairs]
+                prints = fingerprints(edited)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([a[2].as_py() for a, _ in pairs], part.column(3).type), pa.array([len(a[3]) for a, _ in pairs], pa.int64()), pa.array([a[4] for a, _ in pairs], pa.string()),
+                    pa.array(edited, pa.string()), pa.array(prints, pa.string()), pa.array([alike(a[4], p) for (a, _), p in zip(pairs, prints, strict=True)], pa.float64()),
+                    pa.array([alike(a[4], b[4]) for a, b in pairs], pa.float64())], names=schema.names)
+
+    return ordered.mapInArrow(run, schema).withColumnRenamed("_key", key)
 
 
 def _bands(n: int, bands: int, width: int) -> list[tuple[int, np.ndarray]]:

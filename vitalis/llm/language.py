@@ -141,22 +141,15 @@ def identify(df: DataFrame, model: dict, text: str = "text") -> DataFrame:
 
     def fn(batch: pa.RecordBatch) -> list[pa.Array]:
         m = shared.value
-        names: list[str] = []
-        scores: list[float] = []
-        for part in common.slices(batch, text):
-            docs = common.texts(part, text)
-            if not m["langs"]:
-                names += ["und"] * len(docs)
-                scores += [0.0] * len(docs)
-                continue
-            bits, n = code_lengths(docs, m)
-            best = bits.argmin(axis=1)
-            gap = (bits - bits.min(axis=1, keepdims=True)) * (np.minimum(n, EVIDENCE) / np.maximum(n, 1))[:, None]
-            share = 1.0 / np.exp2(-np.minimum(gap, 1000)).sum(axis=1)
-            for t, b, s in zip(docs, best.tolist(), share.tolist(), strict=True):
-                letters = _LETTER.search(t) is not None
-                names.append(m["langs"][b] if letters else "und")
-                scores.append(s if letters else 0.0)
-        return [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
-
-    return common.add_columns(df, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], fn)
+        docs = common.texts(batch, text)
+        if not m["langs"]:
+            return [pa.array(["und"] * len(docs), pa.string()), pa.array([0.0] * len(docs), pa.float64())]
+        bits, n = code_lengths(docs, m)
+        best = bits.argmin(axis=1).tolist()
+        gap = (bits - bits.min(axis=1, keepdims=True)) * (np.minimum(n, EVIDENCE) / np.maximum(n, 1))[:, None]
+        share = 1.0 / np.exp2(-np.minimum(gap, 1000)).sum(axis=1)
+        letters = np.array([_LETTER.search(t) is not None for t in docs])
+        names = [m["langs"][b] if x else "und" for b, x in zip(best, letters.tolist(), strict=True)]
+        return [pa.array(names, pa.string()), pa.array(np.where(letters, share, 0.0), pa.float64())]
+
+    return common.add_columns(df, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], fn, text)

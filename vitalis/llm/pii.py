@@ -144,7 +144,7 @@ def extract(df: DataFrame, text: str = "text") -> DataFrame:
                          for k, s, e in [*base, *((4, s, e) for s, e in other_tokens(t, base))]])
         return [pa.array(rows, pa.list_(_ARROW_ITEM))]
 
-    return common.add_columns(df, [T.StructField("items", T.ArrayType(_ITEM))], fn)
+    return common.add_columns(df, [T.StructField("items", T.ArrayType(_ITEM))], fn, text)
 
 
 def bootstrap(items: DataFrame, scratch: common.Scratch, rounds: int = ROUNDS) -> DataFrame:

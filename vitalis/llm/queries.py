@@ -18,18 +18,16 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def _tail_from_next(text: str, after: str) -> str:
+    """The last third of a text replaced by the beginning of the next one."""
+    n = len(text) // 3
+    return text[: len(text) - n] + after[:n]
+
+
 def op2_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    pairs = edit_embedding.with_next(edit_embedding.fingerprint(docs))
-    n = F.char_length("text")
-    kept = F.expr("left(text, char_length(text) - floor(char_length(text) / 3))")
-    edited = pairs.select("doc_id", n.cast("long").alias("n_chars"), "fingerprint", "next_fingerprint",
-                          F.concat(kept, "next_text_head").alias("edited"))
-    both = edit_embedding.fingerprint(edited, "edited", "edited_fingerprint")
-    both = both.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
-    near = edit_embedding.likeness(both, "fingerprint", "edited_fingerprint", "near_edited")
-    near = edit_embedding.likeness(near, "fingerprint", "next_fingerprint", "near_next")
-    return near.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    compared = edit_embedding.compare_next(docs, _tail_from_next)
+    return compared.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,7 +63,7 @@ def fingerprint(df: DataFrame, text: str = "text", words: int = 3, out: str = "s
         got = np.array([simhash(t, words) for t in common.texts(batch, text)], dtype=np.uint64)
         return [pa.array(got.view(np.int64), pa.int64())]
 
-    return common.add_columns(df, [T.StructField(out, T.LongType())], fn)
+    return common.add_columns(df, [T.StructField(out, T.LongType())], fn, text)
 
 
 def _bits(values: np.ndarray) -> np.ndarray:
