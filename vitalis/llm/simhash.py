@@ -125,6 +125,11 @@ def allocate(cost: list[dict[int, float]], total: int) -> tuple[float, list[int]
     return best[total]
 
 
+def signed(x: int) -> int:
+    """A 64-bit pattern as the signed integer that Spark holds."""
+    return x - (1 << 64) if x >> 63 else x
+
+
 def part_value(col: str, bits: list[int]):
     """The bits of one part, packed to an integer, as a column expression of shifts and masks."""
     out = None
@@ -138,7 +143,7 @@ def plan_search(prints: DataFrame, tau: int, part_counts: tuple[int, ...] = (2,
     """Parts of bits with their thresholds, from statistics of all fingerprints."""
     n, both = bit_statistics(prints)
     if not n:
-        return [(list(range(64)), tau)]
+        return [(list(range(64))[k::tau + 1], 0) for k in range(tau + 1)]
     p = np.diag(both) / n
     differ = 2 * p * (1 - p)
     layouts = {m: grouped_bits(n, both, m) for m in part_counts}
@@ -179,7 +184,7 @@ def links(prints: DataFrame, tau: int, scratch: common.Scratch, most: int = 64,
     probe = None
     for i, (bits, t) in enumerate(plan):
         value = part_value("f", bits)
-        flips = [sum(1 << b for b in c) for k in range(t + 1) for c in combinations(range(len(bits)), k)]
+        flips = [signed(sum(1 << b for b in c)) for k in range(t + 1) for c in combinations(range(len(bits)), k)]
         own = prints.select(F.lit(i).alias("part"), value.alias("value"), "f")
         index = own if index is None else index.unionByName(own)
         more = prints.select(F.lit(i).alias("part"), F.explode(F.transform(F.array(*[F.lit(x).cast("long") for x in flips]), lambda x, v=value: v.bitwiseXOR(x))).alias("value"), "f")
@@ -194,8 +199,7 @@ def links(prints: DataFrame, tau: int, scratch: common.Scratch, most: int = 64,
         near = near.unionByName(back)
     # all members of crowded values, by common neighbourhood
     half = tau // 2
-    masks = [sum(1 << b for b in c) for k in range(half + 1) for c in combinations(range(64), k)]
-    masks = [m - (1 << 64) if m >> 63 else m for m in masks]
+    masks = [signed(sum(1 << b for b in c)) for k in range(half + 1) for c in combinations(range(64), k)]
     inside = probe.join(crowded, ["part", "value"], "left_semi").select("f").distinct()
     balls = inside.select("f", F.explode(F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: F.col("f").bitwiseXOR(m))).alias("z"))
     hubs = balls.groupBy("z").agg(F.min("f").alias("b"), F.count("*").alias("n")).where("n > 1").select("z", "b")
