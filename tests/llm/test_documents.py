@@ -357,7 +357,7 @@ def test_filter_reads_counts_back():
     counts = rng.integers(1, 300, len(grams))
     assert (lm_score.unpacked(lm_score.packed(grams)) == grams).all()
     level = 1 + np.floor(np.log2(counts)).astype(int)
-    n_bits = int(level.sum()) * lm_score.BITS // 64 * 64 + 64
+    n_bits = int(level.sum()) * lm_score.BITS // 512 * 512 + 512
     bits = np.zeros(n_bits, dtype=bool)
     for k in range(1, level.max() + 1):
         for at in lm_score.places(grams[level >= k], k, n_bits):

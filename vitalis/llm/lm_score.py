@@ -156,13 +156,13 @@ def gram_counts(train: DataFrame, buckets: int) -> DataFrame:
 
 
 def places(grams: np.ndarray, level: int, n_bits: np.ndarray | int) -> Iterator[np.ndarray]:
-    """The HASHES bit places of (gram, level) in a filter of n_bits."""
+    """The HASHES bit places of (gram, level), all in one of the 512-bit blocks of a filter of n_bits."""
     x = mix(grams + np.full(1, level, dtype=np.uint64) * _K1)
-    step = mix(x + _K2) | np.uint64(1)
-    n = np.asarray(n_bits, dtype=np.uint64)
-    for _ in range(HASHES):
-        yield (x >> np.uint64(11)) % n
-        x = x + step
+    blocks = np.asarray(n_bits, dtype=np.uint64) >> np.uint64(9)
+    block = ((x >> np.uint64(32)) * blocks >> np.uint64(32)) << np.uint64(9)
+    y = mix(x + _K2)
+    for k in range(HASHES):
+        yield block | (y >> np.uint64(9 * k) & np.uint64(511))
 
 
 def build_filter(counts: DataFrame) -> DataFrame:
@@ -175,7 +175,7 @@ def build_filter(counts: DataFrame) -> DataFrame:
                 return
             g, c = summed(state[1], state[2])
             level = 1 + np.floor(np.log2(c)).astype(np.int64)
-            n_bits = (int(level.sum()) * BITS + 63) // 64 * 64
+            n_bits = (int(level.sum()) * BITS + 511) // 512 * 512
             bits = np.zeros(n_bits, dtype=bool)
             for k in range(1, int(level.max()) + 1):
                 for at in places(g[level >= k], k, n_bits):
@@ -312,17 +312,13 @@ def score(df: DataFrame, train: str, key: str = "doc_id", text: str = "text") ->
                 share = np.where(exact >= 0, np.log10((np.maximum(exact, 0) + 0.1) / room), 0.0)
                 base = np.add.reduceat(share[flat], starts)
                 n_heavy = np.add.reduceat((exact > 0)[flat].astype(np.int64), starts)
-                words = list(ids)
-                rest, times = [], []
-                light = exact < 0
-                for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-                    own = flat[s:e]
-                    own, c = np.unique(own[light[own]], return_counts=True)
-                    rest.append([words[x] for x in own.tolist()])
-                    times.append(c.tolist())
+                doc, light = np.repeat(np.arange(len(ends)), ends - starts), (exact < 0)[flat]
+                own, times = np.unique(doc[light] * len(ids) + flat[light], return_counts=True)
+                cut = pa.array(np.searchsorted(own, np.arange(len(ends) + 1) * len(ids)).astype(np.int32))
+                rest = pa.ListArray.from_arrays(cut, pa.array(list(ids), pa.binary()).take(pa.array(own % len(ids))))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), b.column(1), b.column(2), pa.array(ends - starts), pa.array(n_heavy), pa.array(base), pa.array(model),
-                     pa.array(rest, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))],
+                     rest, pa.ListArray.from_arrays(cut, pa.array(times.astype(np.int64)))],
                     names=["row", "key", "held_out", "n_tokens", "n_heavy", "base", "score", "rest", "times"])
 
     schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("key", kind), T.StructField("held_out", T.BooleanType()),
