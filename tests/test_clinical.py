@@ -5,6 +5,7 @@ import os
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from vitalis.plans import clinical as CL
 from vitalis.sources.tables import CLINICAL_SCHEMAS
@@ -41,6 +42,8 @@ def tables(spark):
         schema = CLINICAL_SCHEMAS[name]
         data = [r + (None,) * (len(schema) - len(r)) for r in rows]
         df = spark.createDataFrame(data, schema)
+        # published files hold more columns, in another order
+        df = df.select(F.lit("x").alias("row_note"), *[F.col(c) for c in reversed(df.columns)], F.lit(7).alias("caregiver_id"))
         df.coalesce(1).write.mode("overwrite").option("header", "true").csv(os.path.join(base, sub, f"{name}.csv"))
     return CL.load(spark, base, "csv")
 

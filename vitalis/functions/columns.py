@@ -10,8 +10,9 @@ import re
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ColumnLike = Column | str
 
@@ -31,6 +32,18 @@ def to_number(c: ColumnLike) -> Column:
     return _c(c).cast("string").try_cast("double")
 
 
+def number(df: DataFrame, name: str) -> Column:
+    """P7 for a column of ``df``: numeric columns as they are, text through ``to_number``."""
+    return F.col(name).cast("double") if isinstance(df.schema[name].dataType, T.NumericType) else to_number(name)
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which null equals null; keys come from the left side."""
+    r = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def to_ts(c: ColumnLike, fmt: str | None = None) -> Column:
     """Text -> timestamp."""
     return F.to_timestamp(_c(c), fmt) if fmt else F.to_timestamp(_c(c))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 LONG_SCHEMA = "model_name string, row_id bigint, feature string, value double, attribution double"
 # The forest is shipped to every executor; its size is the model's, not the
 # data's, but deep forests on huge data can be large.  Refuse rather than cap.
-MAX_FOREST_NODES = 20_000_000
+MAX_FOREST_NODES = 2_000_000
 
 
 def to_long(df: DataFrame, id_col: str, features: Sequence[str], value_col: str = "value") -> DataFrame:
@@ -35,12 +35,11 @@ def to_long(df: DataFrame, id_col: str, features: Sequence[str], value_col: str
     return df.select(F.col(id_col).cast("bigint").alias("row_id"), cells).select("row_id", "_cell.*")
 
 
-def linear_attributions(df: DataFrame, id_col: str, coefs: DataFrame) -> DataFrame:
+def linear_attributions(df: DataFrame, id_col: str, coefs: DataFrame, features: Sequence[str]) -> DataFrame:
     """attribution = coef * (value - centre) per (model, row, feature).
 
     ``coefs`` has (model_name, feature, coef, centre); its size is models x
     features (schema-sized), so it is broadcast."""
-    features = [r[0] for r in coefs.select("feature").distinct().collect()]
     long = to_long(df, id_col, sorted(features))
     j = long.join(F.broadcast(coefs), "feature")
     return j.select("model_name", "row_id", "feature", "value",
@@ -88,89 +87,30 @@ def forest_nodes(spark: SparkSession, model, scratch: str | None = None) -> tupl
     kind = "gbt" if "GBT" in type(model).__name__ else "rf"
     if "treeID" not in nodes.columns:  # single decision tree
         nodes = nodes.withColumn("treeID", F.lit(0)).withColumn("nodeData", F.struct("*"))
-    rows = nodes.select("treeID", "nodeData.*").toPandas()
+    rows = nodes.select("treeID", "nodeData.*").select(
+        "treeID", "id", "leftChild", "rightChild", "prediction", "impurityStats", "rawCount",
+        F.col("split.featureIndex").alias("feature"),
+        F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold")).toPandas()
     weights = list(getattr(model, "treeWeights", [1.0] * (int(rows["treeID"].max()) + 1)))
     trees = []
     for tid, g in rows.groupby("treeID"):
         g = g.sort_values("id")
-        n = int(g["id"].max()) + 1
-        left = np.full(n, -1, dtype=np.int64)
-        right = np.full(n, -1, dtype=np.int64)
-        feat = np.full(n, -1, dtype=np.int64)
-        thr = np.zeros(n)
-        val = np.zeros(n)
-        cover = np.zeros(n)
-        for r in g.itertuples(index=False):
-            i = int(r.id)
-            left[i], right[i] = int(r.leftChild), int(r.rightChild)
-            stats = np.asarray(r.impurityStats, dtype=float)
-            if kind == "gbt":
-                cover[i] = stats[0] if len(stats) else float(r.rawCount)
-                val[i] = float(r.prediction)
-            else:
-                tot = stats.sum()
-                cover[i] = tot if tot > 0 else float(r.rawCount)
-                val[i] = stats[1] / tot if len(stats) > 1 and tot > 0 else 0.0
-            if left[i] >= 0:
-                feat[i] = int(r.split["featureIndex"])
-                thr[i] = float(r.split["leftCategoriesOrThreshold"][0])
+        # node ids are 0 .. n-1 in each tree, so columns are the arrays
+        left, right = g["leftChild"].to_numpy(np.int64), g["rightChild"].to_numpy(np.int64)
+        feat = g["feature"].to_numpy(np.int64)
+        thr = g["threshold"].fillna(0.0).to_numpy(float)
+        stats = np.stack(g["impurityStats"].to_numpy()).astype(float)
+        raw = g["rawCount"].to_numpy(float)
+        if kind == "gbt":
+            cover, val = (stats[:, 0] if stats.shape[1] else raw), g["prediction"].to_numpy(float)
+        else:
+            tot = stats.sum(axis=1)
+            cover = np.where(tot > 0, tot, raw)
+            val = np.where(tot > 0, stats[:, 1] / np.where(tot > 0, tot, 1.0), 0.0) if stats.shape[1] > 1 else np.zeros(len(g))
         trees.append({"left": left, "right": right, "feat": feat, "thr": thr, "val": val, "cover": cover})
     return trees, [float(w) for w in weights], kind
 
 
-def _extend(m, pz, po, pi):
-    m = [list(e) for e in m]
-    length = len(m)
-    m.append([pi, pz, po, 1.0 if length == 0 else 0.0])
-    for i in range(length - 1, -1, -1):
-        m[i + 1][3] += po * m[i][3] * (i + 1) / (length + 1)
-        m[i][3] = pz * m[i][3] * (length - i) / (length + 1)
-    return m
-
-
-def _unwind(m, i):
-    m = [list(e) for e in m]
-    last = len(m) - 1
-    n = m[last][3]
-    for j in range(last - 1, -1, -1):
-        if m[i][2] != 0:
-            t = m[j][3]
-            m[j][3] = n * (last + 1) / ((j + 1) * m[i][2])
-            n = t - m[j][3] * m[i][1] * (last - j) / (last + 1)
-        else:
-            m[j][3] = m[j][3] * (last + 1) / (m[i][1] * (last - j))
-    for j in range(i, last):
-        m[j][0], m[j][1], m[j][2] = m[j + 1][0], m[j + 1][1], m[j + 1][2]
-    m.pop()
-    return m
-
-
-def tree_shap_row(x: np.ndarray, tree: dict, phi: np.ndarray) -> None:
-    """Add one tree's exact path-dependent SHAP values for row ``x`` to ``phi``."""
-    left, right, feat, thr, val, cover = (tree[k] for k in ("left", "right", "feat", "thr", "val", "cover"))
-
-    def recurse(j, m, pz, po, pi):
-        m = _extend(m, pz, po, pi)
-        if left[j] < 0:
-            for i in range(1, len(m)):
-                w = sum(e[3] for e in _unwind(m, i))
-                phi[m[i][0]] += w * (m[i][2] - m[i][1]) * val[j]
-            return
-        d = feat[j]
-        xv = x[d]
-        hot, cold = (left[j], right[j]) if (not np.isnan(xv) and xv <= thr[j]) else (right[j], left[j])
-        iz = io = 1.0
-        k = next((k for k in range(1, len(m)) if m[k][0] == d), None)
-        if k is not None:
-            iz, io = m[k][1], m[k][2]
-            m = _unwind(m, k)
-        cj = cover[j] if cover[j] > 0 else 1.0
-        recurse(hot, m, iz * cover[hot] / cj, io, d)
-        recurse(cold, m, iz * cover[cold] / cj, 0.0, d)
-
-    recurse(0, [], 1.0, 1.0, -1)
-
-
 def leaf_paths(tree: dict) -> list[tuple[int, list[tuple[int, float, bool, float]]]]:
     """Every leaf with its path: (feature, threshold, goes_left, cover ratio)."""
     left, right, feat, thr, cover = (tree[k] for k in ("left", "right", "feat", "thr", "cover"))
@@ -191,8 +131,8 @@ def tree_shap_batch(x: np.ndarray, tree: dict, paths=None) -> np.ndarray:
     over rows.  Per leaf, repeated features merge into one path element (zero
     fraction = product of cover ratios, one fraction = all branches followed);
     the Shapley weights are the coefficients of the product of the elements'
-    linear factors, which does not depend on the path order, so this equals
-    ``tree_shap_row``."""
+    linear factors, which does not depend on the path order, so this equals the
+    row-wise recursion (which the tests hold)."""
     n, d = x.shape
     phi = np.zeros((n, d))
     val = tree["val"]

@@ -17,6 +17,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import null_safe_join
+
 # score ranges: each range is one window partition, so 1024 keeps a range small
 # even with billions of distinct scores; the offset table has <= 1024 rows.
 N_BUCKETS = 1024
@@ -69,8 +71,10 @@ def score_table(preds: DataFrame, label: str = "label", score: str = "score", n_
     (counts at strictly higher scores within the group)."""
     g = list(group_cols)
     c = counts if counts is not None else score_counts(preds, label, None, score, g)
-    per = (c.where(F.col("score").isNotNull() & ~F.isnan("score"))
-            .groupBy(*g, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
+    bad = c.where(F.col("score").isNull() | F.isnan("score")).agg(F.sum(F.col("pos") + F.col("neg"))).first()[0]
+    if bad:
+        raise ValueError(f"{bad} rows have a null or NaN score; a ranking over the others would not be theirs")
+    per = (c.groupBy(*g, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
     qs = per.approxQuantile("score", [i / n_buckets for i in range(1, n_buckets)], 1.0 / (4 * n_buckets)) \
         if n_buckets > 1 else []
     splits = [float("-inf")] + sorted(set(qs)) + [float("inf")]
@@ -84,7 +88,7 @@ def score_table(preds: DataFrame, label: str = "label", score: str = "score", n_
     higher_buckets = Window.partitionBy(*g).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*g, "_b", F.coalesce(F.sum("_tp").over(higher_buckets), F.lit(0)).alias("_op"),
                             F.coalesce(F.sum("_tn").over(higher_buckets), F.lit(0)).alias("_on"))
-    return (local.join(offsets, [*g, "_b"])
+    return (null_safe_join(local, offsets, [*g, "_b"])
                  .select(*g, "score", "pos", "neg", (F.col("_lp") + F.col("_op")).alias("pos_above"),
                          (F.col("_ln") + F.col("_on")).alias("neg_above")))
 
@@ -124,8 +128,8 @@ def grouped_evaluate(preds: DataFrame, group_cols: Sequence[str], label: str = "
     over the predictions."""
     g = list(group_cols)
     counts = score_counts(preds, label, pred, score, g)
-    return rates(_confusion_from_counts(counts, g)).join(
-        ranking_metrics(preds, label, score, n_buckets, g, counts), g, "left")
+    return null_safe_join(rates(_confusion_from_counts(counts, g)),
+                          ranking_metrics(preds, label, score, n_buckets, g, counts), g, "left")
 
 
 def evaluate(preds: DataFrame, label: str = "label", pred: str = "prediction", score: str = "score",

@@ -29,6 +29,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 
+from pyspark import StorageLevel
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
@@ -44,6 +45,7 @@ MODEL_NAMES = ["Logistic_Regression", "SVC", "Random_Forest", "XGBoost", "LightG
 BOOSTED = ["XGBoost", "LightGBM"]
 WEIGHTED = {"Logistic_Regression", "SVC", "Random_Forest", "LightGBM", "Extra_Trees"}
 SEED = 42
+MAX_DEPTH = 30      # the deepest trees MLlib grows; the original leaves depth open
 
 LEADERBOARD_SCHEMA = T.StructType([
     T.StructField("resampling_method", T.StringType()),
@@ -75,9 +77,9 @@ def estimator(name: str, params: dict | None = None, weight_col: str | None = No
     if name == "SVC":
         return LinearSVC(**common, **{"maxIter": 100, **p})
     if name == "Random_Forest":
-        return RandomForestClassifier(**common, **{"numTrees": 100, "seed": SEED, **p})
+        return RandomForestClassifier(**common, **{"numTrees": 100, "maxDepth": MAX_DEPTH, "seed": SEED, **p})
     if name == "Extra_Trees":
-        return RandomForestClassifier(**common, **{"numTrees": 100, "bootstrap": False,
+        return RandomForestClassifier(**common, **{"numTrees": 100, "bootstrap": False, "maxDepth": MAX_DEPTH,
                                                    "featureSubsetStrategy": "sqrt", "seed": SEED, **p})
     if name == "XGBoost":
         return GBTClassifier(**common, **{"maxIter": 100, "maxDepth": 6, "stepSize": 0.3, "seed": SEED, **p})
@@ -151,14 +153,15 @@ class Fitted:
 
 
 def fit(name: str, train: DataFrame, features: Sequence[str], label: str = "label",
-        params: dict | None = None, weighted: bool | None = None) -> Fitted:
-    """Fit one family.  Class weights (F7) are used where the original used them."""
+        params: dict | None = None, weighted: bool | None = None, counted: DataFrame | None = None) -> Fitted:
+    """Fit one family.  Class weights (F7) are used where the original used them;
+    ``counted`` names the rows they are counted over (default: ``train``)."""
     weighted = (name in WEIGHTED) if weighted is None else weighted
     params = dict(params or {})
     kernel = {k: params.pop(k) for k in SVC_KERNEL_PARAMS if k in params}
     df = train
     if weighted:
-        df = P.class_weights(df, label, "weight")
+        df = P.class_weights(df, label, "weight", counted)
     scaler = P.fit_scaler(df, features) if name == "SVC" else None
     if scaler:
         df = P.apply_scaler(df, scaler)
@@ -184,6 +187,23 @@ def evaluate_model(fitted: Fitted, df: DataFrame, label: str = "label") -> dict:
     return M.evaluate_dict(preds)
 
 
+def _board_metrics(scored: list[DataFrame]) -> dict:
+    """Metrics of every (variant, model) from one pass over all their predictions.
+    A model with null or NaN scores gets none.  One row per fit reaches the driver."""
+    if not scored:
+        return {}
+    both = scored[0]
+    for s in scored[1:]:
+        both = both.unionByName(s)
+    both = both.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        bad = both.where(F.col("score").isNull() | F.isnan("score")).select("variant", "model").distinct()
+        good = both.join(F.broadcast(bad), ["variant", "model"], "left_anti")
+        return {(r["variant"], r["model"]): r.asDict() for r in M.grouped_evaluate(good, ["variant", "model"]).collect()}
+    finally:
+        both.unpersist()
+
+
 def run_grid(variants: dict[str, DataFrame], evaluation: DataFrame, features: Sequence[str], label: str = "label",
              models: Sequence[str] = MODEL_NAMES, out_dir: str | None = None, parallel: int = 4) -> DataFrame:
     """M6 + M12: every (variant, model) fitted and scored; failures become rows
@@ -195,19 +215,26 @@ def run_grid(variants: dict[str, DataFrame], evaluation: DataFrame, features: Se
         v, m = job
         path = os.path.join(out_dir, v, m) if out_dir else None
         try:
-            tr = variants[v]
-            f = fit(m, tr, features, label)
-            r = evaluate_model(f, evaluation, label)
+            f = fit(m, variants[v], features, label)
+            scored = f.transform(evaluation).select(
+                F.lit(v).alias("variant"), F.lit(m).alias("model"), F.col(label).alias("label"), "prediction", "score")
             if path:
                 f.model.write().overwrite().save(path)
-            return (v, m, r["accuracy"], r["precision"], r["recall"], r["f1_score"], r["specificity"],
-                    r["roc_auc"], r["pr_auc"], len(features), tr.count(), path, None)
+            return scored, path, None
         except Exception as e:  # noqa: BLE001 - a failed fit is a result row
-            return (v, m, None, None, None, None, None, None, None, len(features), None, path,
-                    f"{type(e).__name__}: {e}"[:500] + ("" if os.environ.get("VITALIS_QUIET") else
-                                                        "\n" + traceback.format_exc()[-500:]))
+            return None, path, f"{type(e).__name__}: {e}"[:500] + ("" if os.environ.get("VITALIS_QUIET") else
+                                                                    "\n" + traceback.format_exc()[-500:])
 
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as ex:
-        rows = list(ex.map(one, jobs))
+        fits = dict(zip(jobs, ex.map(one, jobs)))
+    sizes = {v: tr.count() for v, tr in variants.items()}
+    metrics = _board_metrics([s for s, _, _ in fits.values() if s is not None])
+    names = ["accuracy", "precision", "recall", "f1_score", "specificity", "roc_auc", "pr_auc"]
+    rows = []
+    for (v, m), (scored, path, error) in fits.items():
+        r = metrics.get((v, m), {})
+        if scored is not None and not r:
+            error = "null or NaN scores"
+        rows.append((v, m, *[r.get(k) for k in names], len(features), sizes[v] if error is None else None, path, error))
     board = spark.createDataFrame(rows, LEADERBOARD_SCHEMA)
     return board.orderBy(F.desc_nulls_last("roc_auc"), "resampling_method", "model_name")

@@ -32,13 +32,11 @@ def fit_label_codes(train: DataFrame, cols: Sequence[str]) -> DataFrame:
     """F1 fit: per column, the distinct train values (as text, null -> 'nan') with
     code = lexicographic rank.  One (column, value, code) table for all columns;
     a category's distinct values are few, so ranking them is cheap."""
-    parts = [train.select(F.lit(c).alias("column"), category_text(c).alias("value")) for c in cols]
-    if not parts:
+    if not cols:
         return train.sparkSession.createDataFrame([], "column string, value string, code int, freq bigint")
-    allv = parts[0]
-    for p in parts[1:]:
-        allv = allv.unionByName(p)
-    d = allv.groupBy("column", "value").agg(F.count(F.lit(1)).alias("freq"))
+    # one scan for all columns, combined map-side before the shuffle
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), category_text(c).alias("value")) for c in cols]))
+    d = train.select(cells.alias("_x")).select("_x.*").groupBy("column", "value").agg(F.count(F.lit(1)).alias("freq"))
     w = Window.partitionBy("column").orderBy("value")
     return d.select("column", "value", (F.row_number().over(w) - 1).cast("int").alias("code"), "freq")
 
@@ -94,9 +92,12 @@ def apply_scaler(df: DataFrame, stats: dict[str, tuple[float, float]]) -> DataFr
     return df.select(*[z(c) if c in stats else F.col(c) for c in df.columns])
 
 
-def class_weights(df: DataFrame, target: str, weight_col: str = "weight") -> DataFrame:
-    """'balanced' weights n / (k * n_class) as a column (k = number of classes)."""
-    counts = df.groupBy(target).agg(F.count(F.lit(1)).alias("_nc"))
+def class_weights(df: DataFrame, target: str, weight_col: str = "weight", counted: DataFrame | None = None) -> DataFrame:
+    """'balanced' weights n / (k * n_class) as a column (k = number of classes).
+
+    ``counted`` names the rows whose classes are counted (the train part, when
+    ``df`` also holds validation rows); the default is ``df`` itself."""
+    counts = (df if counted is None else counted).groupBy(target).agg(F.count(F.lit(1)).alias("_nc"))
     tot = counts.agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_k"))
     w = counts.crossJoin(tot).select(target, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias(weight_col))
     return df.join(F.broadcast(w), on=target, how="left")

@@ -16,8 +16,9 @@ from ..functions.columns import shorten
 
 
 def histogram(df: DataFrame, col: str, bins: int, lo: float | None = None, hi: float | None = None) -> DataFrame:
-    """Equal-width histogram; the last bin is closed on the right.
-    Bounds default to the column's min/max (one-row collect)."""
+    """Equal-width histogram, one row for every bin, empty ones included;
+    the last bin is closed on the right and values outside the bounds count
+    nowhere.  Bounds default to the column's min/max (one-row collect)."""
     if lo is None or hi is None:
         r = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).first()
         lo = r["lo"] if lo is None else lo
@@ -26,7 +27,10 @@ def histogram(df: DataFrame, col: str, bins: int, lo: float | None = None, hi: f
         return df.sparkSession.createDataFrame([], "bin int, bin_lo double, bin_hi double, n bigint")
     width = (float(hi) - float(lo)) / bins if hi != lo else 1.0
     b = F.least(F.floor((F.col(col).cast("double") - F.lit(float(lo))) / F.lit(width)).cast("int"), F.lit(bins - 1))
-    counts = df.where(F.col(col).isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    inside = df.where(F.col(col).isNotNull() & F.col(col).cast("double").between(float(lo), float(hi)))
+    counts = inside.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    counts = (df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).join(F.broadcast(counts), "bin", "left")
+                .withColumn("n", F.coalesce("n", F.lit(0).cast("bigint"))))     # at most ``bins`` rows on either side
     return counts.select("bin", (F.lit(float(lo)) + F.col("bin") * width).alias("bin_lo"),
                          (F.lit(float(lo)) + (F.col("bin") + 1) * width).alias("bin_hi"), "n")
 

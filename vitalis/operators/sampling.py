@@ -20,6 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import null_safe_join
+
 HASH_BITS = 60
 # 2**20 hash buckets: at 1e11 rows about 1e5 rows per (class, bucket) window,
 # while the (class, bucket) offset table stays <= 1M rows per class.
@@ -29,7 +31,7 @@ RANK_BITS = 20
 def hash_key(id_col: str | Column, seed: int = 42) -> Column:
     """60-bit non-negative integer from ``md5(cast(id as string) || '|' || seed)``."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col
-    digest = F.md5(F.concat(c.cast("string"), F.lit(f"|{seed}")))
+    digest = F.md5(F.concat(F.coalesce(c.cast("string"), F.lit("null")), F.lit(f"|{seed}")))   # a null id hashes as text
     return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("bigint")
 
 
@@ -38,7 +40,8 @@ def ranked(df: DataFrame, group_cols: Sequence[str], hash_col: str, tiebreak: Se
     """Add the exact 0-based rank of each row inside ``group_cols`` ordered by
     (``hash_col``, ``tiebreak``), and optionally the group size.
 
-    ``hash_col`` must be uniform on [0, 2**60) (see ``hash_key``)."""
+    ``hash_col`` must be uniform on [0, 2**60) and never null (see ``hash_key``).
+    A null group is a group of its own: no row is lost."""
     groups = list(group_cols)
     bucket = F.shiftright(F.col(hash_col), HASH_BITS - bits)
     with_b = df.withColumn("_bucket", bucket)
@@ -48,8 +51,7 @@ def ranked(df: DataFrame, group_cols: Sequence[str], hash_col: str, tiebreak: Se
                             F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
                             F.sum("_n").over(Window.partitionBy(*groups)).alias("_size"))
     local = Window.partitionBy(*groups, "_bucket").orderBy(hash_col, *tiebreak)
-    out = (with_b.withColumn("_local", F.row_number().over(local) - 1)
-                 .join(offsets, on=[*groups, "_bucket"], how="inner")
+    out = (null_safe_join(with_b.withColumn("_local", F.row_number().over(local) - 1), offsets, [*groups, "_bucket"])
                  .withColumn(rank_col, (F.col("_offset") + F.col("_local")).cast("bigint")))
     if size_col:
         out = out.withColumnRenamed("_size", size_col)
@@ -105,9 +107,16 @@ def split_conservation(source: DataFrame, parts: DataFrame, id_col: str, split_c
         "conserved", (F.col("rows_in_parts") == F.col("rows_in_source")) & (F.col("ids_in_several_parts") == 0))
 
 
+MAX_CLASSES = 10_000
+
+
 def class_counts(df: DataFrame, target: str) -> dict:
-    """Rows per class (one small driver collect; the number of classes is tiny)."""
-    return {r[0]: r[1] for r in df.groupBy(target).count().collect()}
+    """Rows per class.  Raises above ``MAX_CLASSES`` classes (a continuous target),
+    so what reaches the driver is bounded."""
+    rows = df.groupBy(target).count().limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"{target!r} has more than {MAX_CLASSES} values; it is no class column")
+    return {r[0]: r[1] for r in rows}
 
 
 def downsample(df: DataFrame, id_col: str, target: str, seed: int = 42, bits: int = RANK_BITS,
@@ -116,8 +125,11 @@ def downsample(df: DataFrame, id_col: str, target: str, seed: int = 42, bits: in
     replacement in hash order; the largest class is found, not assumed.
 
     ``shuffle_col`` carries the seeded order the original used to shuffle rows
-    (DataFrame rows have no order of their own)."""
+    (DataFrame rows have no order of their own).  Rows without a class are an
+    error: they belong to no class and must not set the target size."""
     counts = class_counts(df, target)
+    if None in counts:
+        raise ValueError(f"{counts[None]} rows have no {target!r}; drop or label them before down-sampling")
     if not counts:
         return df
     n_min = min(counts.values())

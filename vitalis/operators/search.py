@@ -149,7 +149,8 @@ def fit_trial(model, train, val, features, label, params, n_rows):
         both = (train.withColumn("_is_val", F.lit(False))
                      .unionByName(val.withColumn("_is_val", F.lit(True))))
         p = {**p, "validationIndicatorCol": "_is_val", "validationTol": 0.01}
-        return MD.fit(model, both, features, label, p)
+        # the class weights are those of the train part: validation rows teach nothing
+        return MD.fit(model, both, features, label, p, counted=train)
     return MD.fit(model, train, features, label, p)
 
 

@@ -17,7 +17,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import either_flag, indicator, one_hot, to_number
+from ..functions.columns import either_flag, indicator, number, one_hot
 from ..operators import models as MD
 from ..operators import prep as P
 from ..operators import quality as Q
@@ -55,7 +55,9 @@ def extract(t: Mapping[str, DataFrame], window_hours: float = 24.0, horizon_hour
     """One row per subject (first ICU stay) with label, flags, measures and
     first-day vital / lab statistics.
 
-    Defaults reproduce the original; the options are its documented quirks:
+    Defaults reproduce the original but for ``compat``: the original takes each
+    column's first non-null value of a subject's stays (``compat=True``), the
+    default takes the first stay's own row.  The options are its documented quirks:
     ``not_before`` ignores deaths before admission, ``comorbidity_scope=
     'index_admission'`` uses only the index admission's diagnoses (the original
     uses all of the subject's), ``convert_units`` converts Fahrenheit items
@@ -78,7 +80,7 @@ def extract(t: Mapping[str, DataFrame], window_hours: float = 24.0, horizon_hour
     omr = in_cohort(t["omr"], stays, "subject_id")
     lifestyle = keyword_flags(omr, "subject_id", "result_name", "result_value", K.LIFESTYLE_FLAGS, entities=stays)
     names = [n for v in K.ANTHROPOMETRIC_ALIASES.values() for n in v]
-    measures = first_measure(omr, "subject_id", "result_name", "result_value", ["chartdate"], names)
+    measures = first_measure(omr, "subject_id", "result_name", "result_value", ["chartdate", "result_value"], names)
     present = None
     if alias_mode == "table":  # which alias names occur at all: at most len(names) rows
         present = [r[0] for r in omr.where(F.col("result_name").isin(names)).select("result_name").distinct().collect()]
@@ -89,7 +91,7 @@ def extract(t: Mapping[str, DataFrame], window_hours: float = 24.0, horizon_hour
     all_vital_ids = [i for v in K.VITAL_ITEMS.values() for i in v]
     ce = (t["chartevents"].where(F.col("itemid").isin(all_vital_ids))          # pushed to the scan
           .select("stay_id", F.col("itemid").cast("long").alias("itemid"), "charttime",
-                  to_number("valuenum").alias("valuenum")))
+                  number(t["chartevents"], "valuenum").alias("valuenum")))
     if convert_units:
         conv = spark.createDataFrame([(int(i), float(a), float(b)) for i, (a, b) in K.CHART_CONVERSIONS.items()],
                                      "itemid long, _scale double, _offset double")
@@ -104,7 +106,7 @@ def extract(t: Mapping[str, DataFrame], window_hours: float = 24.0, horizon_hour
     all_lab_ids = [i for v in K.LAB_ITEMS.values() for i in v]
     le = (t["labevents"].where(F.col("itemid").isin(all_lab_ids) & F.col("hadm_id").isNotNull())
           .select("hadm_id", F.col("itemid").cast("long").alias("itemid"), "charttime",
-                  to_number("valuenum").alias("valuenum")))
+                  number(t["labevents"], "valuenum").alias("valuenum")))
     le = window_join(le, stays.select("hadm_id", "stay_id", "intime"), "hadm_id", "charttime", "intime",
                      0.0, window_hours)
     labs = measure_features(lookup(le, lab_items, "itemid"), "stay_id", "item_type", "valuenum",

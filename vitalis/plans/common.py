@@ -26,9 +26,9 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     return df.select(*cols)
 
 
-def ts_text(c: str) -> F.Column:
+def ts_text(c: str | F.Column) -> F.Column:
     """Timestamp as 'yyyy-MM-dd HH:mm:ss' text (same rendering in both engines)."""
-    return F.date_format(F.col(c), "yyyy-MM-dd HH:mm:ss")
+    return F.date_format(F.col(c) if isinstance(c, str) else c, "yyyy-MM-dd HH:mm:ss")
 
 
 def sql_round(expr: str, digits: int = DIGITS) -> str:

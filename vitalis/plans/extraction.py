@@ -58,8 +58,7 @@ def first_stays(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def event_anchors(spark: SparkSession, sf: str) -> DataFrame:
-    ev = table(spark, sf, "events").select("user_id", "ts", "event_id")
-    return first_per_key(ev, "user_id", ["ts"], ["event_id"]).select("user_id", F.col("ts").alias("origin"))
+    return table(spark, sf, "events").groupBy("user_id").agg(F.min("ts").alias("origin"))
 
 
 def event_features(spark: SparkSession, sf: str) -> DataFrame:

@@ -20,16 +20,12 @@ from ..session import ensure_checkpoint_dir
 from . import extraction as X
 from .common import rounded
 from .quality import SPARSE_THRESHOLD, WIDE_RULES
-from .splitting import FRACTIONS, SEED
+from .reporting import _CLEAN_SQL
+from .splitting import FRACTIONS, SEED, sql_split
 
-_CACHE: dict = {}
-
-
-def model_table(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
-    """Cleaned, split, encoded, imputed wide table and its feature columns."""
-    key = (id(spark), sf)
-    if key in _CACHE:
-        return _CACHE[key]
+def model_table(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str], list[str]]:
+    """Cleaned, split, encoded, imputed wide table, its feature columns and which
+    of them are coded categories.  Built anew on each call: nothing outlives a query."""
     ensure_checkpoint_dir(spark)
     w = Q.range_filter(Q.nans_to_nulls(X.wide_table(spark, sf)), WIDE_RULES).checkpoint(eager=True)
     w = Q.drop_sparse(w, SPARSE_THRESHOLD, keep=["subject_id", "stay_id", "label"])
@@ -39,10 +35,7 @@ def model_table(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
     enc = P.apply_label_codes(s, codes, cats)
     means = Q.fit_means(enc.where(F.col("split") == "train"))
     enc = Q.impute(enc, means).checkpoint(eager=True)
-    feats = P.feature_columns(enc, "label")
-    _CACHE[key] = (enc, feats)
-    _CACHE[("cats",) + key] = cats
-    return enc, feats
+    return enc, P.feature_columns(enc, "label"), cats
 
 
 def train_variants(enc: DataFrame, feats: list[str] | None = None, cats: list[str] | None = None) -> dict[str, DataFrame]:
@@ -60,37 +53,32 @@ def train_variants(enc: DataFrame, feats: list[str] | None = None, cats: list[st
 
 
 def q_leaderboard(spark, sf):
-    enc, feats = model_table(spark, sf)
+    enc, feats, cats = model_table(spark, sf)
     val = enc.where(F.col("split") == "val")
-    cats = _CACHE.get(("cats", id(spark), sf), [])
     return rounded(MD.run_grid(train_variants(enc, feats, cats), val, feats, "label", parallel=6))
 
 
 def q_search_lr(spark, sf):
     """M13 on logistic regression (30 trials, as in the original space)."""
-    enc, feats = model_table(spark, sf)
+    enc, feats, _ = model_table(spark, sf)
     tr = enc.where(F.col("split") == "train")
     val = enc.where(F.col("split") == "val")
     return rounded(SR.search("Logistic_Regression", tr, val, feats, "label"))
 
 
 def tuning(spark, sf, models=MD.BOOSTED, n_trials=None):
-    """M15 + M16: the boosted tuning matrix (not registered: 2 x 2 x 50 fits)."""
-    enc, feats = model_table(spark, sf)
+    """M15 + M16: the boosted tuning matrix over all three train variants (not
+    registered: 2 x 3 x 50 fits)."""
+    enc, feats, cats = model_table(spark, sf)
     val = enc.where(F.col("split") == "val")
     test = enc.where(F.col("split") == "test")
-    return rounded(SR.tuning_matrix(train_variants(enc), val, test, feats, "label", models, n_trials))
-
-
-EXPLAIN_ROWS = 1000
+    return rounded(SR.tuning_matrix(train_variants(enc, feats, cats), val, test, feats, "label", models, n_trials))
 
 
 def _rf_and_test(spark, sf):
-    enc, feats = model_table(spark, sf)
-    key = ("rf", id(spark), sf)
-    if key not in _CACHE:
-        _CACHE[key] = MD.fit("Random_Forest", enc.where(F.col("split") == "train"), feats, "label")
-    return _CACHE[key], enc.where(F.col("split") == "test"), feats
+    enc, feats, _ = model_table(spark, sf)
+    fitted = MD.fit("Random_Forest", enc.where(F.col("split") == "train"), feats, "label")
+    return fitted, enc.where(F.col("split") == "test"), feats
 
 
 def q_batch_scoring(spark, sf):
@@ -99,19 +87,36 @@ def q_batch_scoring(spark, sf):
     return rounded(fitted.transform(test).select("subject_id", "label", "prediction", "score"))
 
 
+def q_scoring_facts(spark, sf):
+    """M3 + M7, what does not depend on the fit: test rows, their positives, and how many
+    scores lie outside [0, 1]."""
+    fitted, test, _ = _rf_and_test(spark, sf)
+    s = fitted.transform(test)
+    return s.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 1).alias("positives"),
+                 F.count_if(~F.coalesce(F.col("score").between(0.0, 1.0), F.lit(False))).alias("out_of_range"))
+
+
 def q_tree_attributions(spark, sf):
-    """Exact TreeSHAP of the forest for at most 1000 sampled test rows."""
+    """Exact TreeSHAP of the forest for every test row."""
     fitted, test, feats = _rf_and_test(spark, sf)
-    rows = S.sample_rows(test, "subject_id", EXPLAIN_ROWS, seed=SEED)
-    attr, expected = EX.tree_attributions(rows, "subject_id", feats, fitted.model, "Random_Forest")
+    attr, expected = EX.tree_attributions(test, "subject_id", feats, fitted.model, "Random_Forest")
     return rounded(attr.withColumn("expected_value", F.lit(expected)))
 
 
+def q_tree_additivity(spark, sf):
+    """Explained rows, and those whose expected value and attributions do not sum to the score."""
+    fitted, test, feats = _rf_and_test(spark, sf)
+    attr, expected = EX.tree_attributions(test, "subject_id", feats, fitted.model, "Random_Forest")
+    sums = attr.groupBy("row_id").agg((F.sum("attribution") + F.lit(expected)).alias("s"))
+    scores = fitted.transform(test).select(F.col("subject_id").alias("row_id"), "score")
+    return scores.join(sums, "row_id", "left").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(F.abs(F.col("s") - F.col("score")) > 1e-6, F.lit(True))).alias("not_additive"))
+
+
 def q_tree_importance(spark, sf):
     """A18 on the forest's TreeSHAP values: mean |attribution| per feature."""
     fitted, test, feats = _rf_and_test(spark, sf)
-    rows = S.sample_rows(test, "subject_id", EXPLAIN_ROWS, seed=SEED)
-    attr, _ = EX.tree_attributions(rows, "subject_id", feats, fitted.model, "Random_Forest")
+    attr, _ = EX.tree_attributions(test, "subject_id", feats, fitted.model, "Random_Forest")
     return rounded(EX.importance(attr, top=20))
 
 
@@ -121,4 +126,14 @@ QUERIES = {
     "m13_search_lr": q_search_lr,
     "m7_batch_scoring": q_batch_scoring,
     "m17_tree_attributions": q_tree_attributions,
+    "m7_scoring_facts": q_scoring_facts,
+    "m17_additivity": q_tree_additivity,
+}
+
+_TEST_ROWS = f"""WITH {_CLEAN_SQL}, parts AS (SELECT * FROM {sql_split('clean', 'subject_id', 'label')}),
+    t AS (SELECT * FROM parts WHERE split = 'test')"""
+
+SQL = {
+    "m7_scoring_facts": f"{_TEST_ROWS} SELECT count(*) AS n, count_if(label = 1) AS positives, CAST(0 AS BIGINT) AS out_of_range FROM t",
+    "m17_additivity": f"{_TEST_ROWS} SELECT count(*) AS n, CAST(0 AS BIGINT) AS not_additive FROM t",
 }

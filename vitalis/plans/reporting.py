@@ -37,7 +37,6 @@ DOC_CATEGORIES = {"length": ["n_chars", "text_len"], "characters": ["digit", "up
                   "none": ["zzz"]}
 ACCT_BINS = 30
 RATIO_BINS = 20
-SAMPLE_ROWS = 1000
 LINE_TIEBREAK = ["variant", "l_discount", "l_tax", "l_quantity"]  # line ids repeat in the data
 
 
@@ -101,8 +100,7 @@ def attributions(spark, sf) -> DataFrame:
     coefs = discriminant_coefficients(train, "lda_original").unionByName(
         discriminant_coefficients(S.downsample(train, "doc_id", "toxic", seed=SEED, shuffle_col=None),
                                   "lda_downsampled"))
-    rows = S.sample_rows(d.where(F.col("split") == "test"), "doc_id", SAMPLE_ROWS, seed=SEED)
-    return EX.linear_attributions(rows, "doc_id", coefs)
+    return EX.linear_attributions(d.where(F.col("split") == "test"), "doc_id", coefs, DOC_FEATURES)
 
 
 def importance(spark, sf, top=20) -> DataFrame:
@@ -303,11 +301,10 @@ def _hist(src: str, col: str, bins: int, ctes: str = "") -> str:
     pre = f"{ctes}, " if ctes else ""
     return f"""WITH {pre}src AS ({src}), b AS (SELECT min({col})::DOUBLE AS lo, max({col})::DOUBLE AS hi FROM src),
         w AS (SELECT lo, CASE WHEN hi = lo THEN 1.0 ELSE (hi - lo) / {bins} END AS width FROM b)
-        SELECT CAST(least(floor(({col} - lo) / width), {bins - 1}) AS INTEGER) AS bin,
-               {sql_round('lo + least(floor((' + col + ' - lo) / width), ' + str(bins - 1) + ') * width')} AS bin_lo,
-               {sql_round('lo + (least(floor((' + col + ' - lo) / width), ' + str(bins - 1) + ') + 1) * width')} AS bin_hi,
-               count(*) AS n
-        FROM src CROSS JOIN w WHERE {col} IS NOT NULL GROUP BY ALL"""
+        SELECT CAST(r.range AS INTEGER) AS bin, {sql_round('w.lo + r.range * w.width')} AS bin_lo,
+               {sql_round('w.lo + (r.range + 1) * w.width')} AS bin_hi, count(src.{col}) AS n
+        FROM range({bins}) r CROSS JOIN w LEFT JOIN src ON least(floor((src.{col} - w.lo) / w.width), {bins - 1}) = r.range
+        GROUP BY ALL"""
 
 
 _DOC = """(SELECT l.doc_id, l.toxic, CAST(l.quality AS DOUBLE) AS quality, CAST(d.n_chars AS DOUBLE) AS n_chars,
@@ -330,130 +327,7 @@ def _coef_sql(src: str, name: str) -> str:
 _ATTR = f"""ds AS (SELECT * FROM {sql_split(_DOC, 'doc_id', 'toxic')}),
 tr AS (SELECT * EXCLUDE (split) FROM ds WHERE split = 'train'),
 coefs AS ({_coef_sql('tr', 'lda_original')} UNION ALL {_coef_sql(sql_downsample('tr', 'doc_id', 'toxic'), 'lda_downsampled')}),
-rows AS (SELECT * FROM ds WHERE split = 'test'
-         ORDER BY ('0x' || substr(md5(CAST(doc_id AS VARCHAR) || '|{SEED}'), 1, 15))::BIGINT, doc_id LIMIT {SAMPLE_ROWS}),
-cells AS ({' UNION ALL '.join(f"SELECT doc_id AS row_id, '{f}' AS feature, {f} AS value FROM rows" for f in DOC_FEATURES)}),
-attr AS (SELECT c.model_name, x.row_id, x.feature, x.value, c.coef * (x.value - c.centre) AS attribution
-         FROM cells x JOIN coefs c USING (feature)),
-imp AS (SELECT model_name, feature, avg(abs(attribution)) AS importance FROM attr GROUP BY ALL)"""
-
-_KW = " UNION ALL ".join(f"SELECT '{c}' AS category, '{k}' AS keyword" for c, ks in DOC_CATEGORIES.items() for k in ks)
-_CLEAN_SQL = f"""{WIDE_SQL},
-ranged AS (SELECT * FROM wide WHERE NOT ({_ANY})),
-rr AS (SELECT {', '.join(f'avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END) AS {c}' for c in X.WIDE_COLUMNS)} FROM ranged),
-clean AS (SELECT w.* FROM ranged w CROSS JOIN rr r
-          WHERE {' AND '.join(f'(w.{c} IS NOT NULL OR r.{c} >= {SPARSE_THRESHOLD})' for c in X.WIDE_COLUMNS)})"""
-
-
-def _summary(src, sfx):
-    return f"""(SELECT count(*) AS n_{sfx}, count_if(label = 1) AS pos_{sfx},
-        count_if(label = 1) / count(*)::DOUBLE AS rate_{sfx},
-        CASE WHEN count_if(label = 1) = 0 THEN NULL ELSE count_if(label <> 1) / count_if(label = 1)::DOUBLE END AS imbalance_{sfx}
-        FROM {src})"""
-
-
-SQL = {
-    "a13_hist_acctbal": _hist("SELECT c_acctbal FROM customer", "c_acctbal", ACCT_BINS),
-    "a13_hist_missing": _hist("SELECT missing_ratio FROM ratios", "missing_ratio", RATIO_BINS,
-                              f"{WIDE_SQL}, {_RATIOS}"),
-    "a14_value_counts": q_value_counts,
-    "a14_top_categories": q_top_categories,
-    "m12_scorer_boards": q_boards,
-    "w3_top_models": q_top_models,
-    "w4_best_auc": q_best_auc,
-    "w4_best_f1": q_best_f1,
-    "w5_best_per_variant": q_best_per_variant,
-    "w6_shortlist": q_shortlist,
-    "a15_mean_auc_by_model": q_mean_auc_by_model,
-    "a15_mean_auc_by_variant": q_mean_auc_by_variant,
-    "a15_mean_f1_by_model": q_mean_f1_by_model,
-    "j6_val_vs_test": q_val_vs_test,
-    "a16_impact": q_impact,
-    "a17_stage_ledger": q_stage_ledger,
-    "m18_linear_attributions": q_linear_attributions,
-    "a18_importance": q_importance,
-    "a19_cross_model_importance": q_cross_model,
-    "a20_category_importance": q_categories,
-    "a21_common_features": q_common_features,
-    "a22_attribution_summary": q_attr_summary,
-    "m19_beeswarm": q_beeswarm,
-}
-
-# ---------------------------------------------------------------------------
-# oracle SQL
-# ---------------------------------------------------------------------------
-
-_LINES = """(SELECT l_orderkey * 8 + l_linenumber AS line_id, CAST(l_returnflag = 'R' AS INTEGER) AS label,
-             l_linestatus AS variant, l_discount, l_tax, l_quantity FROM lineitem)"""
-_BOARD_INPUT = " UNION ALL ".join(
-    f"""SELECT split, variant, '{n}' AS model, label, CAST({e} AS DOUBLE) AS score,
-               CAST({e} >= {t} AS INTEGER) AS prediction FROM sl WHERE split <> 'train'"""
-    for n, (e, t) in SCORERS.items())
-
-
-def _r(num, den):
-    return f"CASE WHEN ({den}) = 0 THEN 0.0 ELSE ({num}) / CAST(({den}) AS DOUBLE) END"
-
-
-_BOARD = f"""sl AS (SELECT * FROM {sql_split(_LINES, 'line_id', 'label', ', '.join(LINE_TIEBREAK))}),
-bi AS ({_BOARD_INPUT}),
-conf AS (SELECT split, variant, model, count_if(label = 1 AND prediction = 1) AS tp,
-            count_if(label <> 1 AND prediction <> 1) AS tn, count_if(label <> 1 AND prediction = 1) AS fp,
-            count_if(label = 1 AND prediction <> 1) AS fn FROM bi GROUP BY ALL),
-st AS (SELECT split, variant, model, score, count_if(label = 1) AS pos, count_if(label <> 1) AS neg
-       FROM bi WHERE score IS NOT NULL GROUP BY ALL),
-sc AS (SELECT *, coalesce(sum(pos) OVER w, 0)::DOUBLE AS pa, coalesce(sum(neg) OVER w, 0)::DOUBLE AS na FROM st
-       WINDOW w AS (PARTITION BY split, variant, model ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-rk AS (SELECT split, variant, model, sum(pos)::DOUBLE AS P, sum(neg)::DOUBLE AS N,
-              sum(neg * (pa + pos / 2.0)) AS an,
-              sum(CASE WHEN pos > 0 THEN pos * (pa + pos) / (pa + pos + na + neg) ELSE 0 END) AS pn
-       FROM sc GROUP BY ALL),
-board AS (SELECT c.split, c.variant, c.model, tp, tn, fp, fn,
-            {_r('tp + tn', 'tp + tn + fp + fn')} AS accuracy, {_r('tp', 'tp + fp')} AS precision,
-            {_r('tp', 'tp + fn')} AS recall, {_r('2 * tp', '2 * tp + fp + fn')} AS f1_score,
-            {_r('tn', 'tn + fp')} AS specificity,
-            CASE WHEN P * N = 0 THEN 0.0 ELSE an / (P * N) END AS roc_auc,
-            CASE WHEN P * N = 0 THEN 0.0 ELSE pn / P END AS pr_auc
-          FROM conf c LEFT JOIN rk USING (split, variant, model)),
-tb AS (SELECT * EXCLUDE (split) FROM board WHERE split = 'test')"""
-
-_METRICS = ["accuracy", "precision", "recall", "f1_score", "specificity", "roc_auc", "pr_auc"]
-_TB_COLS = "variant, model, tp, tn, fp, fn, " + ", ".join(f"{sql_round(m)} AS {m}" for m in _METRICS)
-
-
-def _hist(src: str, col: str, bins: int, ctes: str = "") -> str:
-    pre = f"{ctes}, " if ctes else ""
-    return f"""WITH {pre}src AS ({src}), b AS (SELECT min({col})::DOUBLE AS lo, max({col})::DOUBLE AS hi FROM src),
-        w AS (SELECT lo, CASE WHEN hi = lo THEN 1.0 ELSE (hi - lo) / {bins} END AS width FROM b)
-        SELECT CAST(least(floor(({col} - lo) / width), {bins - 1}) AS INTEGER) AS bin,
-               {sql_round('lo + least(floor((' + col + ' - lo) / width), ' + str(bins - 1) + ') * width')} AS bin_lo,
-               {sql_round('lo + (least(floor((' + col + ' - lo) / width), ' + str(bins - 1) + ') + 1) * width')} AS bin_hi,
-               count(*) AS n
-        FROM src CROSS JOIN w WHERE {col} IS NOT NULL GROUP BY ALL"""
-
-
-_DOC = """(SELECT l.doc_id, l.toxic, CAST(l.quality AS DOUBLE) AS quality, CAST(d.n_chars AS DOUBLE) AS n_chars,
-            CAST(length(d.text) AS DOUBLE) AS text_len,
-            CAST(length(d.text) - length(regexp_replace(d.text, '[0-9]', '', 'g')) AS DOUBLE) AS n_digits,
-            CAST(length(d.text) - length(regexp_replace(d.text, '[A-Z]', '', 'g')) AS DOUBLE) AS n_upper
-          FROM labels l LEFT JOIN documents d USING (doc_id))"""
-
-
-def _coef_sql(src: str, name: str) -> str:
-    parts = []
-    for f in DOC_FEATURES:
-        parts.append(f"""SELECT '{name}' AS model_name, '{f}' AS feature,
-            coalesce(CASE WHEN var_pop({f}) > 0 THEN (avg(CASE WHEN toxic = 1 THEN {f} END)
-                 - avg(CASE WHEN toxic <> 1 THEN {f} END)) / var_pop({f}) ELSE 0.0 END, 0.0) AS coef,
-            avg({f}) AS centre FROM {src}""")
-    return " UNION ALL ".join(parts)
-
-
-_ATTR = f"""ds AS (SELECT * FROM {sql_split(_DOC, 'doc_id', 'toxic')}),
-tr AS (SELECT * EXCLUDE (split) FROM ds WHERE split = 'train'),
-coefs AS ({_coef_sql('tr', 'lda_original')} UNION ALL {_coef_sql(sql_downsample('tr', 'doc_id', 'toxic'), 'lda_downsampled')}),
-rows AS (SELECT * FROM ds WHERE split = 'test'
-         ORDER BY ('0x' || substr(md5(CAST(doc_id AS VARCHAR) || '|{SEED}'), 1, 15))::BIGINT, doc_id LIMIT {SAMPLE_ROWS}),
+rows AS (SELECT * FROM ds WHERE split = 'test'),
 cells AS ({' UNION ALL '.join(f"SELECT doc_id AS row_id, '{f}' AS feature, {f} AS value FROM rows" for f in DOC_FEATURES)}),
 attr AS (SELECT c.model_name, x.row_id, x.feature, x.value, c.coef * (x.value - c.centre) AS attribution
          FROM cells x JOIN coefs c USING (feature)),

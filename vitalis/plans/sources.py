@@ -10,8 +10,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import to_ts
 from ..operators.features import keyword_flags
 from ..session import ensure_checkpoint_dir
 from ..sources.codes import LIFESTYLE_FLAGS
@@ -48,6 +50,22 @@ def q_csv_round_trip(spark, sf):
     return rounded(read_source(spark, path, CUSTOMER_SCHEMA, fmt="csv"))
 
 
+def q_csv_by_name(spark, sf):
+    """A CSV with reordered and extra columns, read by the declared names."""
+    path = scratch_path(spark, "customer_shuffled_csv")
+    c = table(spark, sf, "customer").select("c_mktsegment", F.lit("x").alias("extra"), "c_acctbal", "c_name",
+                                            (F.col("c_custkey") + 1).alias("other_key"), "c_custkey", "c_nationkey")
+    write_table(c, path, fmt="csv")
+    return rounded(read_source(spark, path, CUSTOMER_SCHEMA, fmt="csv"))
+
+
+def q_text_times(spark, sf):
+    """Order dates written as text and parsed back."""
+    text = table(spark, sf, "orders").select("o_orderkey", X.ts_text("o_orderdate").alias("t"))
+    return text.select("o_orderkey", X.ts_text(to_ts("t", "yyyy-MM-dd HH:mm:ss")).alias("parsed"),
+                       F.year(to_ts("t")).alias("year"))
+
+
 def q_parquet_round_trip(spark, sf):
     """S4 (Parquet sink) + S7 (safe load) of the first-stay table."""
     path = scratch_path(spark, "first_stays")
@@ -74,6 +92,8 @@ def q_json_round_trip(spark, sf):
 
 
 QUERIES = {
+    "s1_csv_by_name": q_csv_by_name,
+    "p8_text_times": q_text_times,
     "s1_s4_csv_round_trip": q_csv_round_trip,
     "s4_s7_parquet_round_trip": q_parquet_round_trip,
     "s2_optional_source": q_optional_source,
@@ -81,6 +101,9 @@ QUERIES = {
 }
 
 SQL = {
+    "s1_csv_by_name": "SELECT c_custkey, c_name, c_nationkey, round(c_acctbal, 6) AS c_acctbal, c_mktsegment FROM customer",
+    "p8_text_times": """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS parsed,
+        CAST(year(o_orderdate) AS INTEGER) AS year FROM orders""",
     "s1_s4_csv_round_trip": "SELECT c_custkey, c_name, c_nationkey, round(c_acctbal, 6) AS c_acctbal, c_mktsegment FROM customer",
     "s4_s7_parquet_round_trip": X.SQL["w1_first_stay"],
     "s2_optional_source": f"""WITH {X.SQL_FIRST_STAYS}

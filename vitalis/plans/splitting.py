@@ -240,3 +240,22 @@ SQL.update({
         UNION ALL SELECT 1, 1, (SELECT count(*) FROM embeddings WHERE label <> {EMB_CLASS})
                                 - (SELECT count(*) FROM embeddings WHERE label = {EMB_CLASS})""",
 })
+
+
+# ---------------------------------------------------------------------------
+# D3 on rows without a class or an id: they are a class of their own, none is lost
+# ---------------------------------------------------------------------------
+
+def q_split_nulls(spark, sf):
+    rows = table(spark, sf, "labels").select(
+        F.when(F.col("doc_id") % 11 != 0, F.col("doc_id")).alias("doc_id"),
+        F.when(F.col("doc_id") % 7 != 0, F.col("toxic")).alias("toxic"))
+    parts = S.stratified_split(rows, "doc_id", "toxic", FRACTIONS, seed=SEED)
+    return parts.groupBy("toxic", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES["d3_split_nulls"] = q_split_nulls
+SQL["d3_split_nulls"] = f"""WITH c AS (SELECT CASE WHEN doc_id % 7 <> 0 THEN toxic END AS toxic, count(*) AS n FROM labels GROUP BY 1),
+    s AS (SELECT toxic, n, CAST(floor(n * {FRACTIONS[0]}::DOUBLE + 0.5) AS BIGINT) AS a, CAST(floor(n * {FRACTIONS[1]}::DOUBLE + 0.5) AS BIGINT) AS b FROM c),
+    p AS (SELECT toxic, 'train' AS split, a AS n FROM s UNION ALL SELECT toxic, 'val', b FROM s UNION ALL SELECT toxic, 'test', n - a - b FROM s)
+    SELECT toxic, split, n FROM p WHERE n > 0"""

@@ -22,14 +22,20 @@ DEFAULT_CONF = {
 }
 
 
-def get_session(master: str | None = None, shuffle_partitions: int = 8, app: str = "vitalis") -> SparkSession:
-    """Build (or reuse) a session with the engine's defaults."""
+def get_session(master: str | None = None, shuffle_partitions: int | None = None, app: str = "vitalis") -> SparkSession:
+    """Build (or reuse) a session with the engine's defaults.
+
+    Shuffle partitions and driver memory are the cluster's to set; they change
+    only when asked for (an argument, ``VITALIS_DRIVER_MEMORY``)."""
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
     conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.setdefault("spark.driver.memory", os.environ.get("VITALIS_DRIVER_MEMORY", "16g"))
+    if shuffle_partitions is not None:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    memory = os.environ.get("VITALIS_DRIVER_MEMORY", "16g" if (master or "").startswith("local") else None)
+    if memory:
+        conf["spark.driver.memory"] = memory
     for k, v in conf.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
@@ -41,8 +47,10 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
-    The folder comes from ``spark.checkpoint.dir``.  Only when the session has
-    none (local tests) do we create a scratch folder for it.
+    The folder comes from ``spark.checkpoint.dir``.  Only a session in one
+    process (``local[...]``, as in tests) may do without: it gets a scratch
+    folder.  On a cluster a folder of the driver's machine would be out of the
+    executors' reach, so a missing setting is an error there.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -50,6 +58,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="vitalis-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

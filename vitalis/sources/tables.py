@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 # Schemas of the clinical extract the engine was designed around.  Only the
-# columns the operators read are declared; extra columns in a file are kept.
+# columns the operators read are declared; a file may hold others, in any order.
 CLINICAL_SCHEMAS: dict[str, T.StructType] = {
     "patients": T.StructType([
         T.StructField("subject_id", T.LongType()),
@@ -73,17 +73,39 @@ def read_source(spark: SparkSession, path: str, schema: T.StructType | None = No
     """Read a table with a declared schema.
 
     CSV is read with a header and ``''`` as null (what the original extract
-    used); Parquet keeps its own footer schema unless one is given.
+    used); Parquet keeps its own footer schema unless one is given.  CSV
+    columns are bound by name: a file may hold other columns, in any order,
+    and a declared column that it lacks is an error.
     """
     fmt = fmt or ("csv" if path.endswith((".csv", ".csv.gz")) else "parquet")
+    if fmt == "csv":
+        return _read_csv(spark, path, schema)
     reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)
-    if fmt == "csv":
-        return reader.options(header="true", nullValue="", mode="FAILFAST").csv(path)
     return reader.format(fmt).load(path)
 
 
+def _read_csv(spark: SparkSession, path: str, schema: T.StructType | None) -> DataFrame:
+    """A CSV table with the declared columns, found by the header's names.
+
+    Spark binds a user schema by position, so it is given one in file order
+    (undeclared columns as text); ``enforceSchema=false`` makes it check every
+    file's header against that order.  Only the declared columns are parsed."""
+    options = {"header": "true", "nullValue": "", "mode": "FAILFAST"}
+    header = spark.read.options(**options).csv(path).columns     # reads the first line only
+    if schema is None:
+        return spark.read.options(**options).csv(path)
+    declared = {f.name.lower(): f for f in schema.fields}
+    missing = sorted(set(declared) - {h.lower() for h in header})
+    if missing:
+        raise ValueError(f"{path} lacks the columns {missing}")
+    in_file = T.StructType([T.StructField(h, declared[h.lower()].dataType if h.lower() in declared else T.StringType())
+                            for h in header])
+    df = spark.read.schema(in_file).options(**options, enforceSchema="false").csv(path)
+    return df.select(*[df[f"`{f.name}`"].alias(f.name) for f in schema.fields])
+
+
 def optional_source(spark: SparkSession, path: str | None, schema: T.StructType,
                     fmt: str | None = None) -> DataFrame:
     """Like ``read_source``, but a missing path gives an empty table of ``schema``."""
