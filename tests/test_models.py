@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from vitalis.functions.columns import to_ts
 from vitalis.operators import features as FE
+from vitalis.operators import metrics as M
 from vitalis.operators import models as MD
 from vitalis.operators import prep as P
+from vitalis.operators import sampling as S
 from vitalis.operators import search as SR
 from vitalis.operators.smote import smote_union
 from vitalis.sources.tables import load_model, safe_load, save_model
@@ -54,8 +56,48 @@ def test_early_stopping_fit(spark, tiny):
     params = {"n_estimators": 5, "max_depth": 3, "learning_rate": 0.1, "subsample": 1.0,
               "colsample_bytree": 1.0, "reg_alpha": 0.0, "reg_lambda": 0.0, "num_leaves": 10}
     f = SR.fit_trial("LightGBM", tr, val, ["a", "b", "c"], "label", params, tr.count())
-    assert f.model.getOrDefault("validationIndicatorCol") == "_is_val"
-    assert f.model.getNumTrees <= 5
+    assert 1 <= f.model.getNumTrees <= 5
+    # the rounds kept are those of the fit on train alone, cut at the best validation loss
+    full = MD.fit("LightGBM", tr, ["a", "b", "c"], "label", SR.to_mllib("LightGBM", params, float(tr.count())))
+    assert f.model.getNumTrees == SR.best_round(full.round_losses(val))
+
+
+def test_best_round_waits_with_patience():
+    assert SR.best_round([3.0, 2.0, 2.5, 2.4, 1.0], patience=3) == 5
+    assert SR.best_round([3.0, 2.0, 2.5, 2.4, 2.3, 1.0], patience=3) == 2
+    assert SR.best_round([1.0]) == 1
+
+
+def test_missing_classes_and_scores_are_errors(spark, tiny):
+    holes = tiny.withColumn("label", F.when(F.col("id") % 9 != 0, F.col("label")))
+    with pytest.raises(ValueError, match="18 rows"):
+        S.downsample(holes, "id", "label")
+    parts = S.stratified_split(holes.withColumn("id", F.when(F.col("id") % 5 != 0, F.col("id"))).drop("split"), "id", "label")
+    assert parts.count() == 160
+    scores = tiny.select("label", F.when(F.col("id") > 1, F.col("a")).otherwise(F.lit(float("nan"))).alias("score"), F.lit(1).alias("prediction"))
+    with pytest.raises(ValueError, match="2 rows"):
+        M.evaluate(scores).collect()
+
+
+def test_explain_stage_from_saved_files(spark, tiny):
+    from vitalis.plans import clinical as CL
+
+    out = tempfile.mkdtemp(prefix="vitalis-test-")
+    f = MD.fit("Random_Forest", tiny.where("split = 'train'"), ["a", "b", "c"], "label", params={"numTrees": 5, "maxDepth": 4})
+    rows = tiny.where("split = 'test'").withColumnRenamed("id", "subject_id")
+    imp = CL.explain(spark, f.save(spark, os.path.join(out, "rf")), rows, os.path.join(out, "explain"))
+    assert {r["feature"] for r in imp.collect()} == {"a", "b", "c"}
+    info = spark.read.json(os.path.join(out, "explain", "model_info")).first()
+    sums = spark.read.json(os.path.join(out, "explain", "attributions")).groupBy("row_id").agg((F.sum("attribution") + info["expected_value"]).alias("s"))
+    both = f.transform(rows).join(sums, F.col("subject_id") == F.col("row_id"))
+    assert both.count() == rows.count() and both.where(F.abs(F.col("s") - F.col("score")) > 1e-6).count() == 0
+
+
+def test_saved_pipeline_scores_alike(spark, tiny):
+    f = MD.fit("SVC", tiny.where("split = 'train'"), ["a", "b", "c"], "label", params={"maxIter": 20})
+    g = MD.Fitted.load(spark, f.save(spark, os.path.join(tempfile.mkdtemp(prefix="vitalis-test-"), "svc")))
+    a, b = ([r["score"] for r in m.transform(tiny).orderBy("id").collect()] for m in (f, g))
+    assert a == pytest.approx(b)
 
 
 def test_model_save_load_and_safe_load(spark, tiny):

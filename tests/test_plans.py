@@ -9,6 +9,7 @@ from tests.conftest import SF001
 
 import __spark_entry__ as E
 from vitalis.operators import metrics as M
+from vitalis.operators import neighbors as N
 from vitalis.operators import sampling as S
 from vitalis.operators.neighbors import exact_knn
 from vitalis.operators.search import trial_table
@@ -27,7 +28,7 @@ def test_entry_runs(spark):
 
 
 def test_queries_all_plan_on_tiny_data(spark):
-    skip = {"m12_leaderboard", "m13_search_lr"}  # model fits: covered elsewhere
+    skip = {"m12_leaderboard", "m12_grid_facts", "m13_search_lr"}  # model fits: covered elsewhere
     for name, q in E.queries().items():
         if name in skip:
             continue
@@ -68,6 +69,26 @@ def test_exact_knn_matches_brute_force(spark):
         assert [got[(i, r)] for r in (1, 2, 3)] == order
 
 
+def test_knn_blocks_prune_and_spread_clustered_points(spark):
+    rng = np.random.default_rng(6)
+    pts = np.concatenate([rng.normal(c, 0.1, (40, 3)) for c in range(0, 60, 6)])
+    df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(pts)], "id long, x array<double>")
+    compared = {}
+
+    def spy(q, own, k, real=N._inside):
+        compared[len(compared)] = q.groupBy("block").count().join(own.groupBy("block").agg(F.count("*").alias("m")), "block").select(
+            F.sum(F.col("count") * F.col("m")), F.max("m")).first()
+        return real(q, own, k)
+
+    real, N._inside = N._inside, spy
+    try:
+        assert exact_knn(df, 3).count() == 3 * len(pts)
+    finally:
+        N._inside = real
+    pairs, largest = compared[1]        # the visits, after each point's own block
+    assert pairs < 0.5 * len(pts) ** 2 and largest <= 0.25 * len(pts)
+
+
 def test_trial_table_is_deterministic_and_in_range(spark):
     a = trial_table(spark, "LightGBM", 20).collect()
     b = trial_table(spark, "LightGBM", 20).collect()

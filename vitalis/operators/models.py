@@ -21,6 +21,7 @@ Mapping to the original families (documented, not faked):
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import traceback
@@ -30,11 +31,12 @@ from concurrent.futures import ThreadPoolExecutor
 import numpy as np
 
 from pyspark import StorageLevel
-from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LinearSVC, LinearSVCModel,
+                                       LogisticRegression, LogisticRegressionModel,
+                                       RandomForestClassificationModel, RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,6 +90,9 @@ def estimator(name: str, params: dict | None = None, weight_col: str | None = No
     raise ValueError(f"unknown model {name!r}")
 
 
+MODEL_CLASSES = {"Logistic_Regression": LogisticRegressionModel, "SVC": LinearSVCModel,
+                 "Random_Forest": RandomForestClassificationModel, "Extra_Trees": RandomForestClassificationModel,
+                 "XGBoost": GBTClassificationModel, "LightGBM": GBTClassificationModel}
 RFF_COMPONENTS = 100
 SVC_KERNEL_PARAMS = ("kernel", "gamma", "n_components")
 
@@ -133,6 +138,23 @@ class Fitted:
         self.name, self.model, self.features = name, model, list(features)
         self.scaler, self.platt, self.label, self.rff = scaler, platt, label, rff
 
+    def save(self, spark: SparkSession, path: str) -> str:
+        """The model and all it needs to score: scaler, Platt numbers, feature map, feature list."""
+        self.model.write().overwrite().save(f"{path}/model")
+        rff = [np.asarray(a).tolist() for a in self.rff] if self.rff is not None else None
+        meta = json.dumps({"name": self.name, "features": self.features, "scaler": self.scaler, "platt": self.platt,
+                           "label": self.label, "rff": rff})
+        spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+        return path
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Fitted:
+        m = json.loads(spark.read.text(f"{path}/meta").first()[0])
+        model = MODEL_CLASSES[m["name"]].load(f"{path}/model")
+        scaler = {k: tuple(v) for k, v in m["scaler"].items()} if m["scaler"] else None
+        rff = tuple(np.array(a) for a in m["rff"]) if m["rff"] else None
+        return Fitted(m["name"], model, m["features"], scaler, tuple(m["platt"]) if m["platt"] else None, m["label"], rff)
+
     def _vectors(self, df: DataFrame) -> DataFrame:
         if self.scaler:
             df = P.apply_scaler(df, self.scaler)
@@ -140,6 +162,12 @@ class Fitted:
             return df.withColumn("features", array_to_vector(rff_array(self.features, self.rff)))
         return VectorAssembler(inputCols=self.features, outputCol="features", handleInvalid="keep").transform(df)
 
+    def round_losses(self, df: DataFrame) -> list[float]:
+        """Loss on ``df`` (every row counting alike) after each boosting round."""
+        rows = self._vectors(df).select(F.col(self.label).cast("double").alias(self.label), "features",
+                                        F.lit(1.0).alias("weight"))
+        return list(self.model.evaluateEachIteration(rows))
+
     def transform(self, df: DataFrame) -> DataFrame:
         """M7: adds ``prediction`` and ``score`` (P(y=1); the margin when no probability)."""
         out = self.model.transform(self._vectors(df))
@@ -153,15 +181,14 @@ class Fitted:
 
 
 def fit(name: str, train: DataFrame, features: Sequence[str], label: str = "label",
-        params: dict | None = None, weighted: bool | None = None, counted: DataFrame | None = None) -> Fitted:
-    """Fit one family.  Class weights (F7) are used where the original used them;
-    ``counted`` names the rows they are counted over (default: ``train``)."""
+        params: dict | None = None, weighted: bool | None = None) -> Fitted:
+    """Fit one family.  Class weights (F7) are used where the original used them."""
     weighted = (name in WEIGHTED) if weighted is None else weighted
     params = dict(params or {})
     kernel = {k: params.pop(k) for k in SVC_KERNEL_PARAMS if k in params}
     df = train
     if weighted:
-        df = P.class_weights(df, label, "weight", counted)
+        df = P.class_weights(df, label, "weight")
     scaler = P.fit_scaler(df, features) if name == "SVC" else None
     if scaler:
         df = P.apply_scaler(df, scaler)
@@ -219,7 +246,7 @@ def run_grid(variants: dict[str, DataFrame], evaluation: DataFrame, features: Se
             scored = f.transform(evaluation).select(
                 F.lit(v).alias("variant"), F.lit(m).alias("model"), F.col(label).alias("label"), "prediction", "score")
             if path:
-                f.model.write().overwrite().save(path)
+                f.save(spark, path)
             return scored, path, None
         except Exception as e:  # noqa: BLE001 - a failed fit is a result row
             return None, path, f"{type(e).__name__}: {e}"[:500] + ("" if os.environ.get("VITALIS_QUIET") else

@@ -92,6 +92,15 @@ def arg_max(df: DataFrame, metric: str, tiebreak: Sequence[str]) -> DataFrame:
     return df.where(F.col(metric).isNotNull()).orderBy(F.desc(metric), *tiebreak).limit(1)
 
 
+def best_set(df: DataFrame, metrics: Sequence[str], tiebreak: Sequence[str]) -> DataFrame:
+    """The best row of each metric, a row that is best in several once."""
+    out = None
+    for m in metrics:
+        one = arg_max(df, m, tiebreak)
+        out = one if out is None else out.unionByName(one)
+    return out.dropDuplicates(list(tiebreak))
+
+
 def best_per_group(df: DataFrame, group: str | Sequence[str], metric: str, tiebreak: Sequence[str] = ()) -> DataFrame:
     """Best row per group (``row_number`` over the group by metric desc)."""
     g = [group] if isinstance(group, str) else list(group)

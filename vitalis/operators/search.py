@@ -142,16 +142,31 @@ def search(model: str, train: DataFrame, val: DataFrame, features: Sequence[str]
     return spark.createDataFrame(rows, TRIAL_SCHEMA)
 
 
+PATIENCE = 50       # rounds without a better validation loss before boosting stops, as in the original
+
+
+def best_round(losses: Sequence[float], patience: int = PATIENCE) -> int:
+    """Number of rounds to keep: the best one seen before ``patience`` rounds brought no better."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
 def fit_trial(model, train, val, features, label, params, n_rows):
+    """One trial's fit.  M14: an early-stopping family is grown in full on train, its validation loss after
+    each round read from ``evaluateEachIteration``, and grown again to the round patience stops at
+    (the seed is fixed, so the rounds are the same).  Validation rows choose the round and teach nothing."""
     p = to_mllib(model, params, float(n_rows))
-    if model in EARLY_STOPPING:
-        # Boosting stops when the validation loss stops improving
-        both = (train.withColumn("_is_val", F.lit(False))
-                     .unionByName(val.withColumn("_is_val", F.lit(True))))
-        p = {**p, "validationIndicatorCol": "_is_val", "validationTol": 0.01}
-        # the class weights are those of the train part: validation rows teach nothing
-        return MD.fit(model, both, features, label, p, counted=train)
-    return MD.fit(model, train, features, label, p)
+    full = MD.fit(model, train, features, label, p)
+    if model not in EARLY_STOPPING:
+        return full
+    losses = full.round_losses(val)
+    n = best_round(losses)
+    return full if n == len(losses) else MD.fit(model, train, features, label, {**p, "maxIter": n})
 
 
 def best_trial(trials: DataFrame) -> dict:

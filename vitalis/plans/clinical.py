@@ -12,16 +12,18 @@ queries run the same operators on the stand-in bindings.
 from __future__ import annotations
 
 import os
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import either_flag, indicator, number, one_hot
+from ..operators import explain as EX
 from ..operators import models as MD
 from ..operators import prep as P
 from ..operators import quality as Q
 from ..operators import sampling as S
+from ..operators import search as SR
 from ..operators.cohort import attach, first_per_key, horizon_labels, in_cohort, lookup, wide_join, window_join
 from ..operators.features import anthropometrics, any_flags, first_measure, keyword_flags, measure_features
 from ..operators.smote import smote_union
@@ -155,8 +157,16 @@ def variants(enc: DataFrame, feats: list[str], cats: list[str], seed: int = 42)
     return {k: v.checkpoint(eager=True) for k, v in out.items()}
 
 
-def run(spark: SparkSession, base: str, out_dir: str, fmt: str = "csv", models=MD.MODEL_NAMES) -> DataFrame:
-    """The whole pipeline, writing every stage (S4) and returning the leaderboard."""
+TREES = ("Random_Forest", "Extra_Trees", "XGBoost", "LightGBM")
+
+
+def run(spark: SparkSession, base: str, out_dir: str, fmt: str = "csv", models=MD.MODEL_NAMES,
+        tune: Sequence[str] = MD.BOOSTED, n_trials: int | None = None) -> DataFrame:
+    """The whole pipeline, writing every stage (S4) and returning the leaderboard.
+
+    extract -> clean -> split -> variants -> fits -> tuning of the ``tune`` families on every variant with
+    their test metrics (``n_trials``: the original's number if not given; no families: no tuning) ->
+    attributions and importance of the best tree model, reloaded from its saved files, over all test rows."""
     ensure_checkpoint_dir(spark)
     t = load(spark, base, fmt)
     final = extract(t)
@@ -167,7 +177,28 @@ def run(spark: SparkSession, base: str, out_dir: str, fmt: str = "csv", models=M
     write_table(parts, os.path.join(out_dir, "split"), partition_by=["split"])
     enc, feats, cats = encode(parts)
     enc = enc.checkpoint(eager=True)
-    board = MD.run_grid(variants(enc, feats, cats), enc.where(F.col("split") == "val"), feats, TARGET, models,
-                        out_dir=os.path.join(out_dir, "models"))
+    val, test = enc.where(F.col("split") == "val"), enc.where(F.col("split") == "test")
+    train = variants(enc, feats, cats)
+    board = MD.run_grid(train, val, feats, TARGET, models, out_dir=os.path.join(out_dir, "models"))
     write_table(board, os.path.join(out_dir, "leaderboard"))
+    if tune:
+        write_table(SR.tuning_matrix(train, val, test, feats, TARGET, tune, n_trials), os.path.join(out_dir, "tuning"))
+    best = board.where(F.col("model_name").isin(*TREES) & F.col("roc_auc").isNotNull()).orderBy(
+        F.desc("roc_auc"), "resampling_method", "model_name").first()
+    if best:
+        explain(spark, best["model_path"], test, os.path.join(out_dir, "explain"))
     return board
+
+
+def explain(spark: SparkSession, model_path: str, rows: DataFrame, out_dir: str) -> DataFrame:
+    """M17 + A18 + S5: a saved tree model's attributions of ``rows`` as JSON, with what they add up from, and its
+    features by importance."""
+    fitted = MD.Fitted.load(spark, model_path)
+    attr, expected = EX.tree_attributions(rows, "subject_id", fitted.features, fitted.model, fitted.name)
+    write_table(attr, os.path.join(out_dir, "attributions"), fmt="json")
+    info = [(fitted.name, float(expected), len(fitted.features), model_path)]
+    write_table(spark.createDataFrame(info, "model_name string, expected_value double, feature_count int, model_path string"),
+                os.path.join(out_dir, "model_info"), fmt="json")
+    imp = EX.importance(spark.read.schema(EX.LONG_SCHEMA).json(os.path.join(out_dir, "attributions")), top=None)
+    write_table(imp, os.path.join(out_dir, "importance"))
+    return imp

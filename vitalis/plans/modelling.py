@@ -7,6 +7,8 @@ instead of re-running the extraction joins.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +60,30 @@ def q_leaderboard(spark, sf):
     return rounded(MD.run_grid(train_variants(enc, feats, cats), val, feats, "label", parallel=6))
 
 
+def q_grid_facts(spark, sf):
+    """M1-M6 + M12, what does not depend on the fits: every variant and family, its features and
+    train rows, and whether it failed or left its metrics' range."""
+    board = q_leaderboard(spark, sf)
+    names = ["accuracy", "precision", "recall", "f1_score", "specificity", "roc_auc", "pr_auc"]
+    ok = F.col("error").isNull()
+    for n in names:
+        ok = ok & F.coalesce(F.col(n).between(0.0, 1.0), F.lit(False))
+    return board.select("resampling_method", "model_name", "feature_count", "train_samples", ok.cast("int").alias("sound"))
+
+
+def q_model_reload(spark, sf):
+    """An SVC saved with its scaler, feature map and Platt numbers scores as the one in memory."""
+    enc, feats, _ = model_table(spark, sf)
+    test = enc.where(F.col("split") == "test")
+    fitted = MD.fit("SVC", enc.where(F.col("split") == "train"), feats, "label")
+    path = fitted.save(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/svc-{uuid.uuid4().hex}")
+    again = MD.Fitted.load(spark, path)
+    a = fitted.transform(test).select("subject_id", F.col("score").alias("a"), F.col("prediction").alias("pa"))
+    b = again.transform(test).select("subject_id", F.col("score").alias("b"), F.col("prediction").alias("pb"))
+    same = (F.abs(F.col("a") - F.col("b")) <= 1e-9) & (F.col("pa") == F.col("pb"))
+    return a.join(b, "subject_id", "full").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.coalesce(same, F.lit(False))).alias("different"))
+
+
 def q_search_lr(spark, sf):
     """M13 on logistic regression (30 trials, as in the original space)."""
     enc, feats, _ = model_table(spark, sf)
@@ -126,6 +152,8 @@ QUERIES = {
     "m13_search_lr": q_search_lr,
     "m7_batch_scoring": q_batch_scoring,
     "m17_tree_attributions": q_tree_attributions,
+    "m12_grid_facts": q_grid_facts,
+    "s6_model_reload": q_model_reload,
     "m7_scoring_facts": q_scoring_facts,
     "m17_additivity": q_tree_additivity,
 }
@@ -133,7 +161,17 @@ QUERIES = {
 _TEST_ROWS = f"""WITH {_CLEAN_SQL}, parts AS (SELECT * FROM {sql_split('clean', 'subject_id', 'label')}),
     t AS (SELECT * FROM parts WHERE split = 'test')"""
 
+_FEATURES = [c for c in X.WIDE_COLUMNS if c not in ("subject_id", "stay_id", "label")]
+_KEPT = " + ".join(f"CAST(rr.{c} < {SPARSE_THRESHOLD} AS INTEGER)" for c in _FEATURES)
+_SIZES = {"original": "n0 + n1", "downsampling": "2 * least(n0, n1)", "smote": "2 * greatest(n0, n1)"}
+
 SQL = {
+    "m12_grid_facts": f"""WITH {_CLEAN_SQL}, parts AS (SELECT * FROM {sql_split('clean', 'subject_id', 'label')}),
+        t AS (SELECT count_if(label = 0) AS n0, count_if(label = 1) AS n1 FROM parts WHERE split = 'train'),
+        v AS ({' UNION ALL '.join(f"SELECT '{k}' AS resampling_method, CAST({e} AS BIGINT) AS train_samples FROM t" for k, e in _SIZES.items())})
+        SELECT v.resampling_method, m.model_name, CAST({_KEPT} AS INTEGER) AS feature_count, v.train_samples, 1 AS sound
+        FROM v CROSS JOIN rr CROSS JOIN (VALUES {', '.join(f"('{m}')" for m in MD.MODEL_NAMES)}) m(model_name)""",
+    "s6_model_reload": f"{_TEST_ROWS} SELECT count(*) AS n, CAST(0 AS BIGINT) AS different FROM t",
     "m7_scoring_facts": f"{_TEST_ROWS} SELECT count(*) AS n, count_if(label = 1) AS positives, CAST(0 AS BIGINT) AS out_of_range FROM t",
     "m17_additivity": f"{_TEST_ROWS} SELECT count(*) AS n, CAST(0 AS BIGINT) AS not_additive FROM t",
 }

@@ -149,6 +149,10 @@ def q_best_f1(spark, sf):
     return rounded(R.arg_max(test_board(spark, sf), "f1_score", ["variant", "model"]))
 
 
+def q_best_set(spark, sf):
+    return rounded(R.best_set(test_board(spark, sf), ["f1_score", "roc_auc"], ["variant", "model"]))
+
+
 def q_best_per_variant(spark, sf):
     return rounded(R.best_per_group(test_board(spark, sf), "variant", "roc_auc", ["model"]))
 
@@ -238,6 +242,7 @@ QUERIES = {
     "w3_top_models": q_top_models,
     "w4_best_auc": q_best_auc,
     "w4_best_f1": q_best_f1,
+    "w4_best_set": q_best_set,
     "w5_best_per_variant": q_best_per_variant,
     "w6_shortlist": q_shortlist,
     "a15_mean_auc_by_model": q_mean_auc_by_model,
@@ -361,6 +366,8 @@ SQL = {
     "w3_top_models": f"WITH {_BOARD} SELECT {_TB_COLS} FROM tb ORDER BY roc_auc DESC NULLS LAST, variant, model LIMIT 10",
     "w4_best_auc": f"WITH {_BOARD} SELECT {_TB_COLS} FROM tb WHERE roc_auc IS NOT NULL ORDER BY roc_auc DESC, variant, model LIMIT 1",
     "w4_best_f1": f"WITH {_BOARD} SELECT {_TB_COLS} FROM tb WHERE f1_score IS NOT NULL ORDER BY f1_score DESC, variant, model LIMIT 1",
+    "w4_best_set": f"""WITH {_BOARD} SELECT {_TB_COLS} FROM (SELECT *, row_number() OVER (ORDER BY roc_auc DESC NULLS LAST, variant, model) AS ra,
+        row_number() OVER (ORDER BY f1_score DESC NULLS LAST, variant, model) AS rf FROM tb) WHERE ra = 1 OR rf = 1""",
     "w5_best_per_variant": f"""WITH {_BOARD} SELECT {_TB_COLS} FROM (SELECT *, row_number() OVER (PARTITION BY variant
         ORDER BY roc_auc DESC NULLS LAST, model) AS rn FROM tb) WHERE rn = 1""",
     "w6_shortlist": f"""WITH {_BOARD} SELECT {_TB_COLS} FROM tb
