@@ -25,11 +25,11 @@ def first_per_key(df: DataFrame, key: str, order_cols: Sequence[str], tiebreak:
     order = list(order_cols) + [c for c in tiebreak if c not in order_cols]
     payload = [c for c in df.columns if c != key]
     if not compat:
-        ordering = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
-        row = F.struct(*[F.col(c) for c in payload])
-        best = (df.groupBy(key)
-                  .agg(F.min(F.struct(ordering.alias("o"), row.alias("r"))).alias("_best")))
-        return best.select(key, *[F.col(f"_best.r.{c}").alias(c) for c in payload])
+        # each column once: those that order the rows first, then the rest
+        first = [c for c in order if c != key]
+        held = first + [c for c in payload if c not in first]
+        best = df.groupBy(key).agg(F.min(F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(held)])).alias("_best"))
+        return best.select(key, *[F.col(f"_best._{held.index(c)}").alias(c) for c in payload])
     ordering = F.struct(*[F.col(c) for c in order])
     aggs = []
     for c in payload:

@@ -18,6 +18,7 @@ from ..operators.cohort import attach, first_per_key, horizon_labels, in_cohort,
 from ..operators.features import (anthropometrics, any_flags, first_measure, flagged_only, keyword_flags,
                                   measure_features, rollup_flags, window_stats)
 from ..sources.codes import INCH_TO_CM, LAB_STATS, LB_TO_KG, VITAL_STATS
+from ..session import ensure_checkpoint_dir
 from .common import rounded, sql_pivot, sql_round, sql_stats, table, ts_text
 
 # ---------------------------------------------------------------------------
@@ -91,10 +92,11 @@ def outcome_times(spark: SparkSession, sf: str):
     return dod, death
 
 
-def labelled_stays(spark: SparkSession, sf: str) -> DataFrame:
+def labelled_stays(spark: SparkSession, sf: str, stays: DataFrame | None = None) -> DataFrame:
     """J1 + P10: first stays with the 48 h outcome label."""
     dod, death = outcome_times(spark, sf)
-    s = attach(attach(first_stays(spark, sf), dod, "subject_id"), death, "stay_id")
+    stays = stays if stays is not None else first_stays(spark, sf)
+    s = attach(attach(stays, dod, "subject_id"), death, "stay_id")
     return horizon_labels(s, "intime", ["dod", "deathtime"], LABEL_HOURS, "label")
 
 
@@ -209,17 +211,22 @@ def q_anthropometrics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def wide_table(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per subject: label, indicators, flags, measures, both windows."""
-    stays = labelled_stays(spark, sf)
+    """One row per subject: label, indicators, flags, measures, both windows.
+
+    The cohort is made once, in the shared checkpoint folder: label, flags and the
+    line window all read it instead of planning the first-stay aggregate again."""
+    ensure_checkpoint_dir(spark)
+    cohort = first_stays(spark, sf).checkpoint(eager=True)
+    stays = labelled_stays(spark, sf, cohort)
     cust = table(spark, sf, "customer").select(F.col("c_custkey").alias("subject_id"), "c_mktsegment", "c_acctbal")
     base = attach(stays, cust, "subject_id").select(
         "subject_id", "stay_id", "o_orderstatus", "o_orderpriority", "o_totalprice", "c_mktsegment",
         "c_acctbal", "label")
-    flags = part_flags(spark, sf, stays)
+    flags = part_flags(spark, sf, cohort)
     anthro = anthropometrics(event_measures(spark, sf), "user_id", MEASURE_ALIASES, INCH_TO_CM, LB_TO_KG) \
         .withColumnRenamed("user_id", "subject_id")
     ev = event_features(spark, sf).withColumnRenamed("user_id", "subject_id")
-    line = line_features(spark, sf, stays)
+    line = line_features(spark, sf, cohort)
     w = wide_join(base, [(flags, "subject_id"), (anthro, "subject_id"), (ev, "subject_id"), (line, "stay_id")])
     return w.select(
         "*",
