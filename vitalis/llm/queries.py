@@ -77,6 +77,22 @@ def op10_collision(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_edit_embedding, op3_packing, op4_toxicity, op5_pii, op6_pages,
                                    op7_simhash, op8_lm_score, op9_language, op10_collision)}
 
-# What the contracts state can be said in SQL only in part (regular expressions with spans, tokenizers, learned
-# scores), so these queries are tested against brute force in tests/llm instead.
-SQL: dict[str, str] = {}
+# Tokenizers, seeded hashes and learned scores are beyond SQL: those queries are tested against brute force in
+# tests/llm.  Two can be said: pages of the given tables mark their articles, so their text is a matter of
+# patterns; and links of vectors are a join with its reachability.
+SQL: dict[str, str] = {
+    "op6_pages": r"""WITH a AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_extract(html, '<article>(.*?)(</article>|$)', 1, 's'),
+            '</?(p|h1|br)>', ' ', 'g'), '<[^>]*>', '', 'g') AS t FROM pages),
+        d AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'),
+            '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text FROM a)
+        SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM d""",
+    "op10_collision": """WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+            WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        u AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE list_dot_product(e, e) > 0),
+        p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+              WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98),
+        r(vec_id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT p.b, r.c FROM r JOIN p ON p.a = r.vec_id),
+        m AS (SELECT vec_id, min(c) AS component_id FROM r GROUP BY vec_id), k AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+        SELECT m.vec_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_links, m.component_id, m.vec_id = m.component_id AS kept
+        FROM m LEFT JOIN k ON k.a = m.vec_id""",
+}
