@@ -30,11 +30,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of linked fingerprints: the one with the smallest doc_id."""
-    found = simhash.near_duplicates(docs, words=3, tau=2)
-    best = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(best, "doc_id", "left_semi")
-    # documents without an id stay: nothing says which of them is which
+    """One document of each component of linked fingerprints: the one with the smallest doc_id.
+
+    Rows that share that id: equal texts stay once, different ones each.  Documents without an id stay, as nothing
+    says which of them is which.
+    """
+    found = simhash.near_duplicates(docs, words=3, tau=2).where(F.col("doc_id") == F.col("component_id"))
+    best = common.Scratch(spark).keep(found.groupBy("doc_id").agg(F.count("*").alias("rows_of_id")))
+    kept = docs.join(best.select("doc_id"), "doc_id", "left_semi")
+    if not best.where("rows_of_id > 1").isEmpty():
+        shared = best.where("rows_of_id > 1").select("doc_id")
+        kept = kept.join(shared, "doc_id", "left_anti").unionByName(kept.join(shared, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
     return kept.unionByName(docs.where("doc_id is null"))
 
 

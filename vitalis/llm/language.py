@@ -14,11 +14,11 @@ bytes of other characters stay as they are.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +28,7 @@ from . import common
 MOST = 60_000        # documents that are learned from, about
 SIZE = 157           # symbols after folding
 EVIDENCE = 40.0      # bytes' worth of evidence that a score counts at most
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def _folding() -> bytes:

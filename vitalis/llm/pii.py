@@ -2,12 +2,13 @@
 
 Seeds are the entities of four base patterns (email, ip, card, phone).  Every seed and every other
 identifier-like token (at least ``SHORTEST`` characters, with a digit) is an instance that stands in
-lexical patterns: the word before, the word after, the two words before, the words around.  Spark
-scores the graph of patterns and instances in rounds:
+lexical patterns: the word before, the word after, the two words before, the words around, and the four
+letters it begins with, if any.  Spark scores the graph of patterns and instances in rounds:
     pattern  = sum of its instances' scores / (instances + SMOOTH), 0 below LEAST seeds
     instance = 1 - product over its patterns of (1 - score), 1 for seeds
 both over distinct surface forms, so copies of a document count once.  Instances that reach
-``ACCEPT`` through high-confidence patterns are spans of kind ``id``; base spans stay as they are.
+``ACCEPT`` through high-confidence patterns are seeds of the next round, so that what they share leads to
+others, and in the end spans of kind ``id``; base spans stay as they are.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ SHORTEST = 6
 SMOOTH = 5.0
 LEAST = 5
 ACCEPT = 0.8
-ROUNDS = 3
+ROUNDS = 6
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -126,7 +127,8 @@ def contexts(text: str, start: int, end: int) -> list[str]:
     right = clean(m.group()[:64]) if m else "<end>"
     one = left[0] if left else "<start>"
     two = left[1] if len(left) > 1 else "<start>"
-    return [f"l:{one}", f"r:{right}", f"ll:{two} {one}", f"lr:{one} {right}"]
+    begin = text[start:min(end, start + 4)]
+    return [f"l:{one}", f"r:{right}", f"ll:{two} {one}", f"lr:{one} {right}", *([f"b:{begin.lower()}"] if len(begin) == 4 and begin.isalpha() else [])]
 
 
 _ITEM = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
@@ -158,7 +160,8 @@ def bootstrap(items: DataFrame, scratch: common.Scratch, rounds: int = ROUNDS) -
         # a seed scores 1 whatever its patterns; only other instances need the patterns' scores
         free = edges.where("not seed").join(pattern, "p").groupBy("surface").agg(F.sum(F.log1p(-F.least("w", F.lit(0.999999)))).alias("g"))
         scored = scratch.keep(free.select("surface", (1 - F.exp("g")).alias("x")))
-        now = edges.join(scored, "surface", "left").select("p", "surface", "seed", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("x", F.lit(0.0))).alias("s"))
+        good = F.col("seed") | (F.coalesce("x", F.lit(0.0)) >= ACCEPT)
+        now = edges.join(scored, "surface", "left").select("p", "surface", good.alias("seed"), F.when(good, 1.0).otherwise(F.coalesce("x", F.lit(0.0))).alias("s"))
     return scored.where(F.col("x") >= ACCEPT).select("surface")
 
 
