@@ -30,20 +30,23 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
 
 
-def add_columns(df: DataFrame, fields: list[T.StructField], fn: Callable[[pa.RecordBatch], list[pa.Array]], by: str | None = None) -> DataFrame:
+def add_columns(df: DataFrame, fields: list[T.StructField], fn: Callable[[pa.RecordBatch], list[pa.Array]], by: str | None = None,
+                leave: tuple[str, ...] = ()) -> DataFrame:
     """Append ``fields`` computed by ``fn`` from each Arrow batch; other columns pass as they are.
 
-    ``by`` names a text column: batches are then cut so that each part holds a few MB of it.
+    ``by`` names a text column: batches are then cut so that each part holds a few MB of it.  Columns in ``leave``
+    are read by ``fn`` but do not come back.
     """
     base = without(df, [f.name for f in fields])
-    names = base.columns + [f.name for f in fields]
+    kept = [i for i, c in enumerate(base.columns) if c not in leave]
+    names = [base.columns[i] for i in kept] + [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, by) if by else [whole]:
-                yield pa.RecordBatch.from_arrays(list(b.columns) + fn(b), names=names)
+                yield pa.RecordBatch.from_arrays([b.column(i) for i in kept] + fn(b), names=names)
 
-    return base.mapInArrow(run, T.StructType(base.schema.fields + fields))
+    return base.mapInArrow(run, T.StructType([base.schema.fields[i] for i in kept] + fields))
 
 
 def texts(batch: pa.RecordBatch, name: str) -> list[str]:
@@ -75,21 +78,36 @@ class Scratch:
     """Tables written to the shared checkpoint folder.
 
     ``keep`` writes a DataFrame there as Parquet and reads it back: lineage ends at files every
-    executor can read, so a lost executor costs no upstream work.  ``drop`` removes the folder.
+    executor can read, so a lost executor costs no upstream work.  Its Arrow batches are as small as ``BATCH``
+    says, so that whole texts on their way to Python and back take little memory outside the heap.  ``drop``
+    removes the folder, or one table that nothing reads any more.
     """
 
+    BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{ensure_checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
         self.n = 0
+        self.paths: dict[int, tuple[str, DataFrame]] = {}
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self) -> None:
+        before = {k: self.spark.conf.get(k) for k in self.BATCH}
+        try:
+            for k, v in self.BATCH.items():
+                self.spark.conf.set(k, v)
+            df.write.parquet(path)
+        finally:
+            for k, v in before.items():
+                self.spark.conf.set(k, v)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def drop(self, table: DataFrame | None = None) -> None:
+        where = self.root if table is None else self.paths.pop(id(table))[0]
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
+        path = jvm.org.apache.hadoop.fs.Path(where)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -57,13 +57,16 @@ def simhash(text: str, words: int) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(values)).tobytes(), "big")
 
 
-def fingerprint(df: DataFrame, text: str = "text", words: int = 3, out: str = "simhash") -> DataFrame:
-    """Add ``out``, the fingerprint as a signed 64-bit integer; null, empty and wordless texts have 0."""
+def fingerprint(df: DataFrame, text: str = "text", words: int = 3, out: str = "simhash", whole: bool = True) -> DataFrame:
+    """Add ``out``, the fingerprint as a signed 64-bit integer; null, empty and wordless texts have 0.
+
+    With ``whole`` false the text itself is left out of the result.
+    """
     def fn(batch: pa.RecordBatch) -> list[pa.Array]:
         got = np.array([simhash(t, words) for t in common.texts(batch, text)], dtype=np.uint64)
         return [pa.array(got.view(np.int64), pa.int64())]
 
-    return common.add_columns(df, [T.StructField(out, T.LongType())], fn, text)
+    return common.add_columns(df, [T.StructField(out, T.LongType())], fn, text, () if whole else (text,))
 
 
 def _bits(values: np.ndarray) -> np.ndarray:
@@ -216,7 +219,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     keys each give a row.
     """
     scratch = scratch or common.Scratch(df.sparkSession)
-    docs = scratch.keep(fingerprint(df.select(F.col(key).alias("key"), F.col(text).alias("text")), "text", words, "f").select("key", "f"))
+    docs = scratch.keep(fingerprint(df.select(F.col(key).alias("key"), F.col(text).alias("text")), "text", words, "f", whole=False))
     # smallest key of each fingerprint; the partial sums before the shuffle take the heat off common ones
     prints = scratch.keep(docs.groupBy("f").agg(F.min("key").alias("k")))
     edges = links(prints.select("f"), tau, scratch)
