@@ -279,7 +279,9 @@ def test_simhash_edges(crowded, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
-@pytest.mark.parametrize(("most", "plan"), [(64, None), (3, None), (4, [(list(range(32)), 1), (list(range(32, 64)), 0)]), (64, [(list(range(64)), 2)])])
+@pytest.mark.parametrize(("most", "plan"), [(64, None), (3, None), (4, [(list(range(32)), 1), (list(range(32, 64)), 0)]), (64, [(list(range(64)), 2)]),
+                                             # nothing is crowded: the probes alone find every pair
+                                             (10**6, None), (10**6, [(list(range(32)), 1), (list(range(32, 64)), 0)]), (10**6, [(list(range(64)), 2)])])
 def test_simhash_links_connect_like_brute_force(spark, most, plan):
     draw = random.Random(9)
     prints = [draw.getrandbits(64) for _ in range(60)]
@@ -294,6 +296,8 @@ def test_simhash_links_connect_like_brute_force(spark, most, plan):
     edges = [(r["a"], r["b"]) for r in simhash.links(df, 2, scratch, most, plan).collect()]
     at = {signed(p): n for n, p in enumerate(prints)}
     assert all((prints[at[a]] ^ prints[at[b]]).bit_count() <= 2 for a, b in edges)
+    if most == 10**6:
+        assert {(a, b) for a in at for b in at if a < b and (prints[at[a]] ^ prints[at[b]]).bit_count() <= 2} == set(edges)
     root = list(range(len(prints)))
 
     def find(a):

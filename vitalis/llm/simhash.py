@@ -21,12 +21,13 @@ Search, over distinct fingerprints only:
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -142,6 +143,10 @@ def part_value(col: str, bits: list[int]):
     return out
 
 
+def _flipped(value: Column, mask: Column) -> Column:
+    return value.bitwiseXOR(mask)
+
+
 def plan_search(prints: DataFrame, tau: int, part_counts: tuple[int, ...] = (2, 3, 4)) -> list[tuple[list[int], int]]:
     """Parts of bits with their thresholds, from statistics of all fingerprints."""
     n, both = bit_statistics(prints)
@@ -190,7 +195,7 @@ def links(prints: DataFrame, tau: int, scratch: common.Scratch, most: int = 64,
         flips = [signed(sum(1 << b for b in c)) for k in range(t + 1) for c in combinations(range(len(bits)), k)]
         own = prints.select(F.lit(i).alias("part"), value.alias("value"), "f")
         index = own if index is None else index.unionByName(own)
-        more = prints.select(F.lit(i).alias("part"), F.explode(F.transform(F.array(*[F.lit(x).cast("long") for x in flips]), lambda x, v=value: v.bitwiseXOR(x))).alias("value"), "f")
+        more = prints.select(F.lit(i).alias("part"), F.explode(F.transform(F.array(*[F.lit(x).cast("long") for x in flips]), partial(_flipped, value))).alias("value"), "f")
         probe = more if probe is None else probe.unionByName(more)
     counts = probe.groupBy("part", "value").agg(F.count("*").alias("n"))
     crowded = scratch.keep(counts.where(F.col("n") > most).select("part", "value"))
