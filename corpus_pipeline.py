@@ -37,7 +37,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     found = simhash.near_duplicates(docs, words=3, tau=2).where(F.col("doc_id") == F.col("component_id"))
     best = common.Scratch(spark).keep(found.groupBy("doc_id").agg(F.count("*").alias("rows_of_id")))
-    kept = docs.join(best.select("doc_id"), "doc_id", "left_semi")
+    kept = docs.join(best.select("doc_id").hint("merge"), "doc_id", "left_semi")
     if not best.where("rows_of_id > 1").isEmpty():
         shared = best.where("rows_of_id > 1").select("doc_id")
         kept = kept.join(shared, "doc_id", "left_anti").unionByName(kept.join(shared, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))

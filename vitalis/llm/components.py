@@ -35,7 +35,8 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
     now = scratch.keep(now)
     mark = None
     for _ in range(most_rounds):
-        now = scratch.keep(_star(_star(now, True), False))
+        old, now = now, scratch.keep(_star(_star(now, True), False))
+        scratch.drop(old)
         r = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if (r["n"], r["s"]) == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(

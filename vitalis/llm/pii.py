@@ -154,14 +154,18 @@ def bootstrap(items: DataFrame, scratch: common.Scratch, rounds: int = ROUNDS) -
     edges = items.select("surface", (F.col("kind") < 4).alias("seed"), F.explode("patterns").alias("p"))
     edges = scratch.keep(edges.groupBy("p", "surface").agg(F.max("seed").alias("seed")))
     now = edges.select("p", "surface", "seed", F.col("seed").cast("double").alias("s"))
+    scored = None
     for _ in range(rounds):
         pattern = now.groupBy("p").agg(F.sum("s").alias("s"), F.count("*").alias("n"), F.sum(F.col("seed").cast("long")).alias("seeds"))
         pattern = pattern.where(F.col("seeds") >= LEAST).select("p", (F.col("s") / (F.col("n") + SMOOTH)).alias("w"))
         # a seed scores 1 whatever its patterns; only other instances need the patterns' scores
         free = edges.where("not seed").join(pattern, "p").groupBy("surface").agg(F.sum(F.log1p(-F.least("w", F.lit(0.999999)))).alias("g"))
-        scored = scratch.keep(free.select("surface", (1 - F.exp("g")).alias("x")))
+        old, scored = scored, scratch.keep(free.select("surface", (1 - F.exp("g")).alias("x")))
+        if old is not None:
+            scratch.drop(old)
         good = F.col("seed") | (F.coalesce("x", F.lit(0.0)) >= ACCEPT)
         now = edges.join(scored, "surface", "left").select("p", "surface", good.alias("seed"), F.when(good, 1.0).otherwise(F.coalesce("x", F.lit(0.0))).alias("s"))
+    scratch.drop(edges)
     return scored.where(F.col("x") >= ACCEPT).select("surface")
 
 
@@ -172,7 +176,7 @@ def _found(df: DataFrame, text: str, scratch: common.Scratch, extra: list[str])
     items = rows.select("_row", F.explode("items").alias("x")).select("_row", "x.*")
     good = bootstrap(items, scratch)
     spans = items.where("kind = 4").join(good, "surface", "left_semi").groupBy("_row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("found"))
-    return rows.join(spans, "_row", "left")
+    return rows.join(spans.hint("merge"), "_row", "left")      # alike at every size: the texts are dealt by row
 
 
 def _none() -> Column:
