@@ -34,6 +34,8 @@ from . import common
 
 END = b" "                  # no word holds a blank
 HEAVY = 4_000_000
+HELD_GRAMS = 1_500_000      # a task holds so many counts before it sends them on
+HELD_TOKENS = 200_000
 MU = 4.0
 BITS = 8                    # filter bits for each key
 HASHES = 4
@@ -147,7 +149,7 @@ def gram_counts(train: DataFrame, buckets: int) -> DataFrame:
                 some = one > 0
                 held.append(summed([token_hash(hashes[some]), pair], [one[some], n]))
                 size += len(held[-1][0])
-                if size > 3_000_000:
+                if size > HELD_GRAMS:
                     yield from out()
                     size = 0
         yield from out()
@@ -240,7 +242,7 @@ def token_counts(train: DataFrame) -> DataFrame:
             for t in common.texts(b, "t"):
                 got.update(tokens(t))
                 got[END] += 1
-                if len(got) > 500_000:
+                if len(got) > HELD_TOKENS:
                     yield out()
         yield out()
 
