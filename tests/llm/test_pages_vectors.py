@@ -60,6 +60,25 @@ def test_host_suffix_array_equals_brute_force(spark):
         assert got[i]["text"] == " ".join(x for k, x in enumerate(t) if k not in gone)
 
 
+def test_copies_of_a_page_are_no_boilerplate(spark):
+    article = "an account of the flood that came over the valley in the night of the third of may"
+    rows = [(i, f"https://h.example/{i}", f"<div><p>{article}</p></div>") for i in range(4)]
+    got = extracted(spark, rows)
+    assert [got[i]["text"] for i in range(4)] == [article] * 4
+    assert pages.extract(spark.createDataFrame([rows[0]] * 4, "page_id long, url string, html string")).where(F.col("text") == article).count() == 4
+
+
+def test_marked_pages_show_the_boilerplate_of_their_host(spark):
+    boiler, own = "you are reading the daily letter of the valley", "own words that stand on this page alone here"
+    rows = [(i, "https://h.example/", f"<p>{boiler}</p><article>{boiler} and story number {i}</article>") for i in range(2)]
+    rows += [(2, "https://h.example/2", f"<p>{boiler}</p><p>{own}</p>"), (3, "https://other.example/", f"<p>{boiler}</p><p>{own}</p>")]
+    # a passage of articles is no boilerplate elsewhere
+    rows += [(4 + i, "https://b.example/", f"<article>{boiler} and story number {i}</article>") for i in range(3)] + [(7, "https://b.example/", f"<p>{boiler}</p>")]
+    got = extracted(spark, rows)
+    assert [got[i]["text"] for i in (0, 1, 4)] == [f"{boiler} and story number {i}" for i in (0, 1, 0)]
+    assert got[2]["text"] == own and got[3]["text"] == f"{boiler} {own}" and got[7]["text"] == boiler
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(4)
     rows, n = [], 0
