@@ -174,6 +174,37 @@ def test_toxicity_restores_disguised_words(toxic_model):
     assert toxicity.restored("plain,", lm) == "plain"
 
 
+def test_toxicity_decodes_every_disguise(toxic_model):
+    lm, known = toxic_model["lm"], toxic_model["known"]
+    for word, plain in (("stupi6", None), ("idio7", "idiot"), ("stuupiid", "stupid"), ("id.iot", "idiot"), ("m-oron", "moron"), ("scu|", None), ("m_o_ron!", "moron"), ("$cuum", "scum")):
+        assert toxicity.disguised(word, known)
+        if plain:
+            assert toxicity.restored(word, lm, known) == plain, word
+    assert not toxicity.disguised("4550", known) and not any(toxicity.disguised(w, known) and not toxicity._DISGUISED.search(w) for w in known)
+    seen = toxicity.Evidence(toxic_model["shares"], lm, known)
+    strong = {w: seen[w] for w in ("idiot", "moron", "stupid")}
+    for text, plain in (("you are a m o r o n", "moron"), ("such a s t u p i d", "stupid"), ("s t u p i d m o r o n", "moron"), ("an idio7", "idiot"),
+                        ("stuupiid", "stupid"), ("id.iot", "idiot"), ("m-oron!", "moron"), ("you.moron", "moron"), ("m o r o n n o r", "moron")):
+        assert max(seen[w] for w in toxicity._words(text))[0] >= strong[plain][0] > 0, text
+
+
+def test_toxicity_gate_of_evidence_loses_nothing(toxic_model):
+    lm, draw = toxic_model["lm"], random.Random(8)
+    seen, found = toxicity.Evidence(toxic_model["shares"], lm, toxic_model["known"]), 0
+    for _ in range(3000):
+        w = list(draw.choice(["idiot", "moron", "scum", "stupid", "unrelated", "trial"]))
+        for _ in range(draw.randrange(1, 4)):
+            i = draw.randrange(len(w))
+            w[i] = draw.choice([w[i] * 2, w[i] + ".", "-" + w[i], draw.choice("01345$@!+*"), w[i]])
+        word = "".join(w)
+        spaced = draw.random() < 0.3
+        got = [toxicity.decode(word, lm), *toxicity.segment(word, lm, spaced)]
+        if any(f in toxic_model["shares"] for x in got for f in toxicity.features(x)):
+            found += 1
+            assert seen.reachable(word, spaced), word
+    assert found > 500
+
+
 def test_toxicity_scores(toxic_model, crowded, none, spark):
     rows = [(1, "you absolute 1d10t there"), (2, "an i d i o t indeed"), (3, "what a MOROOOON!!"), (4, "nothing of that sort here"), (5, ""), (6, None), (7, "scum")]
     got = {r["doc_id"]: r for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), toxic_model).collect()}
