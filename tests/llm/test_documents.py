@@ -435,6 +435,17 @@ def test_language_codes_equal_a_brute_force_tree(spark):
             assert math.isclose(language.code_lengths([t, "", t], model)[0][2, k], want, rel_tol=1e-5)
 
 
+def test_language_learns_every_row(spark, monkeypatch):
+    many = spark.range(120_000).select(F.lit("en").alias("lang"), F.lit("the thing").alias("text"))
+    rare = [(f"l{i:02d}", f"only {i}") for i in range(20)]
+    monkeypatch.setattr(language, "ENTRIES", 50)
+    model = language.learn(many.unionByName(spark.createDataFrame(rare, "lang string, text string")).repartition(3))
+    assert model["langs"] == ["en", *[name for name, _ in rare]]
+    x, size = [0, 0, *[int(model["symbols"][b]) for b in b"the thing".translate(language._FOLD)]], model["size"]
+    n = 120_000       # "th" is followed by "e" and by "i" once each in every copy
+    assert math.isclose(model["bits"][0][(x[2] * size + x[3]) * size + x[4]], -math.log2(n / (2 * n + 2)), rel_tol=1e-6)
+
+
 def test_language_edges(crowded, none, spark):
     rows = [("en", "the cat sat on the mat and looked at the other cat " * 3), ("fr", "le chat est sur la table et regarde les autres chats " * 3)]
     model = language.learn(spark.createDataFrame(rows, "lang string, text string"))

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from . import common
 
-MOST = 60_000        # documents that are learned from, about
+ENTRIES = 2_000_000  # counts that a task holds before it merges them or sends them on
 SIZE = 157           # symbols after folding
 EVIDENCE = 40.0      # bytes' worth of evidence that a score counts at most
 _LETTER = regex.compile(r"\p{L}")
@@ -57,42 +57,58 @@ def _codes(flat: np.ndarray, size: int) -> np.ndarray:
     return (x[:-2] * size + x[1:-1]) * size + x[2:]
 
 
-def learn(df: DataFrame, lang: str = "lang", text: str = "text", most: int = MOST) -> dict:
+def learn(df: DataFrame, lang: str = "lang", text: str = "text") -> dict:
     """Code-length tables of all languages; rows with a null text or language teach nothing.
 
-    Learns from about ``most`` rows, picked by a hash of text and language.  At most SIZE**3 counts for each language
-    reach the driver.
+    Every row with both teaches, so a language is known however rare it is; equal texts count as often as they
+    occur.  At most SIZE**3 counts for each language reach the driver.
     """
     known = df.select(F.col(lang).cast("string").alias("l"), F.col(text).alias("t")).where("l is not null and t is not null")
-    n = df.select(lang).where(F.col(lang).isNotNull()).count()
-    part = int(1_000_000 * min(1.0, most / max(1, n)))
-    sample = known.where(F.pmod(F.xxhash64("l", "t"), F.lit(1_000_000)) < part)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}      # per language: distinct codes and their counts
+
+        def merge() -> int:
+            for name, parts in held.items():
+                if len(parts) > 1:
+                    code, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+                    parts[:] = [(code, np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64))]
+            return sum(len(parts[0][0]) for parts in held.values())
 
         def out() -> Iterator[pa.RecordBatch]:
-            for name, c in held.items():
-                at = np.flatnonzero(c)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(c[at].astype(np.int64))], names=["l", "code", "n"])
+            for name, [(code, n)] in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(code), pa.string()), pa.array(code.astype(np.int32)), pa.array(n)], names=["l", "code", "n"])
             held.clear()
 
+        room = 0
         for b in batches:
             for part_ in common.slices(b, "t"):
                 langs, docs = part_.column(0).to_pylist(), part_.column(1).to_pylist()
-                for name in sorted(set(langs)):
-                    flat, at = _flat([d for d, x in zip(docs, langs, strict=True) if x == name])
+                of: dict[str, list[str]] = {}
+                for name, d in zip(langs, docs, strict=True):
+                    of.setdefault(name, []).append(d)
+                for name, own in of.items():
+                    flat, at = _flat(own)
                     inside = np.ones(len(flat) - 2, dtype=bool)
                     starts = at[1:, 0] - 2
                     inside[starts - 1] = inside[starts - 2] = False       # the blanks before the next text
-                    if name not in held and len(held) == 8:
-                        yield from out()
-                    if name not in held:
-                        held[name] = np.zeros(SIZE ** 3, dtype=np.int64)
-                    held[name] += np.bincount(_codes(flat, SIZE)[inside], minlength=SIZE ** 3)
+                    codes = _codes(flat, SIZE)[inside]
+                    if len(codes) > SIZE ** 3 // 16:
+                        c = np.bincount(codes, minlength=SIZE ** 3)
+                        code, n = np.flatnonzero(c), c[c > 0]
+                    else:
+                        code, n = np.unique(codes, return_counts=True)
+                    held.setdefault(name, []).append((code.astype(np.int32), n.astype(np.int64)))
+                    room += len(code)
+                    if room > ENTRIES:
+                        room = merge()
+                        if room > ENTRIES // 2:
+                            yield from out()
+                            room = 0
+        merge()
         yield from out()
 
-    counts = sample.mapInArrow(run, "l string, code int, n long").groupBy("l", "code").agg(F.sum("n").alias("n")).toPandas()
+    counts = known.mapInArrow(run, "l string, code int, n long").groupBy("l", "code").agg(F.sum("n").alias("n")).toPandas()
     if counts.empty:
         return {"langs": [], "symbols": np.zeros(SIZE, np.uint8), "size": 1, "bits": []}
     code = counts["code"].to_numpy()
