@@ -149,6 +149,33 @@ def test_json_codec_equals_the_tokenizers_library():
     assert codec.encode("a <|endoftext|> b").tolist() == whole_ids("a <|endoftext|> b")
 
 
+def test_added_tokens_in_a_text_are_tokens(spark, tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    library, codec = Tokenizer.from_file(JSON), packing.json_codec(JSON, PATTERN)
+    marked = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "<|endoftext|", "déjà<|endoftext|>\n\n vu <|ENDOFTEXT|>", "", "<|endof<|endoftext|>text|>"]
+    for t in marked:
+        want = library.encode(t, add_special_tokens=False).ids
+        assert codec.encode(t, True).tolist() == want
+        rows = packing.pack(spark.createDataFrame([(1, t)], "doc_id long, text string"), JSON, PATTERN).orderBy("start").collect()
+        assert np.concatenate([np.frombuffer(r["ids"], "<u4") for r in rows]).tolist() == [*want, 1]
+    assert codec.encode(marked[0], True).tolist() == [64, 220, 50256, 275]
+    # several added tokens, one the beginning of another; a file whose tokens take blanks goes to the library
+    for n, strip in enumerate((False, True)):
+        with open(JSON, encoding="utf-8") as f:
+            spec = json.load(f)
+        spec["added_tokens"] += [dict(spec["added_tokens"][0], id=50257 + k, content=c, lstrip=strip) for k, c in enumerate(("<|end", "<|end|>"))]
+        path = str(tmp_path / f"{n}.json")
+        with open(path, "w", encoding="utf-8") as f:
+            json.dump(spec, f)
+        other, library = packing.JsonCodec(path, PATTERN), Tokenizer.from_file(path)
+        assert other.ranked != strip
+        for t in [*marked, "x <|end|><|end <|endoftext|> y"]:
+            assert other.encode(t, True).tolist() == library.encode(t, add_special_tokens=False).ids
+
+
 @pytest.fixture(scope="module")
 def toxic_model(spark):
     draw = random.Random(11)

@@ -13,6 +13,7 @@ Open windows bound the memory, not the partition.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,7 @@ def _byte_alphabet() -> dict[str, int]:
 
 
 class JsonCodec:
-    """Ids of a byte-level BPE ``tokenizer.json`` without special tokens.
+    """Ids of a byte-level BPE ``tokenizer.json``; no special tokens are put around a text.
 
     When merge k makes the token whose id is k places after the alphabet, merging by rank and
     merging by id order are the same thing, and the rank codec (much faster) gives the ids of
@@ -50,27 +51,39 @@ class JsonCodec:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, alphabet = spec["model"], _byte_alphabet()
-        special = {t["content"] for t in spec.get("added_tokens", [])}
+        added = spec.get("added_tokens", [])
+        special = {t["content"] for t in added}
         vocab = {t: i for t, i in model["vocab"].items() if t not in special}
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         first = len(vocab) - len(merges)
         pre = spec.get("pre_tokenizer") or {}
         self.ranked = (model["type"] == "BPE" and not spec.get("normalizer") and pre.get("type") == "ByteLevel"
                        and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not model.get("ignore_merges")
-                       and not model.get("dropout") and all(vocab.get(a + b) == first + k for k, (a, b) in enumerate(merges))
+                       and not model.get("dropout")
+                       and not any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")) and all(vocab.get(a + b) == first + k for k, (a, b) in enumerate(merges))
                        and sum(i < first for i in vocab.values()) == first == 256)
         if self.ranked:
             self.codec = bpe.Codec({bytes(alphabet[c] for c in t): i for t, i in vocab.items()}, pattern)
+            # the leftmost added token, the longest of those that begin there
+            self.added = {t["content"]: t["id"] for t in added if t["content"]}
+            self.marks = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or r"(?!)")
         else:
             from tokenizers import Tokenizer
 
             self.hf = Tokenizer.from_file(path)
-            self.hf.encode_special_tokens = True
 
-    def encode(self, text: str) -> np.ndarray:
-        if self.ranked:
+    def encode(self, text: str, added: bool = False) -> np.ndarray:
+        """Ids of a text; ``added`` takes the file's added tokens for tokens, as the library does, else they are spelled."""
+        if not self.ranked:
+            self.hf.encode_special_tokens = not added
+            return np.array(self.hf.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        if not added or not (found := list(self.marks.finditer(text))):
             return self.codec.encode(text)
-        return np.array(self.hf.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        out, at = [], 0
+        for m in found:
+            out += [self.codec.encode(text[at:m.start()]), np.array([self.added[m.group()]], dtype=np.uint32)]
+            at = m.end()
+        return np.concatenate([*out, self.codec.encode(text[at:])]).astype(np.uint32, copy=False)
 
 
 def json_codec(path: str, pattern: str) -> JsonCodec:
@@ -146,7 +159,7 @@ def pack(df: DataFrame, path: str, pattern: str, end_id: int = 1, window: int =
 
     Columns: ``key``, start (ids of the document before the piece), length, doc_tokens,
     sequence_id, offset (in the sequence, gapless), sequence_tokens, ids (packed little-endian
-    unsigned 32-bit).  A document is the ids of its text and then ``end_id``: a null or empty text is
+    unsigned 32-bit).  A document is the ids of its text, added tokens in it included, and then ``end_id``: a null or empty text is
     that id alone.  Repeated rows and null keys are documents like others; other columns are left out.
     A sequence holds pieces of one partition only, and its id carries the partition's number.
     """
@@ -176,7 +189,7 @@ def pack(df: DataFrame, path: str, pattern: str, end_id: int = 1, window: int =
         for batch in batches:
             keys = batch.column(0).to_pylist()
             for doc, t in zip(keys, common.texts(batch, "_text"), strict=True):
-                ids = np.append(coder.encode(t), np.uint32(end_id)).astype("<u4", copy=False)
+                ids = np.append(coder.encode(t, True), np.uint32(end_id)).astype("<u4", copy=False)
                 for at in range(0, len(ids), window):
                     piece = ids[at:at + window]
                     piece = piece if len(piece) == window else piece.copy()   # an open window must not hold the whole document
