@@ -302,6 +302,19 @@ def test_pii_bootstrap_finds_identifiers_of_no_known_form(spark):
     assert all(got[200 + i]["n_id"] == 0 for i in range(40))
 
 
+def test_pii_bootstrap_goes_on_until_it_settles(spark):
+    # 50 surfaces on each of 12 levels, each level known only by the three patterns it shares with the one before
+    rows = [(0 if k == 0 else 4, f"{k}-{i}", [f"{x}{n}" for n in (k - 1, k) if n >= 0 for x in "abc"]) for k in range(13) for i in range(50)]
+    rows += [(4, f"other-{i}", ["z"]) for i in range(50)]
+    items = spark.createDataFrame(rows, "kind int, surface string, patterns array<string>")
+    scratch = common.Scratch(spark)
+    got = {r["surface"] for r in pii.bootstrap(items, scratch).collect()}
+    assert got == {f"{k}-{i}" for k in range(1, 13) for i in range(50)}
+    with pytest.raises(RuntimeError):
+        pii.bootstrap(items, scratch, 5)
+    scratch.drop()
+
+
 def brute_simhash(t, words=3):
     import xxhash
 

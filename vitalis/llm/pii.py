@@ -8,7 +8,7 @@ letters it begins with, if any.  Spark scores the graph of patterns and instance
     instance = 1 - product over its patterns of (1 - score), 1 for seeds
 both over distinct surface forms, so copies of a document count once.  Instances that reach
 ``ACCEPT`` through high-confidence patterns are seeds of the next round, so that what they share leads to
-others, and in the end spans of kind ``id``; base spans stay as they are.
+others until scores settle, and in the end spans of kind ``id``; base spans stay as they are.
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ SHORTEST = 6
 SMOOTH = 5.0
 LEAST = 5
 ACCEPT = 0.8
-ROUNDS = 6
+MOST_ROUNDS = 100
+SETTLED = 0.001     # what all scores together may still rise by in a round that accepts nothing
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -149,13 +150,17 @@ def extract(df: DataFrame, text: str = "text") -> DataFrame:
     return common.add_columns(df, [T.StructField("items", T.ArrayType(_ITEM))], fn, text)
 
 
-def bootstrap(items: DataFrame, scratch: common.Scratch, rounds: int = ROUNDS) -> DataFrame:
-    """Accepted surfaces (a column ``surface``) from rows (kind, surface, patterns)."""
+def bootstrap(items: DataFrame, scratch: common.Scratch, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+    """Accepted surfaces (a column ``surface``) from rows (kind, surface, patterns).
+
+    Scores never fall, so rounds go on until one accepts no new surface and scores have settled; raises if
+    ``most_rounds`` do not get there.
+    """
     edges = items.select("surface", (F.col("kind") < 4).alias("seed"), F.explode("patterns").alias("p"))
     edges = scratch.keep(edges.groupBy("p", "surface").agg(F.max("seed").alias("seed")))
     now = edges.select("p", "surface", "seed", F.col("seed").cast("double").alias("s"))
-    scored = None
-    for _ in range(rounds):
+    scored, mark = None, (0, 0.0)
+    for _ in range(most_rounds):
         pattern = now.groupBy("p").agg(F.sum("s").alias("s"), F.count("*").alias("n"), F.sum(F.col("seed").cast("long")).alias("seeds"))
         pattern = pattern.where(F.col("seeds") >= LEAST).select("p", (F.col("s") / (F.col("n") + SMOOTH)).alias("w"))
         # a seed scores 1 whatever its patterns; only other instances need the patterns' scores
@@ -163,8 +168,14 @@ def bootstrap(items: DataFrame, scratch: common.Scratch, rounds: int = ROUNDS) -
         old, scored = scored, scratch.keep(free.select("surface", (1 - F.exp("g")).alias("x")))
         if old is not None:
             scratch.drop(old)
+        r = scored.agg(F.count_if(F.col("x") >= ACCEPT).alias("n"), F.coalesce(F.sum("x"), F.lit(0.0)).alias("x")).first()
+        if r["n"] == mark[0] and r["x"] - mark[1] < SETTLED:
+            break
+        mark = (r["n"], r["x"])
         good = F.col("seed") | (F.coalesce("x", F.lit(0.0)) >= ACCEPT)
         now = edges.join(scored, "surface", "left").select("p", "surface", good.alias("seed"), F.when(good, 1.0).otherwise(F.coalesce("x", F.lit(0.0))).alias("s"))
+    else:
+        raise RuntimeError("the bootstrap did not settle")
     scratch.drop(edges)
     return scored.where(F.col("x") >= ACCEPT).select("surface")
 
