@@ -20,6 +20,8 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+from array import array
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
@@ -47,7 +49,7 @@ class WordCodec:
 
     Where white space ends every token and is dropped, and the normaliser looks at single characters and their
     marks only, a text's ids are those of its blank-free runs one after the other; they are remembered by run.  A run
-    of letters up to U+024F, digits and ASCII signs is lower-cased and split here, and merged by a rank codec over
+    of letters up to U+023F, digits and ASCII signs is lower-cased and split here, and merged by a rank codec over
     bytes in which a byte that UTF-8 never uses stands for the word's end: when merge k makes the token k places after
     both alphabets, merging by id is merging by rank.  All other runs go to the ``tokenizers`` library, and any file
     that is not of this kind is encoded whole by it.
@@ -57,9 +59,11 @@ class WordCodec:
     END = b"\xff"
     # fixed value: the splitting pattern for which the short way is known to hold
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-    # letters whose lower case and composed form no version of Unicode changes (without the dotted capital I)
-    PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
-    PARTS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[0-9]|[^a-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+    # bytes of ASCII signs and of letters U+00C0 to U+023F, whose lower case and composed form no version of Unicode
+    # changes; of these the two signs that are no letters and the dotted capital I are left to the library
+    PLAIN = bytes([*range(0x21, 0x7f), *range(0x80, 0xc0), *range(0xc3, 0xc9)])
+    ODD = tuple(c.encode() for c in "\u00d7\u00f7\u0130")
+    PARTS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z\u0080-\uffff]+|[0-9]|[^a-z0-9\u0080-\uffff]+")      # non-ASCII ones are letters there
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -93,6 +97,8 @@ class WordCodec:
         import tiktoken
 
         suffix, alphabet, vocab = model.get("end_of_word_suffix"), packing._byte_alphabet(), model["vocab"]
+        if any(sum(not c.isalpha() for c in m) < 2 for m in self.marks):
+            return None         # ``_run`` looks for marks only where two signs may stand
         if not suffix or model.get("ignore_merges") or model.get("unk_token") or any(c not in vocab or c + suffix not in vocab for c in alphabet):
             return None
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
@@ -108,13 +114,27 @@ class WordCodec:
         return np.array(self.hf.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _run(self, run: bytes) -> bytes:
-        text = run.decode()
-        if self.ranked is None or not self.PLAIN.fullmatch(text) or any(m in text for m in self.marks):
-            return self._whole(text)
-        ids: list[int] = []
-        for part in self.PARTS.findall(text.lower()):
+        if self.ranked is None or run.translate(None, self.PLAIN):
+            return self._whole(run.decode())
+        times, over, dotted = self.ODD
+        if times in run or over in run or dotted in run:
+            return self._whole(run.decode())
+        text = run.decode().lower()
+        if text.isalpha():
+            parts = [text]
+        elif text[:-1].isalpha():
+            parts = [text[:-1], text[-1]]
+        elif any(m.encode() in run for m in self.marks):
+            return self._whole(run.decode())
+        else:
+            parts = self.PARTS.findall(text)
+        ids = []
+        for part in parts:
             ids += self.ranked.encode_single_piece(part.encode() + self.END)
-        return np.array(ids, dtype="<u4").tobytes()
+        packed = array("I", ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids as packed little-endian unsigned 32-bit integers."""
