@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,14 +140,18 @@ def test_codec_gives_the_librarys_ids():
     bits = ["a", "B", "'s", "'S", " ", "  ", "\n", "\x0b", "\x1c", "\x85", "\xa0", "é", "é", "İ", "Σ", "中文", "1", "٣", "!!", "<|endoftext|>",
             "<|ENDOFTEXT|>", "ll", "'LL", "ÿ", "ß", "ŉ", "Ǆ", "×", "ª", "word", "​", "ﬁ", "　", "_", "ther", "ing", "y" * 70, "-", ".", "ƀ", "ȿ", "ɐ", "Ⱥ", "÷"]
     texts = ["".join(draw.choice(bits) for _ in range(draw.randrange(14))) for _ in range(4000)] + [t or "" for _, t, _ in DOCS]
-    for t in texts:
-        assert np.frombuffer(codec.encode(t), "<u4").tolist() == whole_ids(t)
+    texts += ["a " * 3 + "z" * 5000, "y" * 40_000]
+    for t, ids in zip(texts, codec.encode(pa.array(texts)), strict=True):
+        assert ids.tolist() == whole_ids(t)
+    cut = pa.array(["left out", *texts[:9], None, ""]).slice(1)
+    assert [i.tolist() for i in codec.encode(cut)] == [whole_ids(t) for t in [*texts[:9], None, ""]]
+    assert codec.encode(pa.array([], pa.string())) == []
 
 
 def test_other_files_are_encoded_whole():
     codec = config_lp.WordCodec(public_tokenizers.path("byte_bpe_50k.json"))
     assert not codec.by_run
-    assert np.frombuffer(codec.encode("Two words"), "<u4").tolist() == codec.hf.encode("Two words", add_special_tokens=False).ids
+    assert codec.encode(pa.array(["Two words"]))[0].tolist() == codec.hf.encode("Two words", add_special_tokens=False).ids
 
 
 def test_knapsack_equals_enumeration():

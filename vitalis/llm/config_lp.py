@@ -19,8 +19,6 @@ length; ranks come from counts by (task, length), so that no task sees all piece
 from __future__ import annotations
 
 import json
-import re
-import sys
 from array import array
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
@@ -28,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,6 +40,11 @@ STEP = 0.25         # share of the scarcest class's demand that one step may cov
 RATE = 2.0          # a class wholly covered has its weight divided by e**RATE
 ROUNDS = 4000       # steps at most; demand not covered by then is placed best-fit
 
+SPACE, LETTER, DIGIT, SIGN = range(4)
+BLANKS = b" \t\n\r\x0b\x0c"
+KIND = np.array([SPACE if c in BLANKS else LETTER if c >= 0x80 or chr(c).isalpha() else DIGIT if chr(c).isdigit() else SIGN for c in range(256)],
+                dtype=np.uint8)
+
 _CODECS: dict[str, "WordCodec"] = {}
 
 
@@ -48,22 +52,22 @@ class WordCodec:
     """Ids of a ``tokenizer.json`` without special tokens around a text.
 
     Where white space ends every token and is dropped, and the normaliser looks at single characters and their
-    marks only, a text's ids are those of its blank-free runs one after the other; they are remembered by run.  A run
-    of letters up to U+023F, digits and ASCII signs is lower-cased and split here, and merged by a rank codec over
-    bytes in which a byte that UTF-8 never uses stands for the word's end: when merge k makes the token k places after
-    both alphabets, merging by id is merging by rank.  All other runs go to the ``tokenizers`` library, and any file
-    that is not of this kind is encoded whole by it.
+    marks only, a text's ids are those of its blank-free runs one after the other, and each distinct run of a batch
+    of texts is encoded once.  Runs of common letters, digits and ASCII signs are lower-cased and split here, all at
+    once in numpy, one blank is put after every word, and a rank codec merges the bytes of a word and its blank,
+    which stands for the word's end: when merge k makes the token k places after both alphabets, merging by id is
+    merging by rank; merged words are remembered.  All other runs go to the ``tokenizers`` library; any file that is
+    not of this kind is encoded whole by it.
     """
 
-    MOST, LONGEST = 400_000, 64     # runs remembered, and their length in bytes
-    END = b"\xff"
+    MOST = 400_000                  # words remembered
+    PIECE = 1_000                   # longer words go to the library: the rank codec is quadratic in them
     # fixed value: the splitting pattern for which the short way is known to hold
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-    # bytes of ASCII signs and of letters U+00C0 to U+023F, whose lower case and composed form no version of Unicode
+    # bytes of ASCII signs and of letters U+00C0 to U+01FF, whose lower case and composed form no version of Unicode
     # changes; of these the two signs that are no letters and the dotted capital I are left to the library
-    PLAIN = bytes([*range(0x21, 0x7f), *range(0x80, 0xc0), *range(0xc3, 0xc9)])
+    PLAIN = bytes([*range(0x21, 0x7f), *range(0x80, 0xc0), *range(0xc3, 0xc8)])
     ODD = tuple(c.encode() for c in "\u00d7\u00f7\u0130")
-    PARTS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z\u0080-\uffff]+|[0-9]|[^a-z0-9\u0080-\uffff]+")      # non-ASCII ones are letters there
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -71,10 +75,10 @@ class WordCodec:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.hf = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        self.marks = [t["content"] for t in spec.get("added_tokens", [])]
+        self.marks = [t["content"].encode() for t in spec.get("added_tokens", [])]
         self.by_run = self._parts_at_space(spec)
         self.ranked = self._ranks(spec["model"]) if self.by_run else None
+        self.known: dict[bytes, bytes] = {}
 
     @classmethod
     def _parts_at_space(cls, spec: dict) -> bool:
@@ -92,69 +96,105 @@ class WordCodec:
                 and not any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip", "normalized"))
                 and not any(c.isspace() for t in added for c in t["content"]))
 
-    def _ranks(self, model: dict):
-        """The rank codec, or None where ids do not follow the merges."""
+    @staticmethod
+    def _ranks(model: dict):
+        """The rank codec, or None where ids do not follow the merges or a token holds a blank."""
         import tiktoken
 
         suffix, alphabet, vocab = model.get("end_of_word_suffix"), packing._byte_alphabet(), model["vocab"]
-        if any(sum(not c.isalpha() for c in m) < 2 for m in self.marks):
-            return None         # ``_run`` looks for marks only where two signs may stand
         if not suffix or model.get("ignore_merges") or model.get("unk_token") or any(c not in vocab or c + suffix not in vocab for c in alphabet):
             return None
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         low = max(vocab[c + e] for c in alphabet for e in ("", suffix)) + 1
-        if any(vocab.get(a + b) != low + k for k, (a, b) in enumerate(merges)):
+        made = [a + b for a, b in merges]
+        blank = next(c for c, v in alphabet.items() if v == 0x20)
+        if any(vocab.get(m) != low + k or blank in m for k, m in enumerate(made)):
             return None
-        names = [*alphabet, *(c + suffix for c in alphabet), *(a + b for a, b in merges)]
-        spell = {n: (n[: -len(suffix)], self.END) if n.endswith(suffix) else (n, b"") for n in names}
-        ranks = {bytes(alphabet[c] for c in n) + e: vocab[k] for k, (n, e) in spell.items()}
-        return tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe
+        ranks = {}
+        for name in [*alphabet, *(c + suffix for c in alphabet), *made]:
+            word, end = (name[: -len(suffix)], b" ") if name.endswith(suffix) else (name, b"")
+            ranks[bytes(alphabet[c] for c in word) + end] = vocab[name]
+        return tiktoken.Encoding("words", pat_str=r"[^ ]+ ", mergeable_ranks=ranks, special_tokens={})._core_bpe
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.hf.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def _library(self, text: str) -> np.ndarray:
+        return np.array(self.hf.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
-    def _run(self, run: bytes) -> bytes:
-        if self.ranked is None or run.translate(None, self.PLAIN):
-            return self._whole(run.decode())
+    def _odd(self, data: bytes) -> bool:
+        """Whether bytes hold anything that the short way leaves to the library."""
         times, over, dotted = self.ODD
-        if times in run or over in run or dotted in run:
-            return self._whole(run.decode())
-        text = run.decode().lower()
-        if text.isalpha():
-            parts = [text]
-        elif text[:-1].isalpha():
-            parts = [text[:-1], text[-1]]
-        elif any(m.encode() in run for m in self.marks):
-            return self._whole(run.decode())
-        else:
-            parts = self.PARTS.findall(text)
-        ids = []
-        for part in parts:
-            ids += self.ranked.encode_single_piece(part.encode() + self.END)
-        packed = array("I", ids)
-        if sys.byteorder == "big":
-            packed.byteswap()
-        return packed.tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """Ids as packed little-endian unsigned 32-bit integers."""
+        return bool(data.translate(None, self.PLAIN + b" ")) or times in data or over in data or dotted in data or any(m in data for m in self.marks)
+
+    @staticmethod
+    def _words(runs: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+        """The lower-cased words of runs, and how many each run has."""
+        b = np.frombuffer((b" ".join(runs) + b"  ").decode().lower().encode(), np.uint8)
+        kind = KIND[b]
+        end = (kind != SPACE) & ((kind != np.append(kind[1:], np.uint8(SPACE))) | (kind == DIGIT))
+        for i in np.flatnonzero(b == 0x27).tolist():       # an apostrophe that begins a word may take letters along
+            if i and kind[i - 1] == SIGN:
+                continue
+            two = bytes(b[i + 1:i + 3])
+            n = 2 if two[:1] in (b"s", b"t", b"m", b"d") else 3 if two in (b"re", b"ve", b"ll") else 0
+            if n:
+                end[i] = False
+                end[i + n - 1] = True
+        times = (kind != SPACE).astype(np.int8) + end
+        out = np.repeat(b, times)
+        out[np.cumsum(times, dtype=np.int64)[end] - 1] = 0x20
+        return out.tobytes().split(), np.bincount(np.cumsum(kind == SPACE)[end], minlength=len(runs))
+
+    def _merged(self, words: list[bytes]) -> list[bytes]:
+        """The packed ids of each word."""
+        out = list(map(self.known.get, words))
+        for i, ids in enumerate(out):
+            if ids is None:
+                word = words[i]
+                out[i] = self.known.get(word) or array("I", self.ranked.encode_single_piece(word + b" ")).tobytes()
+                if len(self.known) >= self.MOST:
+                    self.known.clear()
+                self.known[word] = out[i]
+        return out
+
+    def _runs(self, runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of runs one after the other, and where each begins (one entry more than runs)."""
+        size, parts = np.zeros(len(runs), dtype=np.int64), {}
+        length = np.fromiter(map(len, runs), np.int64, len(runs))
+        short = (length > 0) & (length <= self.PIECE) & (self.ranked is not None)
+        if self._odd(b" ".join(runs)):
+            short &= ~np.fromiter(map(self._odd, runs), bool, len(runs))
+        for i in np.flatnonzero(~short & (length > 0)).tolist():
+            parts[i] = self._library(runs[i].decode())
+            size[i] = len(parts[i])
+        ids = np.empty(0, np.uint32)
+        if short.any():
+            words, many = self._words([r for r, plain in zip(runs, short.tolist(), strict=True) if plain])
+            packed = self._merged(words)
+            ids = np.frombuffer(b"".join(packed), np.uint32)
+            stop = np.cumsum(np.fromiter(map(len, packed), np.int64, len(packed)) // 4)[np.cumsum(many) - 1]
+            size[short] = np.diff(stop, prepend=0)
+        first = np.concatenate([[0], np.cumsum(size)])
+        flat = np.empty(first[-1], dtype=np.uint32)
+        rest = np.ones(len(flat), dtype=bool)
+        for i, p in parts.items():
+            flat[first[i]:first[i + 1]] = p
+            rest[first[i]:first[i + 1]] = False
+        flat[rest] = ids
+        return flat, first
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of a string array; null counts as empty."""
+        texts = pc.fill_null(texts, "")
         if not self.by_run:
-            return self._whole(text)
-        runs = text.encode().split()        # of bytes: at ASCII white space
-        out = list(map(self.known.get, runs))
-        if None in out:
-            for i, ids in enumerate(out):
-                if ids is None:
-                    run = runs[i]
-                    ids = self.known.get(run)
-                    if ids is None:
-                        ids = self._run(run)
-                        if len(run) <= self.LONGEST:
-                            if len(self.known) >= self.MOST:
-                                self.known.clear()
-                            self.known[run] = ids
-                    out[i] = ids
-        return b"".join(out)
+            return [self._library(t) for t in texts.to_pylist()]
+        parts = pc.ascii_split_whitespace(texts)
+        distinct = parts.flatten().dictionary_encode()
+        which = distinct.indices.to_numpy()
+        flat, first = self._runs(distinct.dictionary.cast(pa.binary()).to_pylist())
+        size = np.diff(first)[which]
+        done = np.concatenate([[0], np.cumsum(size)])
+        ids = flat[np.repeat(first[which] - done[:-1], size) + np.arange(done[-1])]
+        at = done[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
+        return [ids[lo:hi] for lo, hi in zip(at[:-1], at[1:], strict=True)]
 
 
 def codec(path: str) -> WordCodec:
@@ -381,8 +421,8 @@ def pack(df: DataFrame, path: str, end_id: int = 1, window: int = 4096, key: str
         for whole in batches:
             for b in common.slices(whole, "_text"):
                 rows, piece, nth, ids = [], [], [], []
-                for i, t in enumerate(common.texts(b, "_text")):
-                    packed = coder.encode(t) + end
+                for i, found in enumerate(coder.encode(b.column(1))):
+                    packed = found.astype("<u4", copy=False).tobytes() + end
                     for p, at in enumerate(range(0, len(packed), 4 * window)):
                         bit = packed[at:at + 4 * window]
                         rows.append(i)
