@@ -42,7 +42,7 @@ def _unwind(m, i):
 
 def tree_shap_row(x: np.ndarray, tree: dict, phi: np.ndarray) -> None:
     """Add one tree's exact path-dependent SHAP values for row ``x`` to ``phi``."""
-    left, right, feat, thr, val, cover = (tree[k] for k in ("left", "right", "feat", "thr", "val", "cover"))
+    left, right, feat, thr, val, cover = (tree[k] for k in ("left", "right", "feature", "threshold", "value", "cover"))
 
     def recurse(j, m, pz, po, pi):
         m = _extend(m, pz, po, pi)
@@ -77,7 +77,7 @@ def _data(spark):
 
 
 def _cond_expect(x, tree, subset):
-    left, right, feat, thr, val, cover = (tree[k] for k in ("left", "right", "feat", "thr", "val", "cover"))
+    left, right, feat, thr, val, cover = (tree[k] for k in ("left", "right", "feature", "threshold", "value", "cover"))
 
     def go(j):
         if left[j] < 0:
@@ -119,7 +119,7 @@ def test_tree_shap_additive_and_exact(spark, kind):
     for k, v in truth.items():
         assert abs(expected + sums[k] - v) < 1e-6
     # exact Shapley values of the first tree by brute force; batch == per-row
-    trees, _, _ = E.forest_nodes(spark, model)
+    trees = [r.asDict() for r in E.tree_rows(E.forest_table(spark, model)).orderBy("tree").collect()]
     xs = np.array([[r["a"], r["b"], r["c"]] for r in sample.collect()])
     for t in trees:
         batch = E.tree_shap_batch(xs, t)
@@ -132,3 +132,65 @@ def test_tree_shap_additive_and_exact(spark, kind):
         phi = np.zeros(3)
         tree_shap_row(x, trees[0], phi)
         assert np.allclose(phi, _brute(x, trees[0], 3), atol=1e-9)
+    # many slices and blocks give what one gives, and the states what the long table gives
+    rows, again = E.explained_rows(sample.unionByName(sample.where("id < 3")), "id", feats, model, slice_nodes=10, block_rows=3)
+    assert abs(again - expected) < 1e-12
+    want = {(r["row_id"], f): v for r in attr.groupBy("row_id").pivot("feature", feats).agg(F.first("attribution")).collect()
+            for f, v in zip(feats, (r["a"], r["b"], r["c"]))}
+    got = rows.collect()
+    assert len(got) == 23
+    for r in got:
+        for f, v in zip(feats, r["phi"]):
+            assert abs(want[r["row_id"], f] - v) < 1e-9
+    states = E.attribution_states(rows, feats, "m")
+    assert "Generate" not in _plan(rows.agg(F.sum(F.col("phi")[0]))) and states.count() == 3
+    imp = {r["feature"]: r["importance"] for r in E.importance_of(states).collect()}
+    for i, f in enumerate(feats):
+        assert abs(imp[f] - np.mean([abs(r["phi"][i]) for r in got])) < 1e-9
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().split("Exchange")[0].split("FlatMapCoGroups")[0]
+
+
+def _random_tree(rng, d, depth):
+    """A tree of given depth whose features repeat on its paths; covers add up."""
+    tree = {k: [] for k in ("left", "right", "feature", "threshold", "value", "cover")}
+
+    def grow(cover, left_depth):
+        j = len(tree["left"])
+        for k, v in (("left", -1), ("right", -1), ("feature", -1), ("threshold", 0.0), ("value", float(rng.normal())), ("cover", cover)):
+            tree[k].append(v)
+        if left_depth and cover >= 2 and rng.random() < 0.9:
+            part = float(rng.integers(1, int(cover)))
+            tree["feature"][j], tree["threshold"][j] = int(rng.integers(d)), float(rng.normal())
+            tree["left"][j] = grow(part, left_depth - 1)
+            tree["right"][j] = grow(cover - part, left_depth - 1)
+        return j
+    grow(500.0, depth)
+    return {k: np.array(v) for k, v in tree.items()}
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_tree_shap_with_repeated_features_and_missing_values(seed):
+    rng = np.random.default_rng(seed)
+    d = int(rng.integers(1, 6))
+    tree = _random_tree(rng, d, int(rng.integers(0, 9)))
+    xs = rng.normal(size=(12, d))
+    xs[rng.random(xs.shape) < 0.1] = np.nan
+    batch = E.tree_shap_batch(xs, tree)
+    for i, x in enumerate(xs):
+        one = np.zeros(d)
+        tree_shap_row(x, tree, one)
+        assert np.allclose(batch[i], one, atol=1e-9)
+
+
+def test_tree_shap_cost_does_not_follow_the_number_of_paths():
+    """A deep tree takes a walk over its edges, in little memory."""
+    rng = np.random.default_rng(1)
+    tree = _random_tree(rng, 12, 24)
+    xs = rng.normal(size=(50, 12))
+    for x, phi in zip(xs[:3], E.tree_shap_batch(xs, tree)[:3]):
+        out = np.zeros(12)
+        tree_shap_row(x, tree, out)
+        assert np.allclose(phi, out, atol=1e-8)

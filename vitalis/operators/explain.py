@@ -7,25 +7,27 @@ plus a per-model expected value, so that for each row
 
 * ``linear_attributions`` (M18): coef * (x - centre); pure column arithmetic.
 * ``tree_attributions`` (M17): exact path-dependent TreeSHAP for MLlib random
-  forests and gradient-boosted trees.  The fitted forest (a table of nodes,
-  bounded by model size, not data size) is read from the saved model and
-  shipped to the executors; rows are explained batch-wise in ``mapInPandas``.
+  forests and gradient-boosted trees.  The fitted forest stays a distributed
+  table of trees, dealt into slices of bounded size; a task explains a block of
+  rows for a slice of trees, and the slices' values are added up by row.
+* ``attribution_states``: per-feature sums of explained rows, from which means,
+  spreads and importance follow without the long table (A18, A22).
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LONG_SCHEMA = "model_name string, row_id bigint, feature string, value double, attribution double"
-# The forest is shipped to every executor; its size is the model's, not the
-# data's, but deep forests on huge data can be large.  Refuse rather than cap.
-MAX_FOREST_NODES = 2_000_000
+SLICE_NODES = 200_000   # nodes of the trees that a task holds at once (a larger tree is a slice of its own)
+BLOCK_ROWS = 4096       # rows that a task explains at once
 
 
 def to_long(df: DataFrame, id_col: str, features: Sequence[str], value_col: str = "value") -> DataFrame:
@@ -70,131 +72,176 @@ def importance(attr: DataFrame, top: int | None = 20) -> DataFrame:
 # TreeSHAP
 # ---------------------------------------------------------------------------
 
-def forest_nodes(spark: SparkSession, model, scratch: str | None = None) -> tuple[list[dict], list[float], str]:
-    """Read a fitted MLlib tree ensemble into arrays: one dict per tree.
+def forest_table(spark: SparkSession, model) -> DataFrame:
+    """The nodes of a fitted MLlib tree ensemble: tree, scale, id, left, right, feature, threshold, value, cover.
 
-    The model is saved under the session's checkpoint folder (shared on a
-    cluster) and its node table read back; the table has trees x nodes rows.
-    Returns (trees, tree_weights, kind) with kind 'rf' or 'gbt'."""
+    The model is saved under the session's checkpoint folder and its node table read back; nothing of it but the
+    trees' weights passes through the driver.  ``scale`` is what a tree's output counts for: its weight for boosted
+    trees (margin), 1 / trees for a forest (mean of the leaves' shares of class 1)."""
     from ..session import ensure_checkpoint_dir
-    base = scratch or ensure_checkpoint_dir(spark)
-    path = f"{base.rstrip('/')}/model-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/model-{uuid.uuid4().hex}"
     model.write().overwrite().save(path)
     nodes = spark.read.parquet(f"{path}/data")
-    n_nodes = nodes.count()
-    if n_nodes > MAX_FOREST_NODES:
-        raise ValueError(f"forest has {n_nodes} nodes (> {MAX_FOREST_NODES}); too large to broadcast for TreeSHAP")
-    kind = "gbt" if "GBT" in type(model).__name__ else "rf"
     if "treeID" not in nodes.columns:  # single decision tree
-        nodes = nodes.withColumn("treeID", F.lit(0)).withColumn("nodeData", F.struct("*"))
-    rows = nodes.select("treeID", "nodeData.*").select(
-        "treeID", "id", "leftChild", "rightChild", "prediction", "impurityStats", "rawCount",
-        F.col("split.featureIndex").alias("feature"),
-        F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold")).toPandas()
-    weights = list(getattr(model, "treeWeights", [1.0] * (int(rows["treeID"].max()) + 1)))
-    trees = []
-    for tid, g in rows.groupby("treeID"):
-        g = g.sort_values("id")
-        # node ids are 0 .. n-1 in each tree, so columns are the arrays
-        left, right = g["leftChild"].to_numpy(np.int64), g["rightChild"].to_numpy(np.int64)
-        feat = g["feature"].to_numpy(np.int64)
-        thr = g["threshold"].fillna(0.0).to_numpy(float)
-        stats = np.stack(g["impurityStats"].to_numpy()).astype(float)
-        raw = g["rawCount"].to_numpy(float)
-        if kind == "gbt":
-            cover, val = (stats[:, 0] if stats.shape[1] else raw), g["prediction"].to_numpy(float)
+        nodes = nodes.select(F.lit(0).alias("treeID"), F.struct("*").alias("nodeData"))
+    n = nodes.select(F.col("treeID").cast("int").alias("tree"), "nodeData.*")
+    stats, total = F.col("impurityStats"), F.aggregate("impurityStats", F.lit(0.0), lambda a, v: a + v)
+    if "GBT" in type(model).__name__:
+        weights = [float(w) for w in model.treeWeights]
+        cover, value = F.coalesce(F.get(stats, F.lit(0)), F.col("rawCount").cast("double")), F.col("prediction")
+    else:
+        weights = [1.0 / k for k in [getattr(model, "getNumTrees", 1)] for _ in range(k)]
+        cover = F.when(total > 0, total).otherwise(F.col("rawCount").cast("double"))
+        value = F.when(total > 0, F.coalesce(F.get(stats, F.lit(1)), F.lit(0.0)) / total).otherwise(0.0)
+    scales = spark.createDataFrame(list(enumerate(weights)), "tree int, scale double")
+    return n.select("tree", "id", F.col("leftChild").alias("left"), F.col("rightChild").alias("right"),
+                    F.col("split.featureIndex").alias("feature"),
+                    F.coalesce(F.get("split.leftCategoriesOrThreshold", F.lit(0)), F.lit(0.0)).alias("threshold"),
+                    value.alias("value"), cover.alias("cover")).join(F.broadcast(scales), "tree")
+
+
+_ARRAYS = ("left", "right", "feature", "threshold", "value", "cover")
+
+
+def tree_rows(nodes: DataFrame) -> DataFrame:
+    """One row per tree: its scale and its nodes as arrays in the order of their ids (0 .. n-1)."""
+    by_id = F.array_sort(F.collect_list(F.struct("id", *_ARRAYS)))
+    packed = nodes.groupBy("tree").agg(F.first("scale").alias("scale"), by_id.alias("nodes"))
+    return packed.select("tree", "scale", *[F.col(f"nodes.{c}").alias(c) for c in _ARRAYS])
+
+
+def expected_value(nodes: DataFrame) -> float:
+    """The ensemble's output with no feature known: the leaves' values weighted by their share of the root's cover."""
+    leaf, root = F.col("left") < 0, F.col("id") == 0
+    per_tree = nodes.groupBy("tree").agg(
+        (F.first("scale") * F.sum(F.when(leaf, F.col("cover") * F.col("value"))) / F.max(F.when(root, F.col("cover")))).alias("e"))
+    return float(per_tree.agg(F.sum("e")).first()[0] or 0.0)
+
+
+def _divide(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a / b where b is 0 only where a is."""
+    return np.divide(a, b, out=np.zeros_like(a), where=b != 0)
+
+
+def path_features(tree: dict) -> int:
+    """The most distinct features on a path from the root."""
+    left, right, feature = (np.asarray(tree[c]).tolist() for c in ("left", "right", "feature"))
+    most, stack = 0, [(0, frozenset())]
+    while stack:
+        j, seen = stack.pop()
+        if left[j] < 0:
+            most = max(most, len(seen))
         else:
-            tot = stats.sum(axis=1)
-            cover = np.where(tot > 0, tot, raw)
-            val = np.where(tot > 0, stats[:, 1] / np.where(tot > 0, tot, 1.0), 0.0) if stats.shape[1] > 1 else np.zeros(len(g))
-        trees.append({"left": left, "right": right, "feat": feat, "thr": thr, "val": val, "cover": cover})
-    return trees, [float(w) for w in weights], kind
+            seen = seen | {feature[j]}
+            stack += [(left[j], seen), (right[j], seen)]
+    return most
 
 
-def leaf_paths(tree: dict) -> list[tuple[int, list[tuple[int, float, bool, float]]]]:
-    """Every leaf with its path: (feature, threshold, goes_left, cover ratio)."""
-    left, right, feat, thr, cover = (tree[k] for k in ("left", "right", "feat", "thr", "cover"))
-    out, stack = [], [(0, [])]
-    while stack:
-        j, path = stack.pop()
-        if left[j] < 0:
-            out.append((j, path))
-            continue
-        cj = cover[j] if cover[j] > 0 else 1.0
-        stack.append((left[j], path + [(int(feat[j]), float(thr[j]), True, cover[left[j]] / cj)]))
-        stack.append((right[j], path + [(int(feat[j]), float(thr[j]), False, cover[right[j]] / cj)]))
-    return out
-
-
-def tree_shap_batch(x: np.ndarray, tree: dict, paths=None) -> np.ndarray:
-    """Path-dependent TreeSHAP of one tree for a batch of rows (n x d), vectorised
-    over rows.  Per leaf, repeated features merge into one path element (zero
-    fraction = product of cover ratios, one fraction = all branches followed);
-    the Shapley weights are the coefficients of the product of the elements'
-    linear factors, which does not depend on the path order, so this equals the
-    row-wise recursion (which the tests hold)."""
+def tree_shap_batch(x: np.ndarray, tree: dict) -> np.ndarray:
+    """Path-dependent TreeSHAP of one tree for a batch of rows (n x d).
+
+    With z the product of a feature's cover ratios on a path and o whether the row follows all its branches, the
+    Shapley weight of a set of k of m features is the integral of t^k (1-t)^(m-1-k), so a leaf adds to feature i
+
+        value * (o_i - z_i) * integral over [0, 1] of  prod_{j != i} (z_j (1 - t) + o_j t) dt,
+
+    a polynomial that Gauss-Legendre quadrature with half as many points as features integrates exactly.  One walk
+    down the tree carries the product of all factors at those points, and one walk up adds the leaves' products, so
+    that every edge costs a few vector steps and no list of paths is made.  A feature split again further down has
+    its new factor in place of the old there: those leaves are taken out of what the upper edge adds."""
     n, d = x.shape
     phi = np.zeros((n, d))
-    val = tree["val"]
-    for leaf, path in (paths if paths is not None else leaf_paths(tree)):
-        v = val[leaf]
-        if v == 0 or not path:
-            continue
-        merged: dict[int, list] = {}
-        for f, t, is_left, ratio in path:
-            col = x[:, f]
-            le = (col <= t) & ~np.isnan(col)
-            go = (le if is_left else ~le).astype(float)
-            if f in merged:
-                merged[f][0] *= ratio
-                merged[f][1] = merged[f][1] * go
-            else:
-                merged[f] = [ratio, go]
-        feats = list(merged)
-        zs = [1.0] + [merged[f][0] for f in feats]
-        os_ = [np.ones(n)] + [merged[f][1] for f in feats]
-        w = [np.ones(n)]
-        for e in range(1, len(zs)):          # EXTEND
-            size = len(w)
-            w.append(np.zeros(n))
-            for i in range(size - 1, -1, -1):
-                w[i + 1] = w[i + 1] + os_[e] * w[i] * (i + 1) / (size + 1)
-                w[i] = zs[e] * w[i] * (size - i) / (size + 1)
-        last = len(w) - 1
-        for e, f in enumerate(feats, start=1):  # UNWIND-sum per element
-            z, o = zs[e], os_[e]
-            nonzero = o != 0
-            safe_o = np.where(nonzero, o, 1.0)
-            safe_z = z if z != 0 else 1.0
-            carry = w[last].copy()
-            tot_nz = np.zeros(n)
-            tot_z = np.zeros(n)
-            for j in range(last - 1, -1, -1):
-                new = carry * (last + 1) / ((j + 1) * safe_o)
-                tot_nz += new
-                carry = w[j] - new * z * (last - j) / (last + 1)
-                tot_z += w[j] * (last + 1) / (safe_z * (last - j))
-            phi[:, f] += np.where(nonzero, tot_nz, tot_z) * (o - z) * v
+    left, right, feature, threshold, value, cover = (np.asarray(tree[c]).tolist() for c in _ARRAYS)
+    points, weights = np.polynomial.legendre.leggauss(max(1, math.ceil(path_features(tree) / 2)))
+    t, w = ((points + 1) / 2)[:, None], weights / 2
+    factors: dict[int, tuple] = {}      # feature -> (z, o, factor) on the current path
+    again: dict[int, np.ndarray] = {}   # feature -> leaves below the current edge that split on it again
+
+    def walk(j: int, product: np.ndarray) -> np.ndarray | None:
+        if left[j] < 0:
+            return value[j] * product if value[j] else None
+        f = feature[j]
+        known = x[:, f] <= threshold[j]         # a missing value goes right
+        before = factors.get(f)
+        total = None
+        for child, go in ((left[j], known), (right[j], ~known)):
+            z, o = cover[child] / cover[j] if cover[j] > 0 else 0.0, go.astype(float)
+            carried = product
+            if before is not None:
+                z, o = z * before[0], o * before[1]
+                carried = product / before[2] if before[0] else _divide(product, before[2])
+            factor = z * (1 - t) + t * o
+            factors[f] = (z, o, factor)
+            held = again.pop(f, None)
+            leaves = walk(child, carried * factor)
+            inner = again.pop(f, None)
+            if leaves is not None:
+                own = leaves if inner is None else leaves - inner
+                phi[:, f] += (o - z) * (w @ (own / factor if z else _divide(own, factor)))
+                total = leaves if total is None else total + leaves
+            if before is not None:
+                parts = [p for p in (held, leaves) if p is not None]
+                if parts:
+                    again[f] = parts[0] if len(parts) == 1 else parts[0] + parts[1]
+        if before is None:
+            del factors[f]
+        else:
+            factors[f] = before
+        return total
+
+    walk(0, np.ones((len(w), n)))
     return phi
 
 
-def tree_expected(tree: dict) -> float:
-    """Cover-weighted mean leaf value (the model output with no feature known)."""
-    left, right, val, cover = tree["left"], tree["right"], tree["val"], tree["cover"]
+def _explain_block(rows: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
+    """What the given trees add to the attributions of the given rows."""
+    if rows.empty or trees.empty:
+        return pd.DataFrame({c: [] for c in ("_row", "_rid", "x", "phi")})
+    x = np.stack(rows["x"].to_numpy())
+    phi = np.zeros_like(x)
+    for r in trees.to_dict("records"):
+        for lo in range(0, len(x), 1024):       # as much as a core's cache holds of a tree's path
+            phi[lo:lo + 1024] += r["scale"] * tree_shap_batch(x[lo:lo + 1024], r)
+    return pd.DataFrame({"_row": rows["_row"].to_numpy(), "_rid": rows["_rid"].to_numpy(), "x": list(x), "phi": list(phi)})
 
-    def go(j):
-        if left[j] < 0:
-            return val[j]
-        cj = cover[j] if cover[j] > 0 else 1.0
-        return (cover[left[j]] * go(left[j]) + cover[right[j]] * go(right[j])) / cj
-    return float(go(0))
 
+def explained_rows(df: DataFrame, id_col: str, features: Sequence[str], fitted_model, slice_nodes: int = SLICE_NODES,
+                   block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, float]:
+    """Attributions of every row as arrays in the order of ``features``: (row_id, x, phi), and the expected value.
 
-def ensemble_scale(kind: str, weights: Sequence[float]) -> list[float]:
-    """Per-tree multipliers: GBT margin = sum w_t f_t; RF P(y=1) = mean f_t."""
-    if kind == "gbt":
-        return list(weights)
-    return [1.0 / len(weights)] * len(weights)
+    Rows are dealt into blocks by a hash of their place in a checkpointed table, so equal or repeated ids do not
+    meet in one; trees into slices of about ``slice_nodes`` nodes.  Blocks and slices are cogrouped: what is shuffled
+    is each row once per slice and each tree once per block."""
+    from ..session import ensure_checkpoint_dir
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    feats = list(features)
+    nan = F.lit(float("nan"))
+    rows = df.select(F.col(id_col).cast("bigint").alias("_rid"),
+                     F.array(*[F.coalesce(F.col(f).cast("double"), nan) for f in feats]).alias("x")).checkpoint(eager=True)
+    rows = rows.withColumn("_row", F.monotonically_increasing_id())
+    nodes = forest_table(spark, fitted_model).checkpoint(eager=True)
+    expected = expected_value(nodes)
+    # one row for each tree: a window over a parameter's number of rows
+    before = Window.orderBy("tree").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = nodes.groupBy("tree").agg(F.count(F.lit(1)).alias("n"))
+    slices = sizes.select("tree", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / slice_nodes).cast("int").alias("slice"))
+    slices = slices.select("tree", (F.dense_rank().over(Window.orderBy("slice")) - 1).alias("slice")).checkpoint(eager=True)
+    n_slices = int(slices.agg(F.max("slice")).first()[0]) + 1
+    n_blocks = max(1, math.ceil(rows.count() / block_rows), math.ceil(2 * spark.sparkContext.defaultParallelism / n_slices))
+    keys = ["_block", "_slice"]
+    every_slice = F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1))).alias("_slice")
+    every_block = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("_block")
+    a = rows.select("*", F.pmod(F.xxhash64("_row"), F.lit(n_blocks)).cast("int").alias("_block"), every_slice)
+    b = tree_rows(nodes).join(slices.withColumnRenamed("slice", "_slice"), "tree").select("*", every_block)
+    n_tasks = 3 * n_blocks * n_slices      # more partitions than groups, so that few share one
+    part = (a.repartition(n_tasks, *keys).groupBy(*keys).cogroup(b.repartition(n_tasks, *keys).groupBy(*keys))
+             .applyInPandas(_explain_block, "_row bigint, _rid bigint, x array<double>, phi array<double>"))
+    if n_slices > 1:
+        whole = F.array(*[F.sum(F.col("phi")[i]) for i in range(len(feats))])
+        part = part.groupBy("_row").agg(F.first("_rid").alias("_rid"), F.first("x").alias("x"), whole.alias("phi"))
+    known = F.transform("x", lambda v: F.when(~F.isnan(v), v))
+    return part.select(F.col("_rid").alias("row_id"), known.alias("x"), "phi"), expected
 
 
 def tree_attributions(df: DataFrame, id_col: str, features: Sequence[str], fitted_model,
@@ -203,30 +250,27 @@ def tree_attributions(df: DataFrame, id_col: str, features: Sequence[str], fitte
 
     Returns (long attribution table, expected value).  For GBT the explained
     output is the margin ``rawPrediction[1]``; for RF it is P(y=1)."""
-    spark = df.sparkSession
-    trees, weights, kind = forest_nodes(spark, fitted_model)
-    scale = ensemble_scale(kind, weights)
-    expected = float(sum(s * tree_expected(t) for s, t in zip(scale, trees)))
+    rows, expected = explained_rows(df, id_col, features, fitted_model)
+    names = F.array(*[F.lit(f) for f in features])
+    cell = F.explode(F.arrays_zip(names.alias("feature"), F.col("x").alias("value"), F.col("phi").alias("attribution"))).alias("_c")
+    return rows.select(F.lit(model_name).alias("model_name"), "row_id", cell).select("model_name", "row_id", "_c.*"), expected
+
+
+def attribution_states(rows: DataFrame, features: Sequence[str], model_name: str, array: str = "phi") -> DataFrame:
+    """A18/A22 without the long table: one row per feature with what the attributions of all rows add up to:
+    (model_name, feature, n, total, total_abs, total_sq, least, most).  States of several tables merge by adding
+    (least and most: by minimum and maximum)."""
     feats = list(features)
-    bc = spark.sparkContext.broadcast((trees, scale))
-
-    def explain(batches):
-        ts, sc = bc.value
-        paths = [leaf_paths(t) for t in ts]
-        for pdf in batches:
-            xs = pdf[feats].to_numpy(dtype=float)
-            if len(xs) == 0:
-                continue
-            phi = np.zeros_like(xs)
-            for s, t, p in zip(sc, ts, paths):
-                phi += s * tree_shap_batch(xs, t, p)
-            n, k = xs.shape
-            yield pd.DataFrame({"model_name": model_name,
-                                "row_id": np.repeat(pdf["_rid"].to_numpy().astype("int64"), k),
-                                "feature": np.tile(np.array(feats, dtype=object), n),
-                                "value": xs.reshape(-1), "attribution": phi.reshape(-1)})
-
-    rows = df.select(F.col(id_col).cast("bigint").alias("_rid"), *[F.col(f).cast("double") for f in feats])
-    # spread the rows over the cluster: each row costs trees x leaves x depth^2
-    rows = rows.repartition(max(1, spark.sparkContext.defaultParallelism), "_rid")
-    return rows.mapInPandas(explain, LONG_SCHEMA), expected
+    v = [F.col(array)[i] for i in range(len(feats))]
+    state = [F.struct(F.lit(f).alias("feature"), F.count(c).alias("n"), F.sum(c).alias("total"), F.sum(F.abs(c)).alias("total_abs"),
+                      F.sum(c * c).alias("total_sq"), F.min(c).alias("least"), F.max(c).alias("most")) for f, c in zip(feats, v)]
+    return rows.agg(F.array(*state).alias("_s")).select(F.explode("_s").alias("_s")).select(F.lit(model_name).alias("model_name"), "_s.*")
+
+
+def importance_of(states: DataFrame, top: int | None = 20) -> DataFrame:
+    """A18 from states: mean |attribution| per (model, feature), descending, top-k per model."""
+    imp = states.select("model_name", "feature", F.try_divide("total_abs", "n").alias("importance"))
+    if top is None:
+        return imp
+    w = Window.partitionBy("model_name").orderBy(F.desc("importance"), "feature")
+    return imp.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)

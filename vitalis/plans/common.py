@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ensure_checkpoint_dir
+
 DIGITS = 6  # floating outputs are rounded so the oracle comparison is exact
 
 
@@ -15,6 +18,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def source_version(spark: SparkSession, sf_dir: str) -> str:
+    """A digest of the source folder's files (path, size, time): equal as long as none was changed."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True)
+    seen = []
+    while files.hasNext():
+        f = files.next()
+        seen.append(f"{f.getPath().toString()}|{f.getLen()}|{f.getModificationTime()}")
+    return hashlib.md5("\n".join(sorted(seen)).encode()).hexdigest()
+
+
+def stage_folder(spark: SparkSession, sf_dir: str, name: str) -> tuple[str, bool]:
+    """Where a stage's output for this source lies in the session's checkpoint folder, and whether it was written whole."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stages/{source_version(spark, sf_dir)}/{name}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return path, done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
+
+
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     """Round every floating column (double/float) to ``digits``."""
     cols = []

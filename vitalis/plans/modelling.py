@@ -20,23 +20,29 @@ from ..operators import sampling as S
 from ..operators import search as SR
 from ..session import ensure_checkpoint_dir
 from . import extraction as X
-from .common import rounded
+from .common import rounded, stage_folder
 from .quality import SPARSE_THRESHOLD, WIDE_RULES
 from .reporting import _CLEAN_SQL
 from .splitting import FRACTIONS, SEED, sql_split
 
 def model_table(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str], list[str]]:
-    """Cleaned, split, encoded, imputed wide table, its feature columns and which
-    of them are coded categories.  Built anew on each call: nothing outlives a query."""
-    ensure_checkpoint_dir(spark)
-    w = Q.range_filter(Q.nans_to_nulls(X.wide_table(spark, sf)), WIDE_RULES).checkpoint(eager=True)
-    w = Q.drop_sparse(w, SPARSE_THRESHOLD, keep=["subject_id", "stay_id", "label"])
-    s = S.stratified_split(w, "subject_id", "label", FRACTIONS, seed=SEED)
-    cats = P.categorical_columns(s, exclude=["split"])
-    codes = P.fit_label_codes(s.where(F.col("split") == "train"), cats)
-    enc = P.apply_label_codes(s, codes, cats)
-    means = Q.fit_means(enc.where(F.col("split") == "train"))
-    enc = Q.impute(enc, means).checkpoint(eager=True)
+    """Cleaned, split, encoded, imputed wide table, its feature columns and which of them are coded categories.
+
+    A stage output: written once to the session's checkpoint folder for a state of the source files, then read."""
+    path, done = stage_folder(spark, sf, "model_table")
+    if not done:
+        w = Q.range_filter(Q.nans_to_nulls(X.wide_table(spark, sf)), WIDE_RULES).checkpoint(eager=True)
+        w = Q.drop_sparse(w, SPARSE_THRESHOLD, keep=["subject_id", "stay_id", "label"])
+        s = S.stratified_split(w, "subject_id", "label", FRACTIONS, seed=SEED)
+        cats = P.categorical_columns(s, exclude=["split"])
+        train = s.where(F.col("split") == "train")
+        enc = P.apply_label_codes(s, P.fit_label_codes(train, cats), cats)
+        enc = Q.impute(enc, Q.fit_means(enc.where(F.col("split") == "train")))
+        # which columns are codes is kept in their metadata
+        enc = enc.select(*[F.col(c).alias(c, metadata={"categorical": c in cats}) for c in enc.columns])
+        enc.repartition(spark.sparkContext.defaultParallelism, "subject_id").write.mode("overwrite").parquet(path)
+    enc = spark.read.parquet(path)
+    cats = [f.name for f in enc.schema.fields if f.metadata.get("categorical")]
     return enc, P.feature_columns(enc, "label"), cats
 
 
@@ -102,9 +108,13 @@ def tuning(spark, sf, models=MD.BOOSTED, n_trials=None):
 
 
 def _rf_and_test(spark, sf):
+    """The forest fitted on the model table's train rows (a stage output like the table), and the test rows."""
     enc, feats, _ = model_table(spark, sf)
-    fitted = MD.fit("Random_Forest", enc.where(F.col("split") == "train"), feats, "label")
-    return fitted, enc.where(F.col("split") == "test"), feats
+    path, _ = stage_folder(spark, sf, "random_forest")
+    _, done = stage_folder(spark, sf, "random_forest/meta")     # written last
+    if not done:
+        MD.fit("Random_Forest", enc.where(F.col("split") == "train"), feats, "label").save(spark, path)
+    return MD.Fitted.load(spark, path), enc.where(F.col("split") == "test"), feats
 
 
 def q_batch_scoring(spark, sf):
@@ -140,10 +150,10 @@ def q_tree_additivity(spark, sf):
 
 
 def q_tree_importance(spark, sf):
-    """A18 on the forest's TreeSHAP values: mean |attribution| per feature."""
+    """A18 on the forest's TreeSHAP values: mean |attribution| per feature, from per-feature sums."""
     fitted, test, feats = _rf_and_test(spark, sf)
-    attr, _ = EX.tree_attributions(test, "subject_id", feats, fitted.model, "Random_Forest")
-    return rounded(EX.importance(attr, top=20))
+    rows, _ = EX.explained_rows(test, "subject_id", feats, fitted.model)
+    return rounded(EX.importance_of(EX.attribution_states(rows, feats, "Random_Forest"), top=20))
 
 
 QUERIES = {
