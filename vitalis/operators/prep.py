@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import category_text
+from .ranking import range_ranked
 
 ID_COLUMNS = ("subject_id", "hadm_id", "stay_id")
 
@@ -30,15 +31,14 @@ def feature_columns(df: DataFrame, target: str, drop: Sequence[str] = ID_COLUMNS
 
 def fit_label_codes(train: DataFrame, cols: Sequence[str]) -> DataFrame:
     """F1 fit: per column, the distinct train values (as text, null -> 'nan') with
-    code = lexicographic rank.  One (column, value, code) table for all columns;
-    a category's distinct values are few, so ranking them is cheap."""
+    code = lexicographic rank.  One (column, value, code) table for all columns, ranked by a range-partitioned
+    sort: a column may have as many values as rows."""
     if not cols:
         return train.sparkSession.createDataFrame([], "column string, value string, code int, freq bigint")
     # one scan for all columns, combined map-side before the shuffle
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), category_text(c).alias("value")) for c in cols]))
     d = train.select(cells.alias("_x")).select("_x.*").groupBy("column", "value").agg(F.count(F.lit(1)).alias("freq"))
-    w = Window.partitionBy("column").orderBy("value")
-    return d.select("column", "value", (F.row_number().over(w) - 1).cast("int").alias("code"), "freq")
+    return range_ranked(d, ["column"], ["value"], "code").select("column", "value", F.col("code").cast("int").alias("code"), "freq")
 
 
 def apply_label_codes(df: DataFrame, codes: DataFrame, cols: Sequence[str], unseen: str = "minus_one") -> DataFrame:

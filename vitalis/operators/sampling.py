@@ -5,12 +5,14 @@ Randomness comes from ``md5(id|seed)`` (a 60-bit integer), never from
 the seed only, not on partitioning or retries, and a lost executor recomputes
 exactly the same rows.
 
-Exact per-class ranks are computed without a global sort or a single-partition
-window.  The hash space is cut into ``2**bits`` equal buckets; a small
-(class, bucket) count table gives each bucket its offset, and rows are ranked
-inside their (class, bucket) only.  A class holding a third of all rows is
-still spread over every bucket, so no task holds more than about
-``rows / 2**bits`` rows of it.
+Splits and samples are order statistics: a row's part depends only on whether
+its rank in hash order lies below a few cuts of its class.  The hash space is
+divided into ``2**bits`` equal buckets; a (class, bucket) count table, combined
+map-side, names the one bucket that each cut falls into.  All other rows are
+decided by their bucket alone and never move; only the rows of those buckets
+are ranked, by a range-partitioned sort that no repeated id can fill a task of.
+
+``ranked`` gives every row its rank, by the same buckets.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import null_safe_join
+from .ranking import range_ranked
 
 HASH_BITS = 60
 # 2**20 hash buckets: at 1e11 rows about 1e5 rows per (class, bucket) window,
@@ -69,6 +72,47 @@ def part_sizes(n: Column, fractions: Sequence[float]) -> list[Column]:
     return cuts
 
 
+MAX_CLASSES = 10_000
+
+
+def cut_parts(df: DataFrame, target: str, hash_col: str, tiebreak: Sequence[str], cuts: Sequence[Column],
+              part_col: str = "_cut", bits: int = RANK_BITS) -> DataFrame:
+    """Add ``part_col``: how many of the ascending ``cuts`` of its class a row's rank reaches.
+
+    The rank is that in the order (``hash_col``, ``tiebreak``) inside ``target`` (a null class is a class of its
+    own); rows equal in all of it are ordered by a hash of the whole row.  ``cuts`` are expressions of ``_size``, the
+    rows of a class.  At most ``MAX_CLASSES`` classes; what reaches the driver is a number for each class and cut."""
+    spark = df.sparkSession
+    m = len(cuts)
+    with_b = df.withColumn("_bucket", F.shiftright(F.col(hash_col), HASH_BITS - bits))
+    counts = with_b.groupBy(target, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    one_class = Window.partitionBy(target)          # at most 2**bits rows
+    before = one_class.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(target, "_bucket", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
+                            F.sum("_n").over(one_class).alias("_size"))
+    hit = [(c >= F.col("_offset")) & (c < F.col("_offset") + F.col("_n")) for c in cuts]
+    per_class = offsets.groupBy(target).agg(*[e for i, (c, h) in enumerate(zip(cuts, hit)) for e in (
+        F.max(F.when(h, F.col("_bucket"))).alias(f"_b{i}"), F.max(F.when(h, c - F.col("_offset"))).alias(f"_r{i}"))])
+    rows = per_class.limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"{target!r} has more than {MAX_CLASSES} values; it is no class column")
+    # a cut at a class's end lies in no bucket: every row is below it
+    table = spark.createDataFrame([tuple(r) for r in rows], per_class.schema).fillna(
+        {f"_b{i}": 1 << bits for i in range(m)} | {f"_r{i}": 0 for i in range(m)})
+    known = null_safe_join(with_b, F.broadcast(table), [target])
+    in_cut = F.lit(False)
+    for i in range(m):
+        in_cut = in_cut | (F.col("_bucket") == F.col(f"_b{i}"))
+    passed = [(F.col("_bucket") > F.col(f"_b{i}")).cast("int") for i in range(m)]
+    reached = [(F.col("_bucket") == F.col(f"_b{i}")).cast("int") * (F.col("_in_bucket") >= F.col(f"_r{i}")).cast("int") for i in range(m)]
+    clear = known.where(~in_cut).withColumn(part_col, sum(passed, F.lit(0)))
+    order = [hash_col, *dict.fromkeys(t for t in tiebreak), "_whole"]
+    near = range_ranked(known.where(in_cut).withColumn("_whole", F.xxhash64(*df.columns)), [target, "_bucket"], order, "_in_bucket")
+    near = near.withColumn(part_col, sum([p + q for p, q in zip(passed, reached)], F.lit(0)))
+    keep = [*df.columns, part_col]
+    return clear.select(*keep).unionByName(near.select(*keep))
+
+
 def stratified_split(df: DataFrame, id_col: str, target: str, fractions: Sequence[float] = (0.6, 0.2, 0.2),
                      names: Sequence[str] = ("train", "val", "test"), seed: int = 42,
                      split_col: str = "split", bits: int = RANK_BITS, tiebreak: Sequence[str] = ()) -> DataFrame:
@@ -79,12 +123,9 @@ def stratified_split(df: DataFrame, id_col: str, target: str, fractions: Sequenc
     the same on every run and every cluster layout.  When ``id_col`` is not
     unique, ``tiebreak`` columns order rows sharing an id."""
     h = df.withColumn("_h", hash_key(id_col, seed))
-    r = ranked(h, [target], "_h", [id_col, *tiebreak], "_rank", "_n", bits)
-    cuts = part_sizes(F.col("_n"), fractions)
-    label = F.lit(names[-1])
-    for cut, name in reversed(list(zip(cuts, names[:-1]))):
-        label = F.when(F.col("_rank") < cut, F.lit(name)).otherwise(label)
-    return r.withColumn(split_col, label).drop("_h", "_rank", "_n")
+    r = cut_parts(h, target, "_h", [id_col, *tiebreak], part_sizes(F.col("_size"), fractions), "_cut", bits)
+    label = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_cut") + 1)
+    return r.withColumn(split_col, label).drop("_h", "_cut")
 
 
 def split_profile(df: DataFrame, target: str, split_col: str = "split", positive=1) -> DataFrame:
@@ -107,9 +148,6 @@ def split_conservation(source: DataFrame, parts: DataFrame, id_col: str, split_c
         "conserved", (F.col("rows_in_parts") == F.col("rows_in_source")) & (F.col("ids_in_several_parts") == 0))
 
 
-MAX_CLASSES = 10_000
-
-
 def class_counts(df: DataFrame, target: str) -> dict:
     """Rows per class.  Raises above ``MAX_CLASSES`` classes (a continuous target),
     so what reaches the driver is bounded."""
@@ -134,8 +172,7 @@ def downsample(df: DataFrame, id_col: str, target: str, seed: int = 42, bits: in
         return df
     n_min = min(counts.values())
     h = df.withColumn("_h", hash_key(id_col, seed))
-    r = ranked(h, [target], "_h", [id_col], "_rank", None, bits)
-    out = r.where(F.col("_rank") < F.lit(n_min)).drop("_h", "_rank")
+    out = cut_parts(h, target, "_h", [id_col], [F.lit(n_min).cast("bigint")], "_cut", bits).where("_cut = 0").drop("_h", "_cut")
     if shuffle_col:
         out = out.withColumn(shuffle_col, hash_key(id_col, seed + 1))
     return out

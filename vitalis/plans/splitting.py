@@ -203,7 +203,33 @@ def q_smote_counts(spark, sf):
     return out.groupBy("y", "synthetic").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES.update({"d7_exact_knn": q_knn, "d7_smote": q_smote, "d7_smote_counts": q_smote_counts})
+RECALL_CELL = 64        # small cells, so that the small tables do not fit one
+
+
+def q_projection_recall(spark, sf):
+    """Neighbours of every embedding by random projections, held against the exact ones."""
+    from ..operators.neighbors import exact_knn, projection_knn, recall
+    pts = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
+    found = projection_knn(pts, SMOTE_K, cell=RECALL_CELL, seed=SEED)
+    return recall(found, exact_knn(pts, SMOTE_K)).select("points", "wanted", (F.col("recall") >= 0.9).cast("int").alias("enough"))
+
+
+def q_smote_projection(spark, sf):
+    """D7 with projected neighbours: sizes, and synthetic rows that do not lie between a row and a neighbour of its class."""
+    from ..operators.smote import smote
+    feats = [f"e{i}" for i in range(EMB_DIM)]
+    rows = embedding_rows(spark, sf)
+    syn, kept = smote(rows, "vec_id", "y", feats, k=SMOTE_K, seed=SEED, neighbours="projection")
+    a = rows.select(F.col("vec_id").alias("_base_id"), F.col("y").alias("ya"), F.array(*feats).alias("xa"))
+    b = rows.select(F.col("vec_id").alias("_neighbor_id"), F.col("y").alias("yb"), F.array(*feats).alias("xb"))
+    j = syn.join(a, "_base_id").join(b, "_neighbor_id")
+    off = F.exists(F.zip_with(F.array(*feats), F.zip_with("xa", "xb", lambda p, q: p + F.col("gap") * (q - p)), lambda x, y: F.abs(x - y)), lambda e: e > 1e-9)
+    bad = off | (F.col("ya") != 1) | (F.col("yb") != 1) | (F.col("_base_id") == F.col("_neighbor_id"))
+    made = j.agg(F.count(F.lit(1)).alias("synthetic"), F.count_if(bad).alias("misplaced"))
+    return made.crossJoin(kept.agg(F.count(F.lit(1)).alias("kept")))
+
+
+QUERIES.update({"d7_projection_recall": q_projection_recall, "d7_smote_projection": q_smote_projection, "d7_exact_knn": q_knn, "d7_smote": q_smote, "d7_smote_counts": q_smote_counts})
 
 _EMB = f"""pts AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE label = {EMB_CLASS}),
 kk AS (SELECT least({SMOTE_K}, count(*) - 1) AS k, count(*) AS n_min FROM pts),
@@ -232,6 +258,9 @@ syn AS (SELECT g.j, i.id AS base_id, n.c_id AS neighbor_id, g.gap,
         JOIN pts p ON p.id = n.c_id)"""
 
 SQL.update({
+    "d7_projection_recall": f"""SELECT count(*) AS points, CAST(count(*) * least({SMOTE_K}, count(*) - 1) AS BIGINT) AS wanted, 1 AS enough FROM embeddings""",
+    "d7_smote_projection": f"""SELECT CAST(count_if(label <> {EMB_CLASS}) - count_if(label = {EMB_CLASS}) AS BIGINT) AS synthetic,
+        CAST(0 AS BIGINT) AS misplaced, count(*) AS kept FROM embeddings""",
     "d7_exact_knn": f"WITH {_EMB} SELECT q_id, c_id, rank, {sql_round('dist')} AS dist FROM knn",
     "d7_smote": f"""WITH {_SMOTE} SELECT -(j + 1) AS vec_id, base_id AS _base_id, neighbor_id AS _neighbor_id,
         {sql_round('gap')} AS gap, {sql_round('nx[1]')} AS e0, {sql_round('nx[2]')} AS e1,
