@@ -24,8 +24,10 @@ from __future__ import annotations
 import json
 import math
 import os
+import threading
 import traceback
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
@@ -42,6 +44,7 @@ from pyspark.sql import types as T
 
 from . import metrics as M
 from . import prep as P
+from . import quality as Q
 
 MODEL_NAMES = ["Logistic_Regression", "SVC", "Random_Forest", "XGBoost", "LightGBM", "Extra_Trees"]
 BOOSTED = ["XGBoost", "LightGBM"]
@@ -131,19 +134,68 @@ def resolve_gamma(gamma, scaled_train: DataFrame, features: Sequence[str]) -> fl
     return float(gamma)
 
 
+def in_pool(spark: SparkSession, name: str, limit: float | None, work: Callable):
+    """``work()`` with its Spark jobs in the scheduler pool ``name`` and under a tag of their own.
+
+    With the session's FAIR scheduler (``session.DEFAULT_CONF``) the pools of concurrent fits share the cluster
+    instead of queueing.  After ``limit`` seconds the tagged jobs are cancelled, and so are those that follow them,
+    until ``work`` gives up: a TimeoutError.  Call it from the thread that submits the jobs."""
+    sc, tag = spark.sparkContext, f"fit-{uuid.uuid4().hex}"
+    done, late = threading.Event(), threading.Event()
+
+    def watch() -> None:
+        if not done.wait(limit):
+            late.set()
+            while not done.is_set():
+                sc.cancelJobsWithTag(tag)
+                done.wait(0.2)
+
+    sc.setLocalProperty("spark.scheduler.pool", name)
+    sc.addJobTag(tag)
+    watcher = threading.Thread(target=watch, daemon=True) if limit is not None else None
+    if watcher:
+        watcher.start()
+    try:
+        return work()
+    except Exception as e:
+        if late.is_set():
+            raise TimeoutError(f"stopped after {limit} s") from e
+        raise
+    finally:
+        done.set()
+        sc.removeJobTag(tag)
+        sc.setLocalProperty("spark.scheduler.pool", None)
+
+
 class Fitted:
-    """A fitted model family with everything needed to score new rows."""
+    """A fitted model family with everything needed to score new rows: prepared ones (``transform``) or, with the
+    label codes and means of the train rows (``with_preparation``), raw ones (``transform_raw``)."""
 
-    def __init__(self, name, model, features, scaler=None, platt=None, label="label", rff=None):
+    def __init__(self, name, model, features, scaler=None, platt=None, label="label", rff=None, codes=None, means=None):
         self.name, self.model, self.features = name, model, list(features)
         self.scaler, self.platt, self.label, self.rff = scaler, platt, label, rff
+        self.codes, self.means = codes, means
+
+    def with_preparation(self, codes: DataFrame, means: dict[str, float]) -> Fitted:
+        """The same model with the train rows' label code table (F1) and imputation means."""
+        return Fitted(self.name, self.model, self.features, self.scaler, self.platt, self.label, self.rff, codes, dict(means))
+
+    def transform_raw(self, df: DataFrame) -> DataFrame:
+        """M7 on rows with text categories and nulls: encode (unseen: -1), impute, score."""
+        if self.codes is None:
+            raise ValueError("this model was kept without its label codes and means")
+        cats = [f.name for f in df.schema.fields if f.name in self.features and isinstance(f.dataType, T.StringType)]
+        return self.transform(Q.impute(P.apply_label_codes(df, self.codes, cats), self.means or {}))
 
     def save(self, spark: SparkSession, path: str) -> str:
-        """The model and all it needs to score: scaler, Platt numbers, feature map, feature list."""
+        """The model and all it needs to score: scaler, Platt numbers, feature map, feature list, and the label
+        codes and means if it has them."""
         self.model.write().overwrite().save(f"{path}/model")
+        if self.codes is not None:
+            self.codes.write.mode("overwrite").parquet(f"{path}/codes")
         rff = [np.asarray(a).tolist() for a in self.rff] if self.rff is not None else None
         meta = json.dumps({"name": self.name, "features": self.features, "scaler": self.scaler, "platt": self.platt,
-                           "label": self.label, "rff": rff})
+                           "label": self.label, "rff": rff, "codes": self.codes is not None, "means": self.means})
         spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
         return path
 
@@ -153,7 +205,23 @@ class Fitted:
         model = MODEL_CLASSES[m["name"]].load(f"{path}/model")
         scaler = {k: tuple(v) for k, v in m["scaler"].items()} if m["scaler"] else None
         rff = tuple(np.array(a) for a in m["rff"]) if m["rff"] else None
-        return Fitted(m["name"], model, m["features"], scaler, tuple(m["platt"]) if m["platt"] else None, m["label"], rff)
+        codes = spark.read.parquet(f"{path}/codes") if m.get("codes") else None
+        return Fitted(m["name"], model, m["features"], scaler, tuple(m["platt"]) if m["platt"] else None, m["label"], rff, codes, m.get("means"))
+
+    def first_trees(self, n: int) -> Fitted:
+        """A boosted ensemble cut to its first ``n`` rounds."""
+        if n >= self.model.getNumTrees:
+            return self
+        java, jvm = self.model._java_obj, SparkSession.getActiveSession()._jvm
+        gateway = SparkSession.getActiveSession().sparkContext._gateway
+        trees = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+        weights = gateway.new_array(jvm.double, n)
+        for i, (tree, weight) in enumerate(zip(java.trees()[:n], java.treeWeights()[:n])):
+            trees[i], weights[i] = tree, weight
+        cut = GBTClassificationModel(jvm.org.apache.spark.ml.classification.GBTClassificationModel(java.uid(), trees, weights))
+        cut._resetUid(self.model.uid)
+        cut = self.model._copyValues(cut)
+        return Fitted(self.name, cut, self.features, self.scaler, self.platt, self.label, self.rff, self.codes, self.means)
 
     def _vectors(self, df: DataFrame) -> DataFrame:
         if self.scaler:
@@ -232,22 +300,27 @@ def _board_metrics(scored: list[DataFrame]) -> dict:
 
 
 def run_grid(variants: dict[str, DataFrame], evaluation: DataFrame, features: Sequence[str], label: str = "label",
-             models: Sequence[str] = MODEL_NAMES, out_dir: str | None = None, parallel: int = 4) -> DataFrame:
-    """M6 + M12: every (variant, model) fitted and scored; failures become rows
-    with the error text.  Returns the leaderboard sorted by ROC-AUC."""
+             models: Sequence[str] = MODEL_NAMES, out_dir: str | None = None, parallel: int = 4,
+             limit: float | None = None) -> DataFrame:
+    """M6 + M12: every (variant, model) fitted and scored; failures, and fits that take more than ``limit`` seconds,
+    become rows with the error text.  Each fit has a scheduler pool of its own.  Returns the leaderboard sorted by
+    ROC-AUC."""
     spark = evaluation.sparkSession
     jobs = [(v, m) for v in variants for m in models]
 
     def one(job):
         v, m = job
         path = os.path.join(out_dir, v, m) if out_dir else None
-        try:
+
+        def work():
             f = fit(m, variants[v], features, label)
-            scored = f.transform(evaluation).select(
-                F.lit(v).alias("variant"), F.lit(m).alias("model"), F.col(label).alias("label"), "prediction", "score")
             if path:
                 f.save(spark, path)
-            return scored, path, None
+            return f.transform(evaluation).select(
+                F.lit(v).alias("variant"), F.lit(m).alias("model"), F.col(label).alias("label"), "prediction", "score")
+
+        try:
+            return in_pool(spark, f"{v}-{m}", limit, work), path, None
         except Exception as e:  # noqa: BLE001 - a failed fit is a result row
             return None, path, f"{type(e).__name__}: {e}"[:500] + ("" if os.environ.get("VITALIS_QUIET") else
                                                                     "\n" + traceback.format_exc()[-500:])

@@ -63,12 +63,12 @@ def _unit(trial: F.Column, name: str, seed: int) -> F.Column:
     return h.cast("double") / F.lit(float(16 ** 13))
 
 
-def trial_table(spark: SparkSession, model: str, n_trials: int | None = None, seed: int = 42) -> DataFrame:
-    """M13 trial table: one row per trial, one column per parameter."""
+def trial_table(spark: SparkSession, model: str, n_trials: int | None = None, seed: int = 42, space: Sequence | None = None) -> DataFrame:
+    """M13 trial table: one row per trial, one column per parameter of ``space`` (the family's own if not given)."""
     n = n_trials or N_TRIALS[model]
     t = F.col("id")
     cols = [t.cast("int").alias("trial")]
-    for spec in SPACES[model]:
+    for spec in space or SPACES[model]:
         name, kind = spec[0], spec[1]
         u = _unit(t, name, seed)
         if kind == "int":
@@ -113,7 +113,15 @@ def to_mllib(model: str, params: dict, weight_sum: float | None = None) -> dict:
     return p
 
 
+def long_trials(trials: DataFrame, model: str) -> DataFrame:
+    """A trial table as rows (model_name, trial, param, number, choice)."""
+    cells = [F.struct(F.lit(c).alias("param"), (F.col(c) if d != "string" else F.lit(None)).cast("double").alias("number"),
+                      (F.col(c) if d == "string" else F.lit(None)).cast("string").alias("choice")) for c, d in trials.dtypes if c != "trial"]
+    return trials.select(F.lit(model).alias("model_name"), "trial", F.explode(F.array(*cells)).alias("_c")).select("model_name", "trial", "_c.*")
+
+
 TRIAL_SCHEMA = T.StructType([
+    T.StructField("study", T.StringType()),
     T.StructField("trial", T.IntegerType()),
     T.StructField("params", T.StringType()),
     T.StructField("val_roc_auc", T.DoubleType()),
@@ -121,24 +129,61 @@ TRIAL_SCHEMA = T.StructType([
 ])
 
 
+def stored_trials(spark: SparkSession, store: str, study: str) -> DataFrame:
+    """The finished trials of a study; none if nothing was stored yet."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(store)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], TRIAL_SCHEMA)
+    # a trial that was stored twice counts once
+    return spark.read.schema(TRIAL_SCHEMA).parquet(store).where(F.col("study") == study).dropDuplicates(["trial"])
+
+
 def search(model: str, train: DataFrame, val: DataFrame, features: Sequence[str], label: str = "label",
-           n_trials: int | None = None, seed: int = 42, parallel: int = 4) -> DataFrame:
-    """Run every trial (fits submitted concurrently) and return the trials table."""
+           n_trials: int | None = None, seed: int = 42, parallel: int = 4, store: str | None = None, study: str | None = None,
+           space: Sequence | None = None, limit: float | None = None) -> DataFrame:
+    """Run every trial and return the trials table.
+
+    Trials run in batches of ``parallel`` concurrent fits, each in a scheduler pool of its own and stopped after
+    ``limit`` seconds; the fits of a batch are scored together, in one pass over their predictions, and appended to
+    the Parquet table ``store``.  A search that was broken off starts again with the trials not yet stored under
+    ``study`` (model and seed, if not given), so at most one batch is fitted twice."""
     spark = train.sparkSession
-    trials = [r.asDict() for r in trial_table(spark, model, n_trials, seed).collect()]  # n_trials rows
-    n_rows = train.count()
+    study = study or f"{model}|{seed}"
+    trials = [r.asDict() for r in trial_table(spark, model, n_trials, seed, space).orderBy("trial").collect()]  # n_trials rows
+    have = {r["trial"] for r in stored_trials(spark, store, study).select("trial").collect()} if store else set()
+    trials_left = [t for t in trials if t["trial"] not in have]
+    n_rows = train.count() if trials_left else 0
 
     def one(tr):
         params = {k: v for k, v in tr.items() if k != "trial"}
-        try:
+
+        def work():
             f = fit_trial(model, train, val, features, label, params, n_rows)
-            auc = MD.evaluate_model(f, val, label)["roc_auc"]
-            return (tr["trial"], json.dumps(params, sort_keys=True), float(auc), None)
+            return f.transform(val).select(F.lit(str(tr["trial"])).alias("variant"), F.lit(model).alias("model"),
+                                           F.col(label).alias("label"), "prediction", "score")
+        try:
+            return MD.in_pool(spark, f"{study}-{tr['trial']}", limit, work), None
         except Exception as e:  # noqa: BLE001 - a failed trial is recorded, as in a study
-            return (tr["trial"], json.dumps(params, sort_keys=True), None, f"{type(e).__name__}: {e}"[:300])
+            return None, f"{type(e).__name__}: {e}"[:300]
 
+    rows = []
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as ex:
-        rows = list(ex.map(one, trials))
+        for lo in range(0, len(trials_left), max(1, parallel)):
+            batch = trials_left[lo:lo + max(1, parallel)]
+            fits = list(ex.map(one, batch))
+            metrics = MD._board_metrics([s for s, _ in fits if s is not None])
+            done = []
+            for tr, (scored, error) in zip(batch, fits):
+                auc = metrics.get((str(tr["trial"]), model), {}).get("roc_auc")
+                if scored is not None and auc is None:
+                    error = "null or NaN scores"
+                params = json.dumps({k: v for k, v in tr.items() if k != "trial"}, sort_keys=True)
+                done.append((study, tr["trial"], params, None if auc is None else float(auc), error))
+            if store:
+                spark.createDataFrame(done, TRIAL_SCHEMA).coalesce(1).write.mode("append").parquet(store)
+            rows += done
+    if store:
+        return stored_trials(spark, store, study).where(F.col("trial") < len(trials))
     return spark.createDataFrame(rows, TRIAL_SCHEMA)
 
 
@@ -158,15 +203,13 @@ def best_round(losses: Sequence[float], patience: int = PATIENCE) -> int:
 
 def fit_trial(model, train, val, features, label, params, n_rows):
     """One trial's fit.  M14: an early-stopping family is grown in full on train, its validation loss after
-    each round read from ``evaluateEachIteration``, and grown again to the round patience stops at
-    (the seed is fixed, so the rounds are the same).  Validation rows choose the round and teach nothing."""
+    each round read from ``evaluateEachIteration``, and cut at the round patience stops at.  Validation rows choose
+    the round and teach nothing."""
     p = to_mllib(model, params, float(n_rows))
     full = MD.fit(model, train, features, label, p)
     if model not in EARLY_STOPPING:
         return full
-    losses = full.round_losses(val)
-    n = best_round(losses)
-    return full if n == len(losses) else MD.fit(model, train, features, label, {**p, "maxIter": n})
+    return full.first_trees(best_round(full.round_losses(val)))
 
 
 def best_trial(trials: DataFrame) -> dict:
@@ -197,16 +240,18 @@ TUNING_SCHEMA = T.StructType([
 
 def tuning_matrix(variants: dict[str, DataFrame], val: DataFrame, test: DataFrame, features: Sequence[str],
                   label: str = "label", models: Sequence[str] = MD.BOOSTED, n_trials: int | None = None,
-                  seed: int = 42) -> DataFrame:
+                  seed: int = 42, store: str | None = None, spaces: dict[str, Sequence] | None = None, parallel: int = 4,
+                  limit: float | None = None) -> DataFrame:
     """M15 + M16: search each (model, variant), refit the best on train and
     evaluate it on test.  Both the search score and the test metrics are kept,
-    so before/after comparisons use one split."""
+    so before/after comparisons use one split.  ``store``, ``parallel`` and ``limit`` as in ``search``; ``spaces``
+    replaces the search space of the families it names."""
     spark = val.sparkSession
     rows = []
     for v, tr in variants.items():
         for m in models:
             try:
-                trials = search(m, tr, val, features, label, n_trials, seed)
+                trials = search(m, tr, val, features, label, n_trials, seed, parallel, store, f"{m}|{v}|{seed}", (spaces or {}).get(m), limit)
                 b = best_trial(trials)
                 f = fit_trial(m, tr, val, features, label, json.loads(b["params"]), tr.count())
                 r = MD.evaluate_model(f, test, label)

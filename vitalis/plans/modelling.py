@@ -7,6 +7,7 @@ instead of re-running the extraction joins.
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,8 +37,13 @@ def model_table(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str], lis
         s = S.stratified_split(w, "subject_id", "label", FRACTIONS, seed=SEED)
         cats = P.categorical_columns(s, exclude=["split"])
         train = s.where(F.col("split") == "train")
-        enc = P.apply_label_codes(s, P.fit_label_codes(train, cats), cats)
-        enc = Q.impute(enc, Q.fit_means(enc.where(F.col("split") == "train")))
+        codes = P.fit_label_codes(train, cats)
+        enc = P.apply_label_codes(s, codes, cats)
+        means = Q.fit_means(enc.where(F.col("split") == "train"))
+        enc = Q.impute(enc, means)
+        s.write.mode("overwrite").parquet(f"{path}.raw")
+        codes.write.mode("overwrite").parquet(f"{path}.codes")
+        spark.createDataFrame([(c, float(m)) for c, m in means.items()], "column string, mean double").write.mode("overwrite").parquet(f"{path}.means")
         # which columns are codes is kept in their metadata
         enc = enc.select(*[F.col(c).alias(c, metadata={"categorical": c in cats}) for c in enc.columns])
         enc.repartition(spark.sparkContext.defaultParallelism, "subject_id").write.mode("overwrite").parquet(path)
@@ -46,6 +52,14 @@ def model_table(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str], lis
     return enc, P.feature_columns(enc, "label"), cats
 
 
+def raw_table(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, dict[str, float]]:
+    """The model table before encoding and imputing, and the codes and means of its train rows."""
+    model_table(spark, sf)
+    path, _ = stage_folder(spark, sf, "model_table")
+    means = {r["column"]: r["mean"] for r in spark.read.parquet(f"{path}.means").collect()}
+    return spark.read.parquet(f"{path}.raw"), spark.read.parquet(f"{path}.codes"), means
+
+
 def train_variants(enc: DataFrame, feats: list[str] | None = None, cats: list[str] | None = None) -> dict[str, DataFrame]:
     """The original train part, its down-sampled and its SMOTE variants
     (validation and test stay the same)."""
@@ -90,12 +104,84 @@ def q_model_reload(spark, sf):
     return a.join(b, "subject_id", "full").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.coalesce(same, F.lit(False))).alias("different"))
 
 
+def q_raw_reload(spark, sf):
+    """A model saved with its label codes and means scores raw rows as it scores prepared ones."""
+    enc, feats, _ = model_table(spark, sf)
+    raw, codes, means = raw_table(spark, sf)
+    fitted = MD.fit("Logistic_Regression", enc.where(F.col("split") == "train"), feats, "label")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/raw-{uuid.uuid4().hex}"
+    again = MD.Fitted.load(spark, fitted.with_preparation(codes, means).save(spark, path))
+    a = fitted.transform(enc.where(F.col("split") == "test")).select("subject_id", F.col("score").alias("a"))
+    b = again.transform_raw(raw.where(F.col("split") == "test")).select("subject_id", F.col("score").alias("b"))
+    same = F.abs(F.col("a") - F.col("b")) <= 1e-9
+    return a.join(b, "subject_id", "full").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.coalesce(same, F.lit(False))).alias("different"))
+
+
+def q_trial_tables(spark, sf):
+    """The trials of all six families, drawn for the size of this model table's study (their number is the
+    original's), with the regularisation that each draw means for its train rows."""
+    enc, _, _ = model_table(spark, sf)
+    n = enc.agg(F.count_if(F.col("split") == "train").alias("train_rows"))
+    out = None
+    for m in MD.MODEL_NAMES:
+        t = SR.long_trials(SR.trial_table(spark, m, seed=SEED), m)
+        out = t if out is None else out.unionByName(t)
+    reg = F.when(F.col("param") == "C", 1.0 / (F.col("number") * F.col("train_rows")))
+    return out.crossJoin(F.broadcast(n)).select("model_name", "trial", "param", F.round("number", 6).alias("number"), "choice", F.round(reg, 9).alias("reg_param"))
+
+
+# the boosted spaces with few and small trees, so that a whole matrix is a query
+SMALL_SPACES = {m: [("n_estimators", "int", 3, 6), ("max_depth", "int", 2, 3), *[d for d in SR.SPACES[m] if d[0] not in ("n_estimators", "max_depth")]]
+                for m in MD.BOOSTED}
+SMALL_TRIALS = 2
+
+
+def q_tuning_facts(spark, sf):
+    """M15 + M16 on small trees: every boosted family on every train variant, searched on validation, the best trial
+    evaluated on test.  Facts: trials stored, whether the best is one of the drawn ones with the best score, and
+    whether the test metrics are those of a confusion table over the test rows."""
+    enc, feats, cats = model_table(spark, sf)
+    parts = {p: enc.where(F.col("split") == p) for p in ("val", "test")}
+    store = f"{ensure_checkpoint_dir(spark).rstrip('/')}/trials-{uuid.uuid4().hex}"
+    board = SR.tuning_matrix(train_variants(enc, feats, cats), parts["val"], parts["test"], feats, "label", MD.BOOSTED, SMALL_TRIALS,
+                             SEED, store, SMALL_SPACES, parallel=4)
+    kept = spark.read.schema(SR.TRIAL_SCHEMA).parquet(store).groupBy("study").agg(
+        F.count(F.lit(1)).alias("stored"), F.max("val_roc_auc").alias("top"), F.collect_set("params").alias("drawn"))
+    n = parts["test"].agg(F.count(F.lit(1)).alias("n_test"))
+    study = F.concat_ws("|", "base_model", "resampling_method", F.lit(str(SEED)))
+    whole = F.abs(F.col("accuracy") * F.col("n_test") - F.round(F.col("accuracy") * F.col("n_test"))) < 1e-6
+    ok = F.col("error").isNull() & whole
+    for c in ("accuracy", "precision", "recall", "f1_score", "specificity", "roc_auc", "pr_auc", "val_roc_auc"):
+        ok = ok & F.coalesce(F.col(c).between(0.0, 1.0), F.lit(False))
+    best = (F.col("val_roc_auc") == F.col("top")) & F.array_contains("drawn", F.col("best_params"))
+    return board.withColumn("study", study).join(kept, "study").crossJoin(F.broadcast(n)).select(
+        "base_model", "resampling_method", "n_trials", "stored", "n_test", best.cast("int").alias("best_of_trials"), ok.cast("int").alias("sound"))
+
+
+def q_early_stopping(spark, sf):
+    """Rounds grown, and whether the ensemble kept is the full one cut where patience stops: it has the loss of
+    that round and, cut by hand, the same scores."""
+    enc, feats, _ = model_table(spark, sf)
+    train, val = enc.where(F.col("split") == "train"), enc.where(F.col("split") == "val")
+    params = {"maxIter": 8, "maxDepth": 3, "stepSize": 0.3}
+    full = MD.fit("LightGBM", train, feats, "label", params)
+    losses = full.round_losses(val)
+    n = SR.best_round(losses, patience=3)
+    cut = full.first_trees(n)
+    again = MD.fit("LightGBM", train, feats, "label", {**params, "maxIter": n})     # the rounds do not depend on those after them
+    a = cut.transform(val).select("subject_id", F.col("score").alias("a"))
+    b = again.transform(val).select("subject_id", F.col("score").alias("b"))
+    facts = a.join(b, "subject_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.abs(F.col("a") - F.col("b")) > 1e-9).alias("different"))
+    kept = cut.model.getNumTrees == n and abs(cut.round_losses(val)[-1] - losses[n - 1]) < 1e-9
+    return facts.select("n", "different", F.lit(len(losses)).alias("rounds"), F.lit(int(kept)).alias("cut_at_best"))
+
+
 def q_search_lr(spark, sf):
     """M13 on logistic regression (30 trials, as in the original space)."""
     enc, feats, _ = model_table(spark, sf)
     tr = enc.where(F.col("split") == "train")
     val = enc.where(F.col("split") == "val")
-    return rounded(SR.search("Logistic_Regression", tr, val, feats, "label"))
+    return rounded(SR.search("Logistic_Regression", tr, val, feats, "label").drop("study"))
 
 
 def tuning(spark, sf, models=MD.BOOSTED, n_trials=None):
@@ -160,6 +246,10 @@ QUERIES = {
     "m12_leaderboard": q_leaderboard,
     "a18_tree_importance": q_tree_importance,
     "m13_search_lr": q_search_lr,
+    "m13_trial_tables": q_trial_tables,
+    "m14_early_stopping": q_early_stopping,
+    "m15_m16_tuning_facts": q_tuning_facts,
+    "s6_raw_reload": q_raw_reload,
     "m7_batch_scoring": q_batch_scoring,
     "m17_tree_attributions": q_tree_attributions,
     "m12_grid_facts": q_grid_facts,
@@ -175,12 +265,43 @@ _FEATURES = [c for c in X.WIDE_COLUMNS if c not in ("subject_id", "stay_id", "la
 _KEPT = " + ".join(f"CAST(rr.{c} < {SPARSE_THRESHOLD} AS INTEGER)" for c in _FEATURES)
 _SIZES = {"original": "n0 + n1", "downsampling": "2 * least(n0, n1)", "smote": "2 * greatest(n0, n1)"}
 
+_TRAIN_ROWS = f"""WITH {_CLEAN_SQL}, parts AS (SELECT * FROM {sql_split('clean', 'subject_id', 'label')}),
+    t AS (SELECT CAST(count_if(split = 'train') AS BIGINT) AS train_rows, count_if(split = 'val') AS n_val, count_if(split = 'test') AS n_test FROM parts)"""
+
+
+def _trials_sql() -> str:
+    """Every draw of every family, by the rule of ``search.trial_table``."""
+    rows = []
+    for m in MD.MODEL_NAMES:
+        for name, kind, *span in SR.SPACES[m]:
+            u = f"(CAST(('0x' || substr(md5(CAST(trial AS VARCHAR) || '|{name}|{SEED}'), 1, 13))::BIGINT AS DOUBLE) / {float(16 ** 13)!r})"
+            number, choice = "NULL", "NULL"
+            if kind == "int":
+                number = f"{span[0]} + floor({u} * {span[1] - span[0] + 1})"
+            elif kind == "float":
+                number = f"{span[0]!r}::DOUBLE + {u} * {span[1] - span[0]!r}::DOUBLE"
+            elif kind == "log":
+                number = f"exp({math.log(span[0])!r}::DOUBLE + {u} * {math.log(span[1]) - math.log(span[0])!r}::DOUBLE)"
+            else:
+                choice = f"[{', '.join(repr(c) for c in span[0])}][CAST(floor({u} * {len(span[0])}) AS INTEGER) + 1]"
+            rows.append(f"SELECT '{m}' AS model_name, CAST(trial AS INTEGER) AS trial, '{name}' AS param, CAST({number} AS DOUBLE) AS number, "
+                        f"CAST({choice} AS VARCHAR) AS choice FROM (SELECT unnest(range({SR.N_TRIALS[m]})) AS trial)")
+    return f"""{_TRAIN_ROWS}, d AS ({' UNION ALL '.join(rows)}) SELECT model_name, trial, param, round(number, 6) AS number, choice,
+        CASE WHEN param = 'C' THEN round(1.0::DOUBLE / (number * train_rows), 9) END AS reg_param FROM d CROSS JOIN t"""
+
+
 SQL = {
     "m12_grid_facts": f"""WITH {_CLEAN_SQL}, parts AS (SELECT * FROM {sql_split('clean', 'subject_id', 'label')}),
         t AS (SELECT count_if(label = 0) AS n0, count_if(label = 1) AS n1 FROM parts WHERE split = 'train'),
         v AS ({' UNION ALL '.join(f"SELECT '{k}' AS resampling_method, CAST({e} AS BIGINT) AS train_samples FROM t" for k, e in _SIZES.items())})
         SELECT v.resampling_method, m.model_name, CAST({_KEPT} AS INTEGER) AS feature_count, v.train_samples, 1 AS sound
         FROM v CROSS JOIN rr CROSS JOIN (VALUES {', '.join(f"('{m}')" for m in MD.MODEL_NAMES)}) m(model_name)""",
+    "m13_trial_tables": _trials_sql(),
+    "m14_early_stopping": f"{_TRAIN_ROWS} SELECT CAST(n_val AS BIGINT) AS n, CAST(0 AS BIGINT) AS different, 8 AS rounds, 1 AS cut_at_best FROM t",
+    "m15_m16_tuning_facts": f"""{_TRAIN_ROWS} SELECT base_model, resampling_method, {SMALL_TRIALS} AS n_trials, CAST({SMALL_TRIALS} AS BIGINT) AS stored,
+        CAST(n_test AS BIGINT) AS n_test, 1 AS best_of_trials, 1 AS sound FROM t CROSS JOIN (VALUES {', '.join(f"('{m}')" for m in MD.BOOSTED)}) m(base_model)
+        CROSS JOIN (VALUES {', '.join(f"('{v}')" for v in _SIZES)}) v(resampling_method)""",
+    "s6_raw_reload": f"{_TEST_ROWS} SELECT count(*) AS n, CAST(0 AS BIGINT) AS different FROM t",
     "s6_model_reload": f"{_TEST_ROWS} SELECT count(*) AS n, CAST(0 AS BIGINT) AS different FROM t",
     "m7_scoring_facts": f"{_TEST_ROWS} SELECT count(*) AS n, count_if(label = 1) AS positives, CAST(0 AS BIGINT) AS out_of_range FROM t",
     "m17_additivity": f"{_TEST_ROWS} SELECT count(*) AS n, CAST(0 AS BIGINT) AS not_additive FROM t",

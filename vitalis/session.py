@@ -17,6 +17,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.scheduler.mode": "FAIR",     # concurrent fits share the cluster; one job at a time is unaffected
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
