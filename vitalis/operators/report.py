@@ -63,16 +63,26 @@ def impact(raw: DataFrame, clean: DataFrame, target: str, positive=1) -> DataFra
                     (F.col("imbalance_clean") - F.col("imbalance_raw")).alias("imbalance_change"))
 
 
-def stage_ledger(stages: Mapping[str, DataFrame], target: str, positive=1, baseline: str | None = None) -> DataFrame:
+PARTS = "split"      # a stage of this name stands for the parts of its split column
+
+
+def stage_ledger(stages: Mapping[str, DataFrame], target: str, positive=1, baseline: str | None = None,
+                 parts: Sequence[str] = ("train", "val", "test")) -> DataFrame:
     """One row per pipeline stage: size, positives, rate, and the change in
-    size versus ``baseline`` (e.g. each train variant against the original)."""
-    parts = []
-    for i, (name, df) in enumerate(stages.items()):
-        parts.append(df.agg(F.lit(i).alias("stage_order"), F.lit(name).alias("stage"),
-                            F.count(F.lit(1)).alias("n"), F.count_if(F.col(target) == positive).alias("positives")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    size versus ``baseline`` (e.g. each train variant against the original).
+    The ``parts`` of a split table are counted in one pass (the stage ``PARTS``)."""
+    out, order = None, 0
+    for name, df in stages.items():
+        sums = [F.count(F.lit(1)).alias("n"), F.count_if(F.col(target) == positive).alias("positives")]
+        if name == PARTS:
+            counts = df.groupBy(F.col(PARTS).alias("stage")).agg(*sums)
+            every = df.sparkSession.createDataFrame([(order + i, p) for i, p in enumerate(parts)], "stage_order int, stage string")
+            rows = every.join(counts, "stage", "left").select("stage_order", "stage", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "positives")])
+            order += len(parts)
+        else:
+            rows = df.agg(F.lit(order).alias("stage_order"), F.lit(name).alias("stage"), *sums)
+            order += 1
+        out = rows if out is None else out.unionByName(rows)
     out = out.withColumn("rate", F.try_divide(F.col("positives").cast("double"), F.col("n")))
     if baseline:
         base = out.where(F.col("stage") == baseline).select(F.col("n").alias("_base_n"))

@@ -85,7 +85,28 @@ def q_class_weights(spark, sf):
     return rounded(P.class_weights(table(spark, sf, "labels").select("doc_id", "toxic"), "toxic"))
 
 
+def q_decode(spark, sf):
+    """codes moved off the integers, as synthetic rows have them, and codes beyond the range, back to values."""
+    doc = table(spark, sf, "documents").select("doc_id", *CATEGORICAL)
+    codes = P.fit_label_codes(doc, CATEGORICAL)
+    coded = P.apply_label_codes(doc, codes, CATEGORICAL)
+    near = P.decode_label_codes(coded.select("doc_id", *[(F.col(c) + 0.3).alias(c) for c in CATEGORICAL]), codes, CATEGORICAL)
+    far = P.decode_label_codes(coded.select("doc_id", *[(F.col(c) * 0.0 + s).alias(c) for c, s in zip(CATEGORICAL, (1000.0, -7.4))]), codes, CATEGORICAL)
+    return near.join(far.select("doc_id", *[F.col(c).alias(f"{c}_clipped") for c in CATEGORICAL]), "doc_id")
+
+
+def q_categorical(spark, sf):
+    """the text columns discovered in a table, names with a value for every row included, with
+    the number of values that encoding them takes."""
+    cust = table(spark, sf, "customer")
+    cols = P.categorical_columns(cust)
+    codes = P.fit_label_codes(cust, cols)
+    return codes.groupBy("column").agg(F.count(F.lit(1)).alias("n_values"), F.max("code").alias("last_code"))
+
+
 QUERIES = {
+    "f3_decode": q_decode,
+    "f6_categorical": q_categorical,
     "m8_confusion": q_confusion,
     "m9_rates": q_rates,
     "m10_m11_ranking": q_ranking,
@@ -160,6 +181,11 @@ def _sql_standardise() -> str:
 
 
 SQL = {
+    "f3_decode": """SELECT doc_id, coalesce(lang, 'nan') AS lang, coalesce(source, 'nan') AS source, l AS lang_clipped, f AS source_clipped
+        FROM documents CROSS JOIN (SELECT max(coalesce(lang, 'nan')) AS l, min(coalesce(source, 'nan')) AS f FROM documents)""",
+    "f6_categorical": """SELECT d.column_name AS "column", v.n AS n_values, CAST(v.n - 1 AS INTEGER) AS last_code
+        FROM (DESCRIBE customer) d LEFT JOIN (SELECT 'c_name' AS c, count(DISTINCT coalesce(c_name, 'nan')) AS n FROM customer
+        UNION ALL SELECT 'c_mktsegment', count(DISTINCT coalesce(c_mktsegment, 'nan')) FROM customer) v ON v.c = d.column_name WHERE d.column_type = 'VARCHAR'""",
     "m8_confusion": sql_confusion(DOC_PREDS),
     "m9_rates": f"SELECT tp, tn, fp, fn, {_round_all(['accuracy', 'precision', 'recall', 'f1_score', 'specificity'])} "
                 f"FROM (SELECT *, {RATES} FROM ({sql_confusion(DOC_PREDS)}))",

@@ -197,10 +197,9 @@ def q_impact(spark, sf):
 
 def q_stage_ledger(spark, sf):
     raw, ranged, clean = _clean(spark, sf)
-    s = S.stratified_split(clean, "subject_id", "label", FRACTIONS, seed=SEED)
+    s = S.stratified_split(clean, "subject_id", "label", FRACTIONS, seed=SEED).select("subject_id", "label", "split").checkpoint(eager=True)
     train = s.where(F.col("split") == "train")
-    stages = {"raw": raw, "range_filtered": ranged, "complete": clean, "train": train,
-              "val": s.where(F.col("split") == "val"), "test": s.where(F.col("split") == "test"),
+    stages = {"raw": raw, "range_filtered": ranged, "complete": clean, R.PARTS: s,
               "train_downsampling": S.downsample(train, "subject_id", "label", seed=SEED)}
     return rounded(R.stage_ledger(stages, "label", baseline="train"))
 

@@ -17,6 +17,7 @@ from ..functions.columns import to_ts
 from ..operators.features import keyword_flags
 from ..session import ensure_checkpoint_dir
 from ..sources.codes import LIFESTYLE_FLAGS
+from ..sources.ingest import ingest_events, read_events
 from ..sources.tables import CLINICAL_SCHEMAS, optional_source, read_source, safe_load, write_table
 from . import extraction as X
 from . import reporting as RP
@@ -91,7 +92,24 @@ def q_json_round_trip(spark, sf):
     return rounded(spark.read.schema(ATTRIBUTION_SCHEMA).json(path))
 
 
+EVENT_FILE = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("user_id", T.LongType()),
+                           T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType())])
+GZ_ITEMS = ["click", "view"]
+
+
+def q_gz_ingest(spark, sf):
+    """The events as gzipped CSV files, read once into the pruned layout; then two items of a cohort from it."""
+    raw, out = scratch_path(spark, "events_gz"), scratch_path(spark, "events_laid")
+    names = [f.name for f in EVENT_FILE.fields]
+    table(spark, sf, "events").select(*names).write.mode("overwrite").option("header", "true").option("compression", "gzip").csv(raw)
+    ingest_events(spark, raw, EVENT_FILE, out, "event_type", "user_id", buckets=16, fmt="csv")
+    cohort = table(spark, sf, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("user_id"))
+    kept = read_events(spark, out, EVENT_FILE, "event_type", "user_id", GZ_ITEMS, cohort)
+    return rounded(kept.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")))
+
+
 QUERIES = {
+    "s3_gz_ingest": q_gz_ingest,
     "s1_csv_by_name": q_csv_by_name,
     "p8_text_times": q_text_times,
     "s1_s4_csv_round_trip": q_csv_round_trip,
@@ -101,6 +119,9 @@ QUERIES = {
 }
 
 SQL = {
+    "s3_gz_ingest": f"""SELECT user_id, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events
+        WHERE event_type IN ({', '.join(f"'{i}'" for i in GZ_ITEMS)}) AND user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)
+        GROUP BY user_id, event_type""",
     "s1_csv_by_name": "SELECT c_custkey, c_name, c_nationkey, round(c_acctbal, 6) AS c_acctbal, c_mktsegment FROM customer",
     "p8_text_times": """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS parsed,
         CAST(year(o_orderdate) AS INTEGER) AS year FROM orders""",
