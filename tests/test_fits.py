@@ -7,6 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from vitalis.operators import explain as E
 from vitalis.operators import models as MD
 from vitalis.operators import prep as P
 from vitalis.operators import quality as Q
@@ -107,3 +108,29 @@ def test_model_saved_with_preparation_scores_raw_rows(spark, tiny):  # noqa: F81
     unseen = raw.where("id = 3").withColumn("c", F.lit("never seen"))
     coded = Q.impute(unseen.withColumn("c", F.lit(-1)), means)
     assert g.transform_raw(unseen).first()["score"] == pytest.approx(f.transform(coded).first()["score"])
+
+
+def test_extra_trees_split_at_random_cuts(spark, tiny):  # noqa: F811
+    feats = ["a", "b", "c"]
+    f = MD.fit("Extra_Trees", tiny.where("split = 'train'"), feats, "label", {"numTrees": 8, "maxDepth": 5})
+    ends = tiny.where("split = 'train'").agg(F.min("a"), F.max("a")).first()
+    assert len(f.cuts["a"]) == MD.RANDOM_CUTS and len(set(f.cuts["a"])) > 20 and all(ends[0] <= p <= ends[1] for p in f.cuts["a"])
+    trees = [r.asDict() for r in E.tree_rows(E.forest_table(spark, f.model, [f.cuts[c] for c in feats])).orderBy("tree").collect()]
+    rows = f.transform(tiny).orderBy("id").collect()
+
+    def vote(tree, x):
+        j = 0
+        while tree["left"][j] >= 0:
+            k = tree["feature"][j]
+            assert tree["threshold"][j] in f.cuts[feats[k]]
+            j = tree["left"][j] if x[k] <= tree["threshold"][j] else tree["right"][j]
+        return tree["value"][j]
+
+    for r in rows:
+        assert r["score"] == pytest.approx(sum(vote(t, [r[c] for c in feats]) for t in trees) / len(trees))
+    assert MD.evaluate_model(f, tiny.where("split = 'val'"))["roc_auc"] > 0.6
+    again = MD.Fitted.load(spark, f.save(spark, os.path.join(tempfile.mkdtemp(prefix="vitalis-test-"), "et")))
+    assert [r["score"] for r in again.transform(tiny).orderBy("id").collect()] == pytest.approx([r["score"] for r in rows])
+    attr, expected = E.tree_attributions(tiny.where("id < 10"), "id", feats, f.model, "et", f.cuts)
+    sums = {r["row_id"]: r["s"] for r in attr.groupBy("row_id").agg(F.sum("attribution").alias("s")).collect()}
+    assert all(sums[r["id"]] + expected == pytest.approx(r["score"]) for r in rows[:10])

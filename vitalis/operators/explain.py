@@ -72,9 +72,12 @@ def importance(attr: DataFrame, top: int | None = 20) -> DataFrame:
 # TreeSHAP
 # ---------------------------------------------------------------------------
 
-def forest_table(spark: SparkSession, model) -> DataFrame:
+def forest_table(spark: SparkSession, model, cuts: Sequence[Sequence[float]] | None = None) -> DataFrame:
     """The nodes of a fitted MLlib tree ensemble: tree, scale, id, left, right, feature, threshold, value, cover.
 
+    For a forest on indicators of random cut points (``models.cut_array``) ``cuts`` holds the points of each feature:
+    its splits are then told as splits of the features themselves.
+
     The model is saved under the session's checkpoint folder and its node table read back; nothing of it but the
     trees' weights passes through the driver.  ``scale`` is what a tree's output counts for: its weight for boosted
     trees (margin), 1 / trees for a forest (mean of the leaves' shares of class 1)."""
@@ -94,9 +97,13 @@ def forest_table(spark: SparkSession, model) -> DataFrame:
         cover = F.when(total > 0, total).otherwise(F.col("rawCount").cast("double"))
         value = F.when(total > 0, F.coalesce(F.get(stats, F.lit(1)), F.lit(0.0)) / total).otherwise(0.0)
     scales = spark.createDataFrame(list(enumerate(weights)), "tree int, scale double")
+    feature, threshold = F.col("split.featureIndex"), F.coalesce(F.get("split.leftCategoriesOrThreshold", F.lit(0)), F.lit(0.0))
+    if cuts is not None:
+        points = F.array(*[F.lit(float(c)) for f in cuts for c in f])
+        threshold = F.when(feature >= 0, F.get(points, feature)).otherwise(0.0)
+        feature = F.when(feature >= 0, F.floor(feature / len(cuts[0])).cast("int")).otherwise(feature)
     return n.select("tree", "id", F.col("leftChild").alias("left"), F.col("rightChild").alias("right"),
-                    F.col("split.featureIndex").alias("feature"),
-                    F.coalesce(F.get("split.leftCategoriesOrThreshold", F.lit(0)), F.lit(0.0)).alias("threshold"),
+                    feature.alias("feature"), threshold.alias("threshold"),
                     value.alias("value"), cover.alias("cover")).join(F.broadcast(scales), "tree")
 
 
@@ -196,7 +203,8 @@ def tree_shap_batch(x: np.ndarray, tree: dict) -> np.ndarray:
 def _explain_block(rows: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
     """What the given trees add to the attributions of the given rows."""
     if rows.empty or trees.empty:
-        return pd.DataFrame({c: [] for c in ("_row", "_rid", "x", "phi")})
+        none = np.empty(0, np.int64)
+        return pd.DataFrame({"_row": none, "_rid": none, "x": none.astype(object), "phi": none.astype(object)})
     x = np.stack(rows["x"].to_numpy())
     phi = np.zeros_like(x)
     for r in trees.to_dict("records"):
@@ -206,8 +214,9 @@ def _explain_block(rows: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
 
 
 def explained_rows(df: DataFrame, id_col: str, features: Sequence[str], fitted_model, slice_nodes: int = SLICE_NODES,
-                   block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, float]:
+                   block_rows: int = BLOCK_ROWS, cuts: dict[str, Sequence[float]] | None = None) -> tuple[DataFrame, float]:
     """Attributions of every row as arrays in the order of ``features``: (row_id, x, phi), and the expected value.
+    ``cuts`` are the random cut points of extra trees (``Fitted.cuts``).
 
     Rows are dealt into blocks by a hash of their place in a checkpointed table, so equal or repeated ids do not
     meet in one; trees into slices of about ``slice_nodes`` nodes.  Blocks and slices are cogrouped: what is shuffled
@@ -220,7 +229,7 @@ def explained_rows(df: DataFrame, id_col: str, features: Sequence[str], fitted_m
     rows = df.select(F.col(id_col).cast("bigint").alias("_rid"),
                      F.array(*[F.coalesce(F.col(f).cast("double"), nan) for f in feats]).alias("x")).checkpoint(eager=True)
     rows = rows.withColumn("_row", F.monotonically_increasing_id())
-    nodes = forest_table(spark, fitted_model).checkpoint(eager=True)
+    nodes = forest_table(spark, fitted_model, [cuts[f] for f in feats] if cuts else None).checkpoint(eager=True)
     expected = expected_value(nodes)
     # one row for each tree: a window over a parameter's number of rows
     before = Window.orderBy("tree").rowsBetween(Window.unboundedPreceding, -1)
@@ -245,12 +254,12 @@ def explained_rows(df: DataFrame, id_col: str, features: Sequence[str], fitted_m
 
 
 def tree_attributions(df: DataFrame, id_col: str, features: Sequence[str], fitted_model,
-                      model_name: str) -> tuple[DataFrame, float]:
+                      model_name: str, cuts: dict[str, Sequence[float]] | None = None) -> tuple[DataFrame, float]:
     """Exact TreeSHAP per (row, feature) for an MLlib RF/GBT model.
 
     Returns (long attribution table, expected value).  For GBT the explained
     output is the margin ``rawPrediction[1]``; for RF it is P(y=1)."""
-    rows, expected = explained_rows(df, id_col, features, fitted_model)
+    rows, expected = explained_rows(df, id_col, features, fitted_model, cuts=cuts)
     names = F.array(*[F.lit(f) for f in features])
     cell = F.explode(F.arrays_zip(names.alias("feature"), F.col("x").alias("value"), F.col("phi").alias("attribution"))).alias("_c")
     return rows.select(F.lit(model_name).alias("model_name"), "row_id", cell).select("model_name", "row_id", "_c.*"), expected

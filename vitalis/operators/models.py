@@ -15,8 +15,11 @@ Mapping to the original families (documented, not faked):
   XGBoost             -> GBTClassifier(maxIter=100, maxDepth=6, stepSize=0.3), unweighted
   LightGBM            -> GBTClassifier(maxIter=100, maxDepth=5, stepSize=0.1), balanced weights
   Extra_Trees         -> RandomForestClassifier(numTrees=100, bootstrap=False,
-                         featureSubsetStrategy='sqrt'); an analogue: thresholds
-                         are not drawn at random per node.
+                         featureSubsetStrategy='sqrt') on indicators of random
+                         cut points: every feature has RANDOM_CUTS of them, drawn
+                         uniformly over its train range, and a node sees a random
+                         few of all (feature, cut) pairs, each with its one
+                         threshold, and takes the best.
 """
 
 from __future__ import annotations
@@ -93,6 +96,29 @@ def estimator(name: str, params: dict | None = None, weight_col: str | None = No
     raise ValueError(f"unknown model {name!r}")
 
 
+RANDOM_CUTS = 32        # cut points of a feature
+
+
+def cut_table(train: DataFrame, features: Sequence[str], n_cuts: int = RANDOM_CUTS, seed: int = SEED) -> DataFrame:
+    """M5: (feature, cut, point): ``n_cuts`` points of each feature, uniform over its train range.
+
+    The draws are ``md5(feature|cut|seed)``, so they are the same on any cluster.  Features x cuts rows."""
+    ends = train.agg(*[f(F.col(c).cast("double")).alias(f"{n}|{c}") for c in features for n, f in (("lo", F.min), ("hi", F.max))])
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"lo|{c}").alias("lo"), F.col(f"hi|{c}").alias("hi")) for c in features])
+    drawn = ends.select(F.explode(cells).alias("_e")).select("_e.*", F.explode(F.sequence(F.lit(0), F.lit(n_cuts - 1))).alias("cut"))
+    digest = F.md5(F.concat_ws("|", "feature", F.col("cut").cast("string"), F.lit(str(seed))))
+    u = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(16 ** 13)
+    return drawn.select("feature", "cut", (F.col("lo") + u * (F.col("hi") - F.col("lo"))).alias("point"))
+
+
+def cut_array(features: Sequence[str], cuts: dict[str, Sequence[float]]):
+    """The indicators (feature above cut) of a row, feature by feature, as one array expression."""
+    def above(f: str):
+        return F.transform(F.array(*[F.lit(float(c)) for c in cuts[f]]), lambda c: (F.col(f).cast("double") > c).cast("double"))
+
+    return F.flatten(F.array(*[above(f) for f in features]))
+
+
 MODEL_CLASSES = {"Logistic_Regression": LogisticRegressionModel, "SVC": LinearSVCModel,
                  "Random_Forest": RandomForestClassificationModel, "Extra_Trees": RandomForestClassificationModel,
                  "XGBoost": GBTClassificationModel, "LightGBM": GBTClassificationModel}
@@ -171,14 +197,14 @@ class Fitted:
     """A fitted model family with everything needed to score new rows: prepared ones (``transform``) or, with the
     label codes and means of the train rows (``with_preparation``), raw ones (``transform_raw``)."""
 
-    def __init__(self, name, model, features, scaler=None, platt=None, label="label", rff=None, codes=None, means=None):
+    def __init__(self, name, model, features, scaler=None, platt=None, label="label", rff=None, codes=None, means=None, cuts=None):
         self.name, self.model, self.features = name, model, list(features)
         self.scaler, self.platt, self.label, self.rff = scaler, platt, label, rff
-        self.codes, self.means = codes, means
+        self.codes, self.means, self.cuts = codes, means, cuts
 
     def with_preparation(self, codes: DataFrame, means: dict[str, float]) -> Fitted:
         """The same model with the train rows' label code table (F1) and imputation means."""
-        return Fitted(self.name, self.model, self.features, self.scaler, self.platt, self.label, self.rff, codes, dict(means))
+        return Fitted(self.name, self.model, self.features, self.scaler, self.platt, self.label, self.rff, codes, dict(means), self.cuts)
 
     def transform_raw(self, df: DataFrame) -> DataFrame:
         """M7 on rows with text categories and nulls: encode (unseen: -1), impute, score."""
@@ -195,7 +221,7 @@ class Fitted:
             self.codes.write.mode("overwrite").parquet(f"{path}/codes")
         rff = [np.asarray(a).tolist() for a in self.rff] if self.rff is not None else None
         meta = json.dumps({"name": self.name, "features": self.features, "scaler": self.scaler, "platt": self.platt,
-                           "label": self.label, "rff": rff, "codes": self.codes is not None, "means": self.means})
+                           "label": self.label, "rff": rff, "codes": self.codes is not None, "means": self.means, "cuts": self.cuts})
         spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
         return path
 
@@ -206,7 +232,7 @@ class Fitted:
         scaler = {k: tuple(v) for k, v in m["scaler"].items()} if m["scaler"] else None
         rff = tuple(np.array(a) for a in m["rff"]) if m["rff"] else None
         codes = spark.read.parquet(f"{path}/codes") if m.get("codes") else None
-        return Fitted(m["name"], model, m["features"], scaler, tuple(m["platt"]) if m["platt"] else None, m["label"], rff, codes, m.get("means"))
+        return Fitted(m["name"], model, m["features"], scaler, tuple(m["platt"]) if m["platt"] else None, m["label"], rff, codes, m.get("means"), m.get("cuts"))
 
     def first_trees(self, n: int) -> Fitted:
         """A boosted ensemble cut to its first ``n`` rounds."""
@@ -228,6 +254,8 @@ class Fitted:
             df = P.apply_scaler(df, self.scaler)
         if self.rff is not None:
             return df.withColumn("features", array_to_vector(rff_array(self.features, self.rff)))
+        if self.cuts is not None:
+            return df.withColumn("features", array_to_vector(cut_array(self.features, self.cuts)))
         return VectorAssembler(inputCols=self.features, outputCol="features", handleInvalid="keep").transform(df)
 
     def round_losses(self, df: DataFrame) -> list[float]:
@@ -265,7 +293,12 @@ def fit(name: str, train: DataFrame, features: Sequence[str], label: str = "labe
         # the original's default SVC is RBF with gamma='scale'
         gamma = resolve_gamma(kernel.get("gamma", "scale"), df, features)
         rff = rff_spec(len(features), gamma, int(kernel.get("n_components", RFF_COMPONENTS)))
-    fitted_cols = Fitted(name, None, features, None, None, label, rff)
+    cuts = None
+    if name == "Extra_Trees":
+        cuts = {f: [0.0] * RANDOM_CUTS for f in features}
+        for r in cut_table(df, features).collect():                     # features x cuts rows
+            cuts[r["feature"]][r["cut"]] = 0.0 if r["point"] is None else r["point"]
+    fitted_cols = Fitted(name, None, features, None, None, label, rff, cuts=cuts)
     vec = fitted_cols._vectors(df)
     model = estimator(name, params, "weight" if weighted else None, label).fit(vec)
     platt = None
@@ -274,7 +307,7 @@ def fit(name: str, train: DataFrame, features: Sequence[str], label: str = "labe
         m = VectorAssembler(inputCols=["m"], outputCol="mv").transform(margins)
         lr = LogisticRegression(featuresCol="mv", labelCol=label, maxIter=100).fit(m)
         platt = (float(lr.coefficients[0]), float(lr.intercept))
-    return Fitted(name, model, features, scaler, platt, label, rff)
+    return Fitted(name, model, features, scaler, platt, label, rff, cuts=cuts)
 
 
 def evaluate_model(fitted: Fitted, df: DataFrame, label: str = "label") -> dict:

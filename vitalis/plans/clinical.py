@@ -194,7 +194,7 @@ def explain(spark: SparkSession, model_path: str, rows: DataFrame, out_dir: str)
     """M17 + A18 + S5: a saved tree model's attributions of ``rows`` as JSON, with what they add up from, and its
     features by importance."""
     fitted = MD.Fitted.load(spark, model_path)
-    attr, expected = EX.tree_attributions(rows, "subject_id", fitted.features, fitted.model, fitted.name)
+    attr, expected = EX.tree_attributions(rows, "subject_id", fitted.features, fitted.model, fitted.name, fitted.cuts)
     write_table(attr, os.path.join(out_dir, "attributions"), fmt="json")
     info = [(fitted.name, float(expected), len(fitted.features), model_path)]
     write_table(spark.createDataFrame(info, "model_name string, expected_value double, feature_count int, model_path string"),

@@ -45,8 +45,7 @@ def model_table(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str], lis
         codes.write.mode("overwrite").parquet(f"{path}.codes")
         spark.createDataFrame([(c, float(m)) for c, m in means.items()], "column string, mean double").write.mode("overwrite").parquet(f"{path}.means")
         # which columns are codes is kept in their metadata
-        enc = enc.select(*[F.col(c).alias(c, metadata={"categorical": c in cats}) for c in enc.columns])
-        enc.repartition(spark.sparkContext.defaultParallelism, "subject_id").write.mode("overwrite").parquet(path)
+        enc.select(*[F.col(c).alias(c, metadata={"categorical": c in cats}) for c in enc.columns]).write.mode("overwrite").parquet(path)
     enc = spark.read.parquet(path)
     cats = [f.name for f in enc.schema.fields if f.metadata.get("categorical")]
     return enc, P.feature_columns(enc, "label"), cats
@@ -176,6 +175,32 @@ def q_early_stopping(spark, sf):
     return facts.select("n", "different", F.lit(len(losses)).alias("rounds"), F.lit(int(kept)).alias("cut_at_best"))
 
 
+CUT_FEATURES = ["o_totalprice", "c_acctbal"]
+
+
+def q_cut_table(spark, sf):
+    """M5: the random cut points of two measured features of the train rows."""
+    enc, _, _ = model_table(spark, sf)
+    return rounded(MD.cut_table(enc.where(F.col("split") == "train"), CUT_FEATURES))
+
+
+def q_extra_trees_facts(spark, sf):
+    """M5: a forest on random cuts: test rows, scores outside [0, 1], scores that are not the mean of its trees' votes
+    (recomputed through TreeSHAP's node table), and splits at points that are no cut of their feature."""
+    enc, feats, _ = model_table(spark, sf)
+    test = enc.where(F.col("split") == "test")
+    fitted = MD.fit("Extra_Trees", enc.where(F.col("split") == "train"), feats, "label", {"numTrees": 20, "maxDepth": 8})
+    scored = fitted.transform(test).select(F.col("subject_id").alias("row_id"), "score")
+    rows, expected = EX.explained_rows(test, "subject_id", feats, fitted.model, cuts=fitted.cuts)
+    votes = rows.select("row_id", (F.aggregate("phi", F.lit(0.0), lambda a, v: a + v) + F.lit(expected)).alias("votes"))
+    nodes = EX.forest_table(spark, fitted.model, [fitted.cuts[f] for f in feats])
+    known = spark.createDataFrame([(i, float(c)) for i, f in enumerate(feats) for c in fitted.cuts[f]], "feature int, threshold double").distinct()
+    stray = nodes.where("left >= 0").join(F.broadcast(known), ["feature", "threshold"], "left_anti").agg(F.count(F.lit(1)).alias("stray_splits"))
+    return scored.join(votes, "row_id", "left").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~F.coalesce(F.col("score").between(0.0, 1.0), F.lit(False))).alias("out_of_range"),
+        F.count_if(~F.coalesce(F.abs(F.col("score") - F.col("votes")) < 1e-6, F.lit(False))).alias("not_the_mean")).crossJoin(F.broadcast(stray))
+
+
 def q_search_lr(spark, sf):
     """M13 on logistic regression (30 trials, as in the original space)."""
     enc, feats, _ = model_table(spark, sf)
@@ -246,6 +271,8 @@ QUERIES = {
     "m12_leaderboard": q_leaderboard,
     "a18_tree_importance": q_tree_importance,
     "m13_search_lr": q_search_lr,
+    "m5_cut_table": q_cut_table,
+    "m5_extra_trees_facts": q_extra_trees_facts,
     "m13_trial_tables": q_trial_tables,
     "m14_early_stopping": q_early_stopping,
     "m15_m16_tuning_facts": q_tuning_facts,
@@ -296,6 +323,12 @@ SQL = {
         v AS ({' UNION ALL '.join(f"SELECT '{k}' AS resampling_method, CAST({e} AS BIGINT) AS train_samples FROM t" for k, e in _SIZES.items())})
         SELECT v.resampling_method, m.model_name, CAST({_KEPT} AS INTEGER) AS feature_count, v.train_samples, 1 AS sound
         FROM v CROSS JOIN rr CROSS JOIN (VALUES {', '.join(f"('{m}')" for m in MD.MODEL_NAMES)}) m(model_name)""",
+    "m5_cut_table": f"""WITH {_CLEAN_SQL}, parts AS (SELECT * FROM {sql_split('clean', 'subject_id', 'label')}),
+        e AS ({' UNION ALL '.join(f"SELECT '{c}' AS feature, min(CAST({c} AS DOUBLE)) AS lo, max(CAST({c} AS DOUBLE)) AS hi FROM parts WHERE split = 'train'" for c in CUT_FEATURES)}),
+        d AS (SELECT feature, lo, hi, CAST(unnest(range({MD.RANDOM_CUTS})) AS INTEGER) AS cut FROM e)
+        SELECT feature, cut, round(lo + CAST(('0x' || substr(md5(feature || '|' || cut || '|{MD.SEED}'), 1, 13))::BIGINT AS DOUBLE) / {float(16 ** 13)!r} * (hi - lo), 6) AS point FROM d""",
+    "m5_extra_trees_facts": f"""{_TEST_ROWS} SELECT count(*) AS n, CAST(0 AS BIGINT) AS out_of_range, CAST(0 AS BIGINT) AS not_the_mean,
+        CAST(0 AS BIGINT) AS stray_splits FROM t""",
     "m13_trial_tables": _trials_sql(),
     "m14_early_stopping": f"{_TRAIN_ROWS} SELECT CAST(n_val AS BIGINT) AS n, CAST(0 AS BIGINT) AS different, 8 AS rounds, 1 AS cut_at_best FROM t",
     "m15_m16_tuning_facts": f"""{_TRAIN_ROWS} SELECT base_model, resampling_method, {SMALL_TRIALS} AS n_trials, CAST({SMALL_TRIALS} AS BIGINT) AS stored,
