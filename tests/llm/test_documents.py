@@ -410,20 +410,34 @@ def test_lm_scores(crowded, none, spark, monkeypatch):
             c.update(w)
             pairs.update(zip([b" ", *w[:-1]], w))
     n, v = sum(c.values()), len(c)
+    r = {x: 1.5 * 2 ** (k.bit_length() - 1) - 0.5 for x, k in (c | pairs).items()}
+    room, sums = sum(r[x] for x in c), Counter()
+    for h, w in pairs:
+        sums[h] += r[h, w]
+
+    def p(h, w):
+        return (r.get((h, w), 0) + lm_score.MU * (r.get(w, 0) + 0.1) / (room + 0.1 * (v + 1))) / (sums[h] + lm_score.MU)
+
+    for h in [*c, b"never seen"]:        # probabilities over the words and one unknown
+        assert math.isclose(sum(p(h, w) for w in [*c, b"\0unknown"]), 1.0, rel_tol=1e-9)
     for heavy in (4_000_000, 10):        # all counts broadcast, and most of them joined
         monkeypatch.setattr(lm_score, "HEAVY", heavy)
-        rows = lm_score.score(df, "train").collect()
+        rows = lm_score.score(df, "train", key_bits=256).collect()       # next to no filter errors
         assert len(rows) == len(DOCS) + len(extra)
         text = {i: t for i, t, _ in DOCS + extra}
-        for r in rows:
-            w = lm_tokens(text[r["doc_id"]])
+        for row in rows:
+            w = lm_tokens(text[row["doc_id"]])
             base = sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)
-            assert r["n_tokens"] == len(w) and r["n_known"] == sum(c[x] > 0 for x in w) and r["train_tokens"] == n
-            assert math.isclose(r["base_score"], base, rel_tol=1e-9) and r["held_out"] == (not train[r["doc_id"]])
-            assert r["score"] <= 0
+            assert row["n_tokens"] == len(w) and row["n_known"] == sum(c[x] > 0 for x in w) and row["train_tokens"] == n
+            assert math.isclose(row["base_score"], base, rel_tol=1e-9) and row["held_out"] == (not train[row["doc_id"]])
+            want = sum(math.log10(p(h, x)) for h, x in zip([b" ", *w[:-1]], w))
+            assert row["score"] <= 0 and math.isclose(row["score"], want, rel_tol=1e-6)
     assert lm_score.score(none.withColumn("train", F.lit(True)), "train").count() == 0
     untrained = lm_score.score(crowded.withColumn("train", F.lit(False)), "train").collect()
-    assert {r["n_known"] for r in untrained} == {0} and {r["train_tokens"] for r in untrained} == {0}
+    assert {x["n_known"] for x in untrained} == {0} and {x["train_tokens"] for x in untrained} == {0}
+    assert all(-1e-9 < x["score"] <= 0 for x in untrained)       # one unknown word has the whole share
+    contexts = np.random.default_rng(1).integers(0, 1 << 48, 1000, dtype=np.uint64)
+    assert (lm_score.from_six_bytes(lm_score.six_bytes(contexts)) == contexts).all()
 
 
 def test_filter_reads_counts_back():
