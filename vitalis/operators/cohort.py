@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -106,3 +106,15 @@ def wide_join(base: DataFrame, sides: Sequence[tuple[DataFrame | None, str]]) ->
             side = side.drop(*dup)
         out = out.join(side, on=key, how="left")
     return out
+
+
+def laid_wide_join(base: DataFrame, sides: Sequence[tuple[str, DataFrame, str]], lay: Callable[[str, DataFrame, str], DataFrame]) -> DataFrame:
+    """J2 over stage tables.  ``sides`` are (name, table, key); ``lay(name, table, key)`` stores a table in buckets of its
+    key.  Every side is laid out once and the base once per key, so no join of the chain moves a row; a lost executor
+    costs the reading of its buckets."""
+    out, by = base, None
+    for name, side, key in sides:
+        if key != by:
+            out, by = lay(f"base_{name}", out, key), key
+        out = wide_join(out, [(lay(name, side, key), key)])
+    return out

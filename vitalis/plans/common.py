@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
+from ..sources.bucketed import read_bucketed, write_bucketed
 
 DIGITS = 6  # floating outputs are rounded so the oracle comparison is exact
 
@@ -37,6 +38,14 @@ def stage_folder(spark: SparkSession, sf_dir: str, name: str) -> tuple[str, bool
     return path, done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
 
 
+def laid_stage(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame], key: str) -> DataFrame:
+    """A stage's output in buckets of ``key``, as many as the session has shuffle partitions: written once per state of
+    the source, then read."""
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path, done = stage_folder(spark, sf_dir, f"{name}.{key}.{buckets}")
+    return read_bucketed(spark, path, key, buckets) if done else write_bucketed(make(), path, key, buckets)
+
+
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     """Round every floating column (double/float) to ``digits``."""
     cols = []

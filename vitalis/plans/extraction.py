@@ -14,12 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import either_flag, indicator, one_hot, one_hot_name
-from ..operators.cohort import attach, first_per_key, horizon_labels, in_cohort, lookup, wide_join, window_join
+from ..operators.cohort import attach, first_per_key, horizon_labels, in_cohort, laid_wide_join, lookup, window_join
 from ..operators.features import (anthropometrics, any_flags, first_measure, flagged_only, keyword_flags,
                                   measure_features, rollup_flags, window_stats)
 from ..sources.codes import INCH_TO_CM, LAB_STATS, LB_TO_KG, VITAL_STATS
-from ..session import ensure_checkpoint_dir
-from .common import rounded, sql_pivot, sql_round, sql_stats, table, ts_text
+from .common import laid_stage, rounded, sql_pivot, sql_round, sql_stats, table, ts_text
 
 # ---------------------------------------------------------------------------
 # Stand-in bindings (our choice of roles on the driver's tables)
@@ -213,10 +212,12 @@ def q_anthropometrics(spark: SparkSession, sf: str) -> DataFrame:
 def wide_table(spark: SparkSession, sf: str) -> DataFrame:
     """One row per subject: label, indicators, flags, measures, both windows.
 
-    The cohort is made once, in the shared checkpoint folder: label, flags and the
-    line window all read it instead of planning the first-stay aggregate again."""
-    ensure_checkpoint_dir(spark)
-    cohort = first_stays(spark, sf).checkpoint(eager=True)
+    The cohort and every side are stage tables in buckets of their key: made once per state of the source and joined
+    without an exchange.  The stay-keyed side comes first, then the base is laid out by subject."""
+    def lay(name, df, key):
+        return laid_stage(spark, sf, f"wide_{name}", lambda: df, key)
+
+    cohort = lay("cohort", first_stays(spark, sf), "subject_id")
     stays = labelled_stays(spark, sf, cohort)
     cust = table(spark, sf, "customer").select(F.col("c_custkey").alias("subject_id"), "c_mktsegment", "c_acctbal")
     base = attach(stays, cust, "subject_id").select(
@@ -227,7 +228,8 @@ def wide_table(spark: SparkSession, sf: str) -> DataFrame:
         .withColumnRenamed("user_id", "subject_id")
     ev = event_features(spark, sf).withColumnRenamed("user_id", "subject_id")
     line = line_features(spark, sf, cohort)
-    w = wide_join(base, [(flags, "subject_id"), (anthro, "subject_id"), (ev, "subject_id"), (line, "stay_id")])
+    w = laid_wide_join(base, [("line", line, "stay_id"), ("flags", flags, "subject_id"), ("measures", anthro, "subject_id"),
+                              ("events", ev, "subject_id")], lay)
     return w.select(
         "*",
         indicator("o_orderstatus", "F").alias("status_f"),
