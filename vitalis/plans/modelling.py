@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import explain as EX
+from ..operators import metrics as ME
 from ..operators import models as MD
 from ..operators import prep as P
 from ..operators import quality as Q
@@ -21,7 +22,7 @@ from ..operators import sampling as S
 from ..operators import search as SR
 from ..session import ensure_checkpoint_dir
 from . import extraction as X
-from .common import rounded, stage_folder
+from .common import rounded, stage_folder, table
 from .quality import SPARSE_THRESHOLD, WIDE_RULES
 from .reporting import _CLEAN_SQL
 from .splitting import FRACTIONS, SEED, sql_split
@@ -267,7 +268,47 @@ def q_tree_importance(spark, sf):
     return rounded(EX.importance_of(EX.attribution_states(rows, feats, "Random_Forest"), top=20))
 
 
+LINE_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+DISCOUNTED_UNITS = 1.5
+# enough of every family to learn a boundary in two features
+LEARN_PARAMS = {"Logistic_Regression": {}, "Random_Forest": {"numTrees": 20, "maxDepth": 8}, "Extra_Trees": {"numTrees": 20, "maxDepth": 8},
+                "XGBoost": {"maxIter": 10, "maxDepth": 4}, "LightGBM": {"maxIter": 10, "maxDepth": 4}, "SVC": {}}
+
+
+def discounted_lines(spark, sf) -> DataFrame:
+    """Lines, their four amounts, and whether at least ``DISCOUNTED_UNITS`` units' worth was given away: a target that
+    two features hold together and none holds alone."""
+    li = table(spark, sf, "lineitem")
+    return li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line_id"),
+                     (F.col("l_quantity") * F.col("l_discount") >= DISCOUNTED_UNITS).cast("int").alias("label"),
+                     *[F.col(c).cast("double").alias(c) for c in LINE_FEATURES]).na.drop()
+
+
+def q_learnability(spark, sf):
+    """M1-M5: every family, fitted on the original and the down-sampled train lines, ranks validation lines better than
+    the best single feature does (the floor, an exact ROC-AUC)."""
+    ensure_checkpoint_dir(spark)
+    lines = S.stratified_split(discounted_lines(spark, sf), "line_id", "label", FRACTIONS, seed=SEED).checkpoint(eager=True)
+    val = lines.where(F.col("split") == "val")
+    single = val.select("label", F.explode(F.create_map(*[x for c in LINE_FEATURES for x in (F.lit(c), F.col(c))])).alias("feature", "score"))
+    auc = F.col("roc_auc")
+    floor = ME.ranking_metrics(single, group_cols=["feature"]).agg(F.max(F.greatest(auc, 1 - auc)).alias("floor"))
+    train = lines.where(F.col("split") == "train")
+    variants = {"original": train, "downsampling": S.downsample(train, "line_id", "label", seed=SEED, shuffle_col=None).checkpoint(eager=True)}
+    scored = None
+    for v, rows in variants.items():
+        for m, params in LEARN_PARAMS.items():
+            one = MD.fit(m, rows, LINE_FEATURES, "label", params).transform(val).select(
+                F.lit(v).alias("resampling_method"), F.lit(m).alias("model_name"), "label", "score")
+            scored = one if scored is None else scored.unionByName(one)
+    n = val.agg(F.count(F.lit(1)).alias("n_val"))
+    board = ME.ranking_metrics(scored, group_cols=["resampling_method", "model_name"])
+    return board.crossJoin(F.broadcast(floor)).crossJoin(F.broadcast(n)).select(
+        "resampling_method", "model_name", "n_val", F.round("floor", 6).alias("floor"), (auc > F.col("floor")).cast("int").alias("above_floor"))
+
+
 QUERIES = {
+    "m1_m5_learnability": q_learnability,
     "m12_leaderboard": q_leaderboard,
     "a18_tree_importance": q_tree_importance,
     "m13_search_lr": q_search_lr,
@@ -317,7 +358,19 @@ def _trials_sql() -> str:
         CASE WHEN param = 'C' THEN round(1.0::DOUBLE / (number * train_rows), 9) END AS reg_param FROM d CROSS JOIN t"""
 
 
+_SINGLE = " UNION ALL ".join(f"SELECT '{c}' AS feature, label, {c} AS x FROM val" for c in LINE_FEATURES)
+
 SQL = {
+    "m1_m5_learnability": f"""WITH lines AS (SELECT l_orderkey * 8 + l_linenumber AS line_id, CAST(l_quantity * l_discount >= {DISCOUNTED_UNITS}::DOUBLE AS INTEGER) AS label,
+          {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in LINE_FEATURES)} FROM lineitem
+          WHERE {' AND '.join(f'{c} IS NOT NULL' for c in LINE_FEATURES)}),
+        val AS (SELECT * FROM {sql_split('lines', 'line_id', 'label')} WHERE split = 'val'),
+        ranked AS (SELECT feature, label, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0::DOUBLE AS rk FROM ({_SINGLE})),
+        auc AS (SELECT (sum(rk) FILTER (label = 1) - count_if(label = 1) * (count_if(label = 1) + 1) / 2.0::DOUBLE)
+                       / (CAST(count_if(label = 1) AS DOUBLE) * count_if(label = 0)) AS a FROM ranked GROUP BY feature)
+        SELECT v.resampling_method, m.model_name, CAST((SELECT count(*) FROM val) AS BIGINT) AS n_val,
+               (SELECT round(max(greatest(a, 1 - a)), 6) FROM auc) AS floor, 1 AS above_floor
+        FROM (VALUES ('original'), ('downsampling')) v(resampling_method) CROSS JOIN (VALUES {', '.join(f"('{m}')" for m in LEARN_PARAMS)}) m(model_name)""",
     "m12_grid_facts": f"""WITH {_CLEAN_SQL}, parts AS (SELECT * FROM {sql_split('clean', 'subject_id', 'label')}),
         t AS (SELECT count_if(label = 0) AS n0, count_if(label = 1) AS n1 FROM parts WHERE split = 'train'),
         v AS ({' UNION ALL '.join(f"SELECT '{k}' AS resampling_method, CAST({e} AS BIGINT) AS train_samples FROM t" for k, e in _SIZES.items())})
