@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 import uuid
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -295,12 +297,14 @@ def q_learnability(spark, sf):
     floor = ME.ranking_metrics(single, group_cols=["feature"]).agg(F.max(F.greatest(auc, 1 - auc)).alias("floor"))
     train = lines.where(F.col("split") == "train")
     variants = {"original": train, "downsampling": S.downsample(train, "line_id", "label", seed=SEED, shuffle_col=None).checkpoint(eager=True)}
-    scored = None
-    for v, rows in variants.items():
-        for m, params in LEARN_PARAMS.items():
-            one = MD.fit(m, rows, LINE_FEATURES, "label", params).transform(val).select(
-                F.lit(v).alias("resampling_method"), F.lit(m).alias("model_name"), "label", "score")
-            scored = one if scored is None else scored.unionByName(one)
+
+    def one(job):
+        v, m = job
+        return MD.in_pool(spark, f"{v}-{m}", None, lambda: MD.fit(m, variants[v], LINE_FEATURES, "label", LEARN_PARAMS[m]).transform(val).select(
+            F.lit(v).alias("resampling_method"), F.lit(m).alias("model_name"), "label", "score"))
+
+    with ThreadPoolExecutor(max_workers=6) as pool:
+        scored = reduce(DataFrame.unionByName, pool.map(one, [(v, m) for v in variants for m in LEARN_PARAMS]))
     n = val.agg(F.count(F.lit(1)).alias("n_val"))
     board = ME.ranking_metrics(scored, group_cols=["resampling_method", "model_name"])
     return board.crossJoin(F.broadcast(floor)).crossJoin(F.broadcast(n)).select(
