@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -193,3 +194,12 @@ def test_pipeline_equals_brute_force(spark):
         text += clean[k][last:]
         got = [x for r in sorted(pieces, key=lambda r: r["start"]) for x in np.frombuffer(r["ids"], "<u4").tolist()]
         assert got == [*whole_ids(text), 1]
+
+
+def test_deeply_nested_pages_take_linear_time():
+    n = 40_000
+    start = time.process_time()
+    assert pages.blocks("<b>" + "<div>" * n + "</b>" * n + "deep") == (False, [], ["deep"])
+    assert pages.blocks("<div>" * n + "<b></b>" * n + "deep" + "</div>" * n) == (False, [], ["deep"])
+    assert pages.blocks("<article>" + "<div>" * n + "<script></script>x</i>" * n)[1] == ["x" * n]
+    assert time.process_time() - start < 5
