@@ -201,5 +201,5 @@ def test_deeply_nested_pages_take_linear_time():
     start = time.process_time()
     assert pages.blocks("<b>" + "<div>" * n + "</b>" * n + "deep") == (False, [], ["deep"])
     assert pages.blocks("<div>" * n + "<b></b>" * n + "deep" + "</div>" * n) == (False, [], ["deep"])
-    assert pages.blocks("<article>" + "<div>" * n + "<script></script>x</i>" * n)[1] == ["x" * n]
+    assert pages.blocks("<article>" + "<div>" * n + "<script></script>x</i>" * n)[1] == ["x"] * n
     assert time.process_time() - start < 5
