@@ -137,8 +137,52 @@ def test_packer_takes_the_level_of_least_squares():
             best[level] = (int((m ** 2).sum()), -level)
         level = packer.level_for(size)
         assert best[level] == min(best.values())
-        packer.place((0, 0, size, np.zeros(size, "<u4")))
+        list(packer.place((0, 0, size, np.zeros(size, "<u4"))))
     assert (packer.count[1:16] == [len(packer.open.get(h, [])) for h in range(1, 16)]).all()
+    assert packer.n_open == packer.count.sum()
+
+
+def test_packer_closes_windows_by_least_squares():
+    draw, packer = random.Random(5), packing.Packer(16, 0)
+    for _ in range(2000):
+        packer.count[1:16] = [draw.choice([0, 0, 1, 2, 5, 9]) for _ in range(15)]
+        if not packer.count.any():
+            continue
+        size, best = draw.randrange(1, 16), {}
+        for level in np.flatnonzero(packer.count).tolist():
+            m = packer.count.copy()
+            m[level] -= 1
+            if level + size < 16:
+                m[level + size] += 1
+            best[level] = (int((m ** 2).sum()), -level)
+        level = packer.level_to_close(size)
+        assert best[level] == min(best.values())
+
+
+@pytest.mark.parametrize("sizes", ["any", "over half"])
+def test_packer_places_all_but_one_window_by_the_rule(sizes):
+    window, most = 64, 12
+    draw, packer = random.Random(6), packing.Packer(window, 0, most)
+    docs, whole = {}, []
+    for doc in range(700):
+        n = draw.randrange(1, 150) if sizes == "any" else draw.randrange(33, 40)
+        docs[doc] = ids = np.arange(n, dtype="<u4") + 1000 * doc
+        for at in range(0, n, window):
+            whole += packer.place((doc, at, n, ids[at:at + window]))
+            assert packer.n_open <= most      # few open windows, also for pieces of which no two fit together
+    n_rule, rest = len(whole), list(packer.rest())
+    assert all(sum(len(p[-1]) for p in w) == window for w in whole)
+    tail = [sum(len(p[-1]) for p in w) for w in rest]
+    odd = [n for n in tail if n < window]
+    assert all(n & (n - 1) == 0 for n in tail) and sum(odd) < window and len(odd) == len(set(odd))
+    assert packer.n_open == 0 and not packer.count.any() and n_rule > 100
+    back = defaultdict(list)
+    for pieces in [*whole, *rest]:
+        for doc, start, total, ids in pieces:
+            assert total == len(docs[doc]) and ids.tolist() == docs[doc][start:start + len(ids)].tolist() and len(ids)
+            back[doc] += ids.tolist()
+    assert {d: sorted(x) for d, x in back.items()} == {d: x.tolist() for d, x in docs.items()}
+    assert not list(packing.Packer(window, 0).rest())
 
 
 def test_json_codec_equals_the_tokenizers_library():

@@ -4,10 +4,12 @@ Each task packs the documents of its partition as they come.  Whole windows of a
 are sequences of their own; the rest, of ``s`` tokens, goes to the fill level ``h`` (0: a new
 window) that makes the sum over levels of N(level)^2 least, where N counts partially filled
 windows and full windows count for nothing.  N is the level array; ties take the fullest level.
-What is still open when the partition ends is dealt again: its tokens are laid end to end, cut
-into full windows, and the last rest into sequences of power-of-two lengths, which need no
-padding.  So no sequence is padded at all, at the price of a few more cuts for each partition.
-Open windows bound the memory, not the partition.
+As cuts are free, windows are closed by the same rule: the tokens of the emptiest open window go to the
+level that makes the sum least once the window there has taken what it has room for, and what is left
+goes to the next level so chosen.  Each such placement closes a window or empties one, which happens
+whenever more than ``MOST_OPEN`` are open, so that open windows are bounded whatever the documents'
+lengths, and at the partition's end until one is left.  Only that last window, less than one for each
+partition, is laid out without the rule, in sequences of power-of-two lengths, which need no padding.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from pyspark.sql import types as T
 
 from . import bpe, common
 
+MOST_OPEN = 1024      # windows a task holds open: 8 MB of ids at 2048 tokens each
+
 _CODECS: dict[tuple[str, str], object] = {}
 
 FIELDS = [("start", T.LongType()), ("length", T.LongType()), ("doc_tokens", T.LongType()),
@@ -92,12 +96,25 @@ def json_codec(path: str, pattern: str) -> JsonCodec:
     return _CODECS[path, pattern]
 
 
+def _cut(pieces: list, size: int) -> list:
+    """``size`` tokens off the end of a reversed list of pieces."""
+    out = []
+    while size:
+        row, start, total, ids = pieces.pop()
+        out.append((row, start, total, ids[:size]))
+        if len(ids) > size:
+            pieces.append((row, start + size, total, ids[size:]))
+        size -= len(out[-1][-1])
+    return out
+
+
 class Packer:
     """The level array and the open windows of one partition."""
 
-    def __init__(self, window: int, first_id: int):
-        self.window, self.next_id = window, first_id
+    def __init__(self, window: int, first_id: int, most_open: int = MOST_OPEN):
+        self.window, self.next_id, self.most_open = window, first_id, most_open
         self.count = np.zeros(window + 1, dtype=np.int64)   # N(h); N(0) and N(window) stay 0
+        self.n_open = 0
         self.open: dict[int, list[list]] = {}
 
     def level_for(self, size: int) -> int:
@@ -115,42 +132,64 @@ class Packer:
                 return int(levels[i])
         return 0
 
-    def place(self, piece: tuple) -> list | None:
-        """Put one piece (its ids last) into a window; returns the window when it is full."""
+    def level_to_close(self, size: int) -> int:
+        """The level whose window takes what it has room for of ``size`` tokens that may be cut."""
+        levels = np.flatnonzero(self.count)
+        n, after = self.count[levels], np.minimum(levels + size, self.window)
+        change = np.where(after == self.window, 1 - 2 * n, 2 - 2 * n + 2 * self.count[after])
+        return int(levels[len(levels) - 1 - int(np.argmin(change[::-1]))])
+
+    def _take(self, level: int) -> list:
+        self.count[level] -= 1
+        self.n_open -= 1
+        return self.open[level].pop()
+
+    def _keep(self, level: int, pieces: list) -> None:
+        self.count[level] += 1
+        self.n_open += 1
+        self.open.setdefault(level, []).append(pieces)
+
+    def place(self, piece: tuple) -> Iterator[list]:
+        """Put one piece (its ids last) into a window; yields the windows that are full after it."""
         size = len(piece[-1])
         if size == self.window:
-            return [piece]
+            yield [piece]
+            return
         level = self.level_for(size)
-        pieces = []
-        if level:
-            self.count[level] -= 1
-            pieces = self.open[level].pop()
-        pieces.append(piece)
+        pieces = [*(self._take(level) if level else []), piece]
         if level + size == self.window:
-            return pieces
-        self.count[level + size] += 1
-        self.open.setdefault(level + size, []).append(pieces)
-        return None
+            yield pieces
+        else:
+            self._keep(level + size, pieces)
+        while self.n_open > self.most_open:
+            yield from self.close()
+
+    def close(self) -> Iterator[list]:
+        """Deal the tokens of the emptiest window to others by the rule; yields those that become full."""
+        left = int(np.flatnonzero(self.count)[0])
+        pieces = self._take(left)[::-1]
+        while left and self.n_open:
+            level = self.level_to_close(left)
+            moved = min(left, self.window - level)
+            target = self._take(level) + _cut(pieces, moved)
+            left -= moved
+            if level + moved == self.window:
+                yield target
+            else:
+                self._keep(level + moved, target)
+        if left:
+            self._keep(left, pieces[::-1])
 
     def rest(self) -> Iterator[list]:
-        """The open windows dealt again without padding: full windows, then powers of two."""
-        pieces = [p for level in sorted(self.open, reverse=True) for w in self.open[level] for p in w]
-        left = sum(len(p[-1]) for p in pieces)
-        self.open, self.count[:] = {}, 0
-        room, out = 0, []
-        for row, start, total, ids in pieces:
-            at = 0
-            while at < len(ids):
-                if not room:
-                    if out:
-                        yield out
-                    out, room = [], self.window if left >= self.window else 1 << (left.bit_length() - 1)
-                    left -= room
-                n = min(room, len(ids) - at)
-                out.append((row, start + at, total, ids[at:at + n]))
-                at, room = at + n, room - n
-        if out:
-            yield out
+        """The open windows closed until one is left, and that one in sequences of power-of-two lengths."""
+        while self.n_open > 1:
+            yield from self.close()
+        left = int(np.flatnonzero(self.count)[0]) if self.n_open else 0
+        pieces = self._take(left)[::-1] if left else []
+        while left:
+            size = 1 << (left.bit_length() - 1)
+            left -= size
+            yield _cut(pieces, size)
 
 
 def pack(df: DataFrame, path: str, pattern: str, end_id: int = 1, window: int = 2048, key: str = "doc_id",
@@ -193,7 +232,7 @@ def pack(df: DataFrame, path: str, pattern: str, end_id: int = 1, window: int =
                 for at in range(0, len(ids), window):
                     piece = ids[at:at + window]
                     piece = piece if len(piece) == window else piece.copy()   # an open window must not hold the whole document
-                    if (full := packer.place((doc, at, len(ids), piece))) is not None:
+                    for full in packer.place((doc, at, len(ids), piece)):
                         emit(full)
                 if len(cols[0]) >= 2000:
                     yield flush()
