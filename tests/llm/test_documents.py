@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -255,10 +256,71 @@ def test_toxicity_decodes_every_disguise(toxic_model):
     seen = toxicity.Evidence(toxic_model["shares"], lm, known)
     strong = {w: seen[w] for w in ("idiot", "moron", "stupid")}
     for text, plain in (("you are a m o r o n", "moron"), ("such a s t u p i d", "stupid"), ("s t u p i d m o r o n", "moron"), ("an idio7", "idiot"),
-                        ("stuupiid", "stupid"), ("id.iot", "idiot"), ("m-oron!", "moron"), ("you.moron", "moron"), ("m o r o n n o r", "moron")):
+                        ("stuupiid", "stupid"), ("id.iot", "idiot"), ("m-oron!", "moron"), ("you.moron", "moron"), ("m o r o n n o r", "moron"),
+                        ("i  d  i  o  t", "idiot"), ("i d ! o t", "idiot"), ("i / d / i / o / t", "idiot"), ("you $ t u p i d", "stupid"), ("m, o, r, o, n", "moron"),
+                        ("i d * o t", "idiot"), ("m\n\no\n\nr\n\no\n\nn", "moron"), ("(m o r o n!)", "moron"), ("i d i o t!!", "idiot"), ("i*d*i*o*t", "idiot"), ("! d 1 0 7", "idiot")):
         assert max(seen[w] for w in toxicity._words(text))[0] >= strong[plain][0] > 0, text
 
 
+def test_spaced_words_take_lone_letters_only():
+    for text, want in (("i d i o t", ["idiot"]), ("an i_d_i_o_t!", ["idiot"]), ("an i_d_i_o_t.", ["idiot"]), ("a b", []), ("the cat sat", []), ("x y zed", []),
+                       ("x y z zed", ["xyz"]), ("", []), ("@ s s h", ["@ssh"]), ("a  b -- c", ["abc"]), ("ab c d e f gh", ["cdef"]), (" * ".join("abc"), ["a*b*c"])):
+        assert toxicity.spaced_words(text) == want, text
+    draw = random.Random(3)
+    for _ in range(3000):
+        text = "".join(draw.choice("abé1!@*_ -/\n") for _ in range(draw.randrange(24)))
+        alone, runs, run = lambda c: c.isalnum() or c in "!@", [], []
+        parts = re.findall(r"[^*_ \-/\n]+|[*_ \-/\n]+", " " + text)
+        for part in [*parts, "ab"]:
+            if alone(part[0]) and len(part) > 1:
+                run += part[0] if not part[1].isalnum() else ""
+                runs += ["".join(run)] if sum(map(alone, run)) >= 3 else []
+                run = []
+            else:
+                run += [c for c in part if alone(c) or c == "*"]
+        got = toxicity.spaced_words(text)
+        assert [x.strip("*") for x in got] == [x.strip("*") for x in runs], text
+    start = time.time()
+    for text in (" " * 300_000, "*" * 300_000, "a " * 150_000, "a" * 300_000, " a  b" * 60_000 + "x", "! " * 150_000):
+        toxicity.spaced_words(text)
+    assert time.time() - start < 5
+
+
+def test_decoding_equals_enumeration_of_the_lattice(toxic_model):
+    lm, draw = toxic_model["lm"], random.Random(12)
+
+    def said(word, ends):
+        """Every (text, log probability) that a lattice allows, with the end of each word."""
+        paths = [("", "^", 0.0)]
+        for ways, may_end in ends:
+            if may_end:
+                paths += [(t + " ", "^", v + toxicity._logp(lm, c, "$")) for t, c, v in paths if c != "^"]
+            after = []
+            for t, c, v in paths:
+                for x, cost in ways:
+                    w, d = v + cost, c
+                    for y in x:
+                        w += toxicity._logp(lm, d, y)
+                        d = (d + y)[-3:]
+                    after.append((t + x, d, w))
+            paths = after
+        return [(t, v + toxicity._logp(lm, c, "$") * (c != "^" or not word)) for t, c, v in paths]
+
+    for _ in range(150):
+        w = list(draw.choice(["idiot", "moron", "scum", "it"])[:5])
+        for _ in range(draw.randrange(1, 3)):
+            i = draw.randrange(len(w))
+            w[i] = draw.choice([w[i] * 2, w[i] + ".", draw.choice("01345$@!"), w[i]])
+        word = "".join(w)
+        whole = [(t, v) for t, v in said("", [(x, False) for x in toxicity.lattice(word)])]
+        best = max(v for _, v in whole)
+        assert max(v for t, v in whole if t == toxicity.decode(word, lm)) == pytest.approx(best), word
+        for spaced in (False, True):
+            parts = said(word, list(toxicity.steps(word, spaced)))
+            best = max(v for _, v in parts)
+            assert max((v for t, v in parts if t.split() == toxicity.segment(word, lm, spaced)), default=None) == pytest.approx(best), (word, spaced)
+
+
 def test_toxicity_gate_of_evidence_loses_nothing(toxic_model):
     lm, draw = toxic_model["lm"], random.Random(8)
     seen, found = toxicity.Evidence(toxic_model["shares"], lm, toxic_model["known"]), 0
