@@ -1,12 +1,15 @@
 """Operator 5: personal data by bootstrapped contextual extraction.
 
-Seeds are the entities of four base patterns (email, ip, card, phone).  Every seed and every other
-identifier-like token (at least ``SHORTEST`` characters, with a digit) is an instance that stands in
-lexical patterns: the word before, the word after, the two words before, the words around, and the four
-letters it begins with, if any.  Spark scores the graph of patterns and instances in rounds:
+Seeds are the entities of four base patterns (email, ip, card, phone) and secrets in plain sight: runs of
+``SECRET`` or more hexadecimal digits with a letter and a digit among them, which are spans of kind ``id``.
+Every seed and every other identifier-like token (at least ``SHORTEST`` characters, with a digit) is an
+instance that stands in lexical patterns: the word before, the word after, the two words before, the words
+around (words of signs alone are passed over), and the four letters it begins with, if any.  Spark scores the graph of patterns and instances in rounds:
     pattern  = sum of its instances' scores / (instances + SMOOTH), 0 below LEAST seeds
     instance = 1 - product over its patterns of (1 - score), 1 for seeds
-both over distinct surface forms, so copies of a document count once.  Instances that reach
+both over distinct surface forms, so copies of a document count once.  What has the form of a card (13 to
+19 digits, in one run or in fours) or an ip and fails its check is evidence against the patterns that it stands in: it counts
+among their instances, scores 0 in every round and is never found.  Instances that reach
 ``ACCEPT`` through high-confidence patterns are seeds of the next round, so that what they share leads to
 others until scores settle, and in the end spans of kind ``id``; base spans stay as they are.
 """
@@ -25,6 +28,7 @@ from . import common
 
 KINDS = ("email", "ip", "card", "phone", "id")
 SHORTEST = 6
+SECRET = 32
 SMOOTH = 5.0
 LEAST = 5
 ACCEPT = 0.8
@@ -42,7 +46,11 @@ _NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
 _WORD = re.compile(r"\S+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
-Span = tuple[int, int, int]     # place in KINDS, start, end
+_HEX = re.compile(rf"(?<![0-9A-Za-z])[0-9A-Fa-f]{{{SECRET},}}(?![0-9A-Za-z])")
+REFUTED = len(KINDS)            # the kind of what has a base form and fails its check
+PLAIN = REFUTED + 1             # the kind of secrets in plain sight
+
+Span = tuple[int, int, int]     # place in KINDS (or REFUTED, PLAIN), start, end
 
 
 def luhn(digits: str) -> bool:
@@ -55,7 +63,13 @@ def luhn(digits: str) -> bool:
 
 def base_spans(text: str) -> list[Span]:
     """Spans of the four base patterns, leftmost non-overlapping within each kind."""
+    return [x for x in formed_spans(text) if x[0] < REFUTED]
+
+
+def formed_spans(text: str) -> list[Span]:
+    """The base spans; outside them, PLAIN secrets and as REFUTED the matches of ip and card that fail their check."""
     out: list[Span] = []
+    more: list[Span] = []
     last, at = 0, text.find("@")
     while at >= 0:
         start = at
@@ -69,14 +83,33 @@ def base_spans(text: str) -> list[Span]:
     for m in _IP.finditer(text):
         if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split(".")):
             out.append((1, *m.span()))
+        else:
+            more.append((REFUTED, *m.span()))
     for m in _CARD.finditer(text):
         digits = m.group().replace(" ", "").replace("-", "")
-        if 13 <= len(digits) <= 19 and luhn(digits):
-            out.append((2, *m.span()))
+        if 13 <= len(digits) <= 19:
+            if luhn(digits):
+                out.append((2, *m.span()))
+            elif all(len(g) == 4 for g in re.split("[ -]", m.group())[:-1]):     # not several numbers side by side
+                more.append((REFUTED, *m.span()))
     if "+" in text:
         for m in _PHONE.finditer(text):
             if 9 <= sum(c.isdigit() for c in m.group()) <= 15:
                 out.append((3, *m.span()))
+    for m in _HEX.finditer(text):
+        if not m.group().isdigit() and not m.group().isalpha():
+            more.append((PLAIN, *m.span()))
+    if more:
+        busy = sorted((s, e) for _, s, e in out)
+        last = i = 0
+        for k, s, e in sorted(more, key=lambda x: x[1:]):
+            # a part of a longer name ('part-4111111111111112x') is no number of its own
+            whole = (s == 0 or not text[s - 1].isalnum()) and (e == len(text) or not text[e].isalnum())
+            while i < len(busy) and busy[i][1] <= s:
+                i += 1
+            if whole and s >= last and not (i < len(busy) and busy[i][0] < e):
+                out.append((k, s, e))
+                last = e
     return out
 
 
@@ -104,7 +137,11 @@ _DIGIT = re.compile(r"[0-9]")
 
 
 def contexts(text: str, start: int, end: int) -> list[str]:
-    """The lexical patterns around a span; words in lower case without edge signs, digits as 0."""
+    """The lexical patterns around a span; words in lower case without edge signs, digits as 0.
+
+    A word counts by the 64 characters nearest to the span, and no word is looked for beyond a longer one: pieces of
+    one long run without blanks would else repeat it for each span in it.
+    """
     def clean(w: str) -> str:
         return _DIGIT.sub("0", w.lower().strip(".,;:!?()[]\"'&$#%*")) or "-"
 
@@ -119,11 +156,12 @@ def contexts(text: str, start: int, end: int) -> list[str]:
             at -= 1
         if at == stop:
             break
-        left.append(clean(text[at:stop]))
+        if any(c.isalnum() for c in text[at:stop]):
+            left.append(clean(text[at:stop]))
         if at > 0 and not text[at - 1].isspace():
             break
     m = _WORD.search(text, end)
-    while m and m.start() == end and not any(c.isalnum() for c in m.group()[:64]):
+    while m and not any(c.isalnum() for c in m.group()[:64]):
         m = _WORD.search(text, m.end())
     right = clean(m.group()[:64]) if m else "<end>"
     one = left[0] if left else "<start>"
@@ -138,13 +176,13 @@ _ARROW_ITEM = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa
 
 
 def extract(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``items``: base spans and other identifier-like tokens of each text, with their lexical patterns."""
+    """Add ``items``: base spans, refuted ones and other identifier-like tokens of each text, with their lexical patterns."""
     def fn(batch: pa.RecordBatch) -> list[pa.Array]:
         rows = []
         for t in common.texts(batch, text):
-            base = base_spans(t)
+            formed = formed_spans(t)
             rows.append([{"kind": k, "start": s, "end": e, "surface": t[s:e], "patterns": contexts(t, s, e)}
-                         for k, s, e in [*base, *((4, s, e) for s, e in other_tokens(t, base))]])
+                         for k, s, e in [*formed, *((4, s, e) for s, e in other_tokens(t, formed))]])
         return [pa.array(rows, pa.list_(_ARROW_ITEM))]
 
     return common.add_columns(df, [T.StructField("items", T.ArrayType(_ITEM))], fn, text)
@@ -153,18 +191,18 @@ def extract(df: DataFrame, text: str = "text") -> DataFrame:
 def bootstrap(items: DataFrame, scratch: common.Scratch, most_rounds: int = MOST_ROUNDS) -> DataFrame:
     """Accepted surfaces (a column ``surface``) from rows (kind, surface, patterns).
 
-    Scores never fall, so rounds go on until one accepts no new surface and scores have settled; raises if
+    Refuted instances score 0 and are not accepted.  Scores never fall, so rounds go on until one accepts no new surface and scores have settled; raises if
     ``most_rounds`` do not get there.
     """
-    edges = items.select("surface", (F.col("kind") < 4).alias("seed"), F.explode("patterns").alias("p"))
-    edges = scratch.keep(edges.groupBy("p", "surface").agg(F.max("seed").alias("seed")))
+    edges = items.select("surface", ((F.col("kind") < 4) | (F.col("kind") == PLAIN)).alias("seed"), (F.col("kind") == REFUTED).alias("refuted"), F.explode("patterns").alias("p"))
+    edges = scratch.keep(edges.groupBy("p", "surface").agg(F.max("seed").alias("seed"), F.max("refuted").alias("refuted")))
     now = edges.select("p", "surface", "seed", F.col("seed").cast("double").alias("s"))
     scored, mark = None, (0, 0.0)
     for _ in range(most_rounds):
         pattern = now.groupBy("p").agg(F.sum("s").alias("s"), F.count("*").alias("n"), F.sum(F.col("seed").cast("long")).alias("seeds"))
         pattern = pattern.where(F.col("seeds") >= LEAST).select("p", (F.col("s") / (F.col("n") + SMOOTH)).alias("w"))
         # a seed scores 1 whatever its patterns; only other instances need the patterns' scores
-        free = edges.where("not seed").join(pattern, "p").groupBy("surface").agg(F.sum(F.log1p(-F.least("w", F.lit(0.999999)))).alias("g"))
+        free = edges.where("not seed and not refuted").join(pattern, "p").groupBy("surface").agg(F.sum(F.log1p(-F.least("w", F.lit(0.999999)))).alias("g"))
         old, scored = scored, scratch.keep(free.select("surface", (1 - F.exp("g")).alias("x")))
         if old is not None:
             scratch.drop(old)
@@ -187,7 +225,9 @@ def _found(df: DataFrame, text: str, scratch: common.Scratch, extra: list[str])
     items = rows.select("_row", F.explode("items").alias("x")).select("_row", "x.*")
     good = bootstrap(items, scratch)
     spans = items.where("kind = 4").join(good, "surface", "left_semi").groupBy("_row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("found"))
-    return rows.join(spans.hint("merge"), "_row", "left")      # alike at every size: the texts are dealt by row
+    plain = F.transform(F.filter("items", lambda x: x["kind"] == PLAIN), lambda x: F.struct(F.lit(4).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    rows = rows.join(spans.hint("merge"), "_row", "left")      # alike at every size: the texts are dealt by row
+    return rows.withColumn("found", F.concat(F.coalesce("found", _none()), plain))
 
 
 def _none() -> Column:
@@ -210,7 +250,7 @@ def find(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     rows = _found(df.select(F.col(key).alias("key"), F.col(text).alias("text")), "text", scratch, ["key"])
     slim = lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))
     base = F.transform(F.filter("items", lambda x: x["kind"] < 4), slim)
-    found = F.coalesce(F.col("found"), _none())
+    found = F.col("found")
     out = rows.select(F.col("key").alias(key), base.alias("b"), found.alias("f"))
     count = lambda k: F.size(F.filter("b", lambda x: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
     return out.select(key, _joined(F.col("b")).alias("base"), _joined(F.concat("b", "f")).alias("spans"), *[count(k) for k in range(4)],
@@ -229,7 +269,7 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
     rows = _found(plain, t, scratch, [f"c{i}" for i in range(len(names))])
     slim = lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))
     base = F.transform(F.filter("items", lambda x: x["kind"] < 4), slim)
-    rows = rows.select(*plain.columns, F.concat(base, F.coalesce(F.col("found"), _none())).alias("s"))
+    rows = rows.select(*plain.columns, F.concat(base, F.col("found")).alias("s"))
     at = plain.columns.index(t)
     schema = plain.schema
 
