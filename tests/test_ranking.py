@@ -118,3 +118,25 @@ def test_smote_by_projection(spark):
     assert {(r["y"], r["synthetic"]): r["count"] for r in out.groupBy("y", "synthetic").count().collect()} == {(1, 0): 30, (0, 0): 90, (1, 1): 60}
     with pytest.raises(KeyError):
         smote_union(df, "id", "y", ["a"], neighbours="other")
+
+
+def test_exact_knn_deals_a_large_block_into_tiles(spark, monkeypatch):
+    """A block of many equal and near points takes several tasks and keeps exact distances, ties by id."""
+    monkeypatch.setattr(N, "TILE", 16)
+    rng = np.random.default_rng(8)
+    pts = np.concatenate([np.repeat([[1.0, 2.0, 3.0]], 70, axis=0), rng.normal(1, 1e-3, (60, 3)), rng.normal(0, 5, (30, 3))])
+    df = spark.createDataFrame([(int(i), [float(v) for v in p]) for i, p in enumerate(pts)], "id long, x array<double>")
+    blocks = df.select("id", "x", F.lit(0).alias("block"))
+    tiles = N._inside(blocks.select(F.col("id").alias("q_id"), F.col("x").alias("qx"), "block"), blocks, 4)
+    exact = sorted((r["q_id"], r["c_id"], r["rank"], r["dist"]) for r in N.exact_knn(df, 4).collect())
+    want, inside = [], []
+    for i, p in enumerate(pts):
+        d = [sum((float(a) - float(b)) ** 2 for a, b in zip(p, o)) for o in pts]
+        best = sorted((x, j) for j, x in enumerate(d) if j != i)[:4]
+        want += [(i, j, rank, x ** 0.5) for rank, (x, j) in enumerate(best, 1)]
+        inside += [(i, j) for _, j in best]
+    assert [(q, c) for q, c, _, _ in sorted(exact, key=lambda r: (r[0], r[2]))] == inside
+    assert sorted((q, r) for q, _, r, _ in exact) == sorted((q, r) for q, _, r, _ in want)
+    assert all(abs(a[3] - b[3]) < 1e-12 for a, b in zip(sorted(exact, key=lambda r: (r[0], r[2])), want))
+    assert sorted((r["q_id"], r["c_id"]) for r in tiles.collect()) == sorted(inside)
+    assert N.exact_knn(df.limit(1), 4).collect() == [] and N.exact_knn(df.limit(0), 4).collect() == []
