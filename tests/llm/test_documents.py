@@ -353,6 +353,27 @@ def test_toxicity_learns_from_nothing(none, docs, spark):
         assert all(r["score"] < 0.3 for r in toxicity.score(docs, toxicity.learn(d, labels)).collect())
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    n = 30_000
+    rare = {i: f"vile{'abcde'[i % 5]}" for i in range(0, n, 3001)}       # two documents for each of five words that share a stem
+    rows = [(i, rare.get(i, "some plain words"), int(i in rare)) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    model = toxicity.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    held = spark.createDataFrame([(i,) for i in range(n)], "k long").where("pmod(xxhash64(cast(k as string), 'calibration'), 4) = 0")
+    kept = {r["k"] for r in held.collect()}
+    steps = dict(model["steps"])
+    # the weakest step counts every calibration row without evidence: with one more document it is that share exactly
+    none = [i for i in kept if i not in rare or not any(f in model["shares"] for f in toxicity.features(rare[i]))]
+    prior = sum(i not in kept for i in rare) / (n - len(kept))
+    assert abs(steps[0.0] - (sum(i in rare for i in none) + prior) / (len(none) + 1)) < 1e-12
+
+
+def test_isotonic_counts_documents():
+    points = [(0.0, 0, 1.0)] * 40 + [(0.0, 1, 1.0)] * 2 + [(0.5, 1, 1.0)] * 7 + [(0.5, 0, 1.0)] * 3
+    counted = [(0.0, 0, 40.0, 40), (0.0, 1, 2.0, 2), (0.5, 1, 7.0, 7), (0.5, 0, 3.0, 3)]
+    assert toxicity.isotonic(points, 0.2) == toxicity.isotonic(counted, 0.2)
+
+
 def test_isotonic_steps_rise():
     draw = random.Random(2)
     steps = toxicity.isotonic([(x := draw.random(), int(draw.random() < x), 1.0) for _ in range(300)], 0.5)

@@ -15,7 +15,7 @@ the first 4, 5 or 6 letters that at least ``KINDS`` toxic words share (a stem wi
 strongest evidence is then calibrated: among many words some look toxic by chance, so a quarter of the
 labelled rows teaches no evidence but what share of documents is toxic for evidence of each strength
 (isotonic, smoothed by the overall share).
-Learning uses a bounded sample of labelled rows (``MOST`` for each label), scoring every row whole.
+Every labelled row teaches, and every row is scored whole.
 """
 
 from __future__ import annotations
@@ -33,11 +33,11 @@ from pyspark.sql import types as T
 
 from . import common
 
-MOST = 12_000          # labelled documents of each label that are learned from
 Z = 2.0                # standard deviations below the observed share
 KINDS = 4              # distinct words of toxic documents that a stem needs
 LEAST = 5              # toxic documents that evidence must occur in
 THRESHOLD = 0.3
+SPELLED = 2_400        # the character model's words occur in one of so many documents that teach evidence, and in 10
 WORDS_KEPT = 400_000   # words whose evidence a worker remembers before it starts anew
 
 # Letters that signs are used for.
@@ -263,18 +263,16 @@ class Evidence(dict):
         return out
 
 
-def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MOST) -> dict:
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> dict:
     """Evidence shares, the character model and the share of toxic documents without evidence.
 
-    From at most about ``most`` rows of each label, picked by a hash of the key; rows with a null key, text
-    or label teach nothing.  The sample bounds all that reaches the driver.
+    From every labelled row; rows with a null key, text or label teach nothing.  What reaches the driver are words
+    with evidence, words that are as frequent as ``SPELLED`` says (a share of the documents, so that their number
+    does not grow with them), and the documents counted by the strength of their evidence.
     """
     known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y in (0, 1)")
-    sizes = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
-    part = {y: min(1.0, most / max(1, sizes.get(y, 0))) for y in (0, 1)}
-    cut = F.when(F.col("y") == 1, F.lit(int(part[1] * 1_000_000))).otherwise(F.lit(int(part[0] * 1_000_000)))
-    sample = known.where(F.pmod(F.xxhash64(F.col("k").cast("string"), F.lit("sample")), F.lit(1_000_000)) < cut)
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null").join(F.broadcast(sample), "k")
+    # labels grow with the documents, so they are not broadcast at any size
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null").join(known.hint("merge"), "k")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: list[Counter] = [Counter(), Counter()]
@@ -303,42 +301,44 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     counts = scratch.keep(counts)
     total = counts.where("f = ''").first()
     n0, n1 = (total["clean"], total["toxic"]) if total else (0, 0)
-    prior = (n1 / part[1]) / max(1e-9, n1 / part[1] + n0 / part[0]) if n1 else 0.0
+    prior = n1 / (n1 + n0) if n1 else 0.0
     words, stems = counts.where("f <> '' and not endswith(f, '~')"), counts.where("endswith(f, '~')")
     kinds = words.where("toxic > clean").withColumn("k", F.explode(F.array(*[F.lit(k) for k in (4, 5, 6)]))).where("char_length(f) > k").select(F.concat(F.expr("left(f, k)"), F.lit("~")).alias("f"))
     stems = stems.join(kinds.groupBy("f").agg(F.count("*").alias("kinds")).where(f"kinds >= {KINDS}"), "f", "left_semi")
     both = words.select("f", "clean", "toxic").unionByName(stems.select("f", "clean", "toxic")).where(f"toxic >= {LEAST}")
-    # the classes are sampled apart: the share is that of all labelled rows, its bound that of the rows seen
-    rate = F.col("toxic") / part[1] / (F.col("toxic") / part[1] + F.col("clean") / part[0])
     m = F.col("toxic") + F.col("clean")
+    rate = F.col("toxic") / m
     bound = (rate + Z * Z / (2 * m) - Z * F.sqrt(rate * (1 - rate) / m + Z * Z / (4 * m * m))) / (1 + Z * Z / m)
     strong = both.withColumn("share", bound).where(F.col("share") > max(0.2, 1.5 * prior))
     shares = {r["f"]: r["share"] for r in strong.select("f", "share").toLocalIterator()}
     # the character model: frequent plain words by the number of documents they occur in, toxic evidence in full
-    plain = words.where("clean + toxic >= 10").select("f", (F.col("clean") + F.col("toxic")).alias("n"))
+    plain = words.where(f"clean + toxic >= {max(10, (n0 + n1) / SPELLED)}").select("f", (F.col("clean") + F.col("toxic")).alias("n"))
     spelled = {r["f"]: r["n"] for r in plain.toLocalIterator()}
     weight = max(spelled.values(), default=1) // 20
     for w, s in shares.items():
         if not w.endswith("~") and s > 0.5:
             spelled[w] = spelled.get(w, 0) + weight
     model = {"shares": shares, "lm": train_lm(spelled), "known": frozenset(spelled), "steps": [(0.0, prior / 2), (1.0, 1.0)]}
-    seen = score(rows.where(hold).select("t", "y"), model, "t", raw=True).select("score", "y").collect()     # at most a quarter of the sample
+    strengths = score(rows.where(hold).select("t", "y"), model, "t", raw=True).groupBy("score", "y").agg(F.count("*").alias("n"))
+    seen = strengths.collect()     # at most two for each share
     scratch.drop()
-    return model | {"steps": isotonic([(r["score"], r["y"], 1 / part[r["y"]]) for r in seen], prior)}
+    return model | {"steps": isotonic([(r["score"], r["y"], float(r["n"]), r["n"]) for r in seen], prior)}
 
 
-def isotonic(points: list[tuple[float, int, float]], prior: float) -> list[tuple[float, float]]:
-    """Rising steps (strength, share of toxic) from (strength, label, weight), by pooling adjacent violators.
+def isotonic(points: list[tuple], prior: float) -> list[tuple[float, float]]:
+    """Rising steps (strength, share of toxic) from (strength, label, weight), by pooling adjacent violators; a fourth
+    number tells of how many documents a point is (1 if not given).
 
     A pool is flat from its weakest to its strongest evidence; between pools the share rises evenly.  A pool's
     share counts one more document, toxic to the extent of ``prior``.
     """
     pools: list[list[float]] = []      # weakest, strongest, toxic weight, weight, rows
-    for x, y, w in sorted(points):
+    for x, y, w, *many in sorted(points):
+        n = many[0] if many else 1
         if pools and pools[-1][1] == x:                  # ties are one point
-            pools[-1][2:] = [u + v for u, v in zip(pools[-1][2:], (y * w, w, 1), strict=True)]
+            pools[-1][2:] = [u + v for u, v in zip(pools[-1][2:], (y * w, w, n), strict=True)]
         else:
-            pools.append([x, x, y * w, w, 1])
+            pools.append([x, x, y * w, w, n])
     merged: list[list[float]] = []
     for p in pools:
         merged.append(p)
@@ -359,7 +359,7 @@ def score(df: DataFrame, model: dict, text: str = "text", raw: bool = False) ->
     ``raw`` gives the strength of the evidence, not calibrated.  Null and empty texts score like texts without
     evidence; of equally strong words the last in order counts.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)   # bounded by the learning sample
+    shared = df.sparkSession.sparkContext.broadcast(model)   # evidence and frequent words
     held: list[Evidence] = []
 
     def fn(batch: pa.RecordBatch) -> list[pa.Array]:
