@@ -194,3 +194,22 @@ def test_tree_shap_cost_does_not_follow_the_number_of_paths():
         out = np.zeros(12)
         tree_shap_row(x, tree, out)
         assert np.allclose(phi, out, atol=1e-8)
+
+
+def test_one_product_and_one_lookup_for_each_branch(monkeypatch):
+    """Leaves of value 0 cost nothing and no factor is divided by row: a chain of splits whose leaves are 0 but for the last."""
+    n_splits, n = 12, 64
+    tree = {c: [] for c in ("left", "right", "feature", "threshold", "value", "cover")}
+    for k in range(n_splits):           # node 2k splits on feature k, its left child 2k + 1 is a leaf
+        for node in ((2 * k + 1, 2 * k + 2, k, 0.0, 0.5, float(n_splits - k + 1)), (-1, -1, -1, 0.0, 0.0, 1.0)):
+            for c, v in zip(tree, node):
+                tree[c].append(v)
+    for c, v in zip(tree, (-1, -1, -1, 0.0, 1.0, 1.0)):
+        tree[c].append(v)
+    lookups, take = [], np.take
+    monkeypatch.setattr(E.np, "take", lambda *a, **k: lookups.append(1) or take(*a, **k))
+    x = np.random.default_rng(0).standard_normal((n, n_splits))
+    phi = E.tree_shap_batch(x, tree)
+    assert len(lookups) == n_splits     # one for each split, none for its leaf of value 0
+    follows = (x > 0).all(axis=1)
+    assert np.allclose(phi.sum(axis=1), follows - 1.0 / (n_splits + 1))
