@@ -61,6 +61,26 @@ def test_host_suffix_array_equals_brute_force(spark):
         assert got[i]["text"] == " ".join(x for k, x in enumerate(t) if k not in gone)
 
 
+def test_suffixes_are_sorted_and_runs_put_together(spark):
+    draw = random.Random(5)
+    rows = [(i, f"h{i % 2}", False, i, [draw.choice("abc") for _ in range(draw.randrange(3, 60))]) for i in range(40)]
+    rows += [(40 + i, "h0", True, 7, ["a"] * 90) for i in range(3)]     # one run longer than a partition
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        streams = spark.createDataFrame(rows, "row long, host string, marked boolean, page long, tokens array<string>")
+        runs = pages.suffix_runs(streams, 3, common.Scratch(spark)).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    want, got = {}, {}
+    for i, host, _, _, tokens in rows:
+        for k in range(len(tokens) - 2):
+            want.setdefault((host, *tokens[k:k + 3]), set()).add((i, k))
+    for r in runs:
+        got.setdefault(r["run"], set()).add((r["row"], r["pos"]))
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert len({r >> 40 for r in got}) > 1      # the sorted suffixes lay in several partitions
+
+
 def test_copies_of_a_page_are_no_boilerplate(spark):
     article = "an account of the flood that came over the valley in the night of the third of may"
     rows = [(i, f"https://h.example/{i}", f"<div><p>{article}</p></div>") for i in range(4)]
