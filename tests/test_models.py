@@ -155,3 +155,24 @@ def test_svc_rbf_features_and_linear_kernel(spark, tiny):
     zx = np.sqrt(2 / 4000) * np.cos(w @ x + b)
     zy = np.sqrt(2 / 4000) * np.cos(w @ y + b)
     assert abs(zx @ zy - np.exp(-0.5 * ((x - y) ** 2).sum())) < 0.05
+
+
+def test_feature_map_is_reckoned_by_the_batch(spark):
+    spec = MD.rff_spec(2, 0.5, 7, seed=1)
+    df = spark.createDataFrame([(0, 0.3, -2), (1, -0.1, 4), (2, None, 1), (3, float("nan"), 1)], "id int, a double, b int")
+    mapped = df.select("id", MD.rff_array(["a", "b"], spec).alias("z"))
+    z = {r["id"]: r["z"] for r in mapped.collect()}
+    for i, x in ((0, (0.3, -2.0)), (1, (-0.1, 4.0))):
+        assert z[i] == pytest.approx(np.sqrt(2 / 7) * np.cos(spec[0] @ np.array(x) + spec[1]), abs=1e-12)
+    assert z[2] == [None] * 7 and np.isnan(z[3]).all()
+    assert df.where("id > 5").select(MD.rff_array(["a", "b"], spec).alias("z")).collect() == []
+    assert "lambda" not in mapped._jdf.queryExecution().toString()      # no interpreted sum per row and component
+
+
+def test_long_fits_start_first(spark, tiny, monkeypatch):
+    started, real = [], MD.fit
+    monkeypatch.setattr(MD, "fit", lambda name, *a, **k: started.append(name) or real("Logistic_Regression", *a, **k))
+    tr, val = tiny.where("split = 'train'"), tiny.where("split = 'val'")
+    board = MD.run_grid({"one": tr, "two": tr}, val, ["a", "b", "c"], "label", models=["Logistic_Regression", "SVC", "XGBoost"], parallel=1)
+    assert started == ["XGBoost", "XGBoost", "SVC", "SVC", "Logistic_Regression", "Logistic_Regression"]
+    assert board.count() == 6 and board.where("error is not null").count() == 0
