@@ -2,6 +2,7 @@
 
 import os
 import tempfile
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,3 +68,25 @@ def test_wide_table_joins_stage_tables_without_an_exchange(spark, no_broadcast):
     assert "Bucketed: true" in _plan(w)
     n = spark.read.parquet(f"{SF001}/orders.parquet").select("o_custkey").distinct().count()
     assert w.count() == n == w.select(F.countDistinct("subject_id")).first()[0]
+
+
+def test_sides_are_laid_at_the_same_time(spark):
+    base = spark.createDataFrame([(1, 10), (2, 20), (None, 30)], "k int, s int")
+    sides = [("one", spark.createDataFrame([(10, "a")], "s int, x string"), "s"),
+             ("two", spark.createDataFrame([(1, 0.5), (3, 1.5)], "k int, y double"), "k")]
+    both = threading.Barrier(2)
+
+    def lay(name, df, key):
+        if not name.startswith("base_"):
+            both.wait(20)          # breaks where one side waits for the other
+        return df
+
+    assert set(laid_wide_join(base, sides, lay).select("k", "s", "x", "y").collect()) == {(1, 10, "a", 0.5), (2, 20, None, None), (None, 30, None, None)}
+
+    def fails(name, df, key):
+        if name == "two":
+            raise ValueError("no space")
+        return df
+
+    with pytest.raises(ValueError, match="no space"):
+        laid_wide_join(base, sides, fails)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -112,9 +113,12 @@ def laid_wide_join(base: DataFrame, sides: Sequence[tuple[str, DataFrame, str]],
     """J2 over stage tables.  ``sides`` are (name, table, key); ``lay(name, table, key)`` stores a table in buckets of its
     key.  Every side is laid out once and the base once per key, so no join of the chain moves a row; a lost executor
     costs the reading of its buckets."""
-    out, by = base, None
-    for name, side, key in sides:
-        if key != by:
-            out, by = lay(f"base_{name}", out, key), key
-        out = wide_join(out, [(lay(name, side, key), key)])
+    with ThreadPoolExecutor(max_workers=max(1, len(sides))) as pool:
+        # the sides do not depend on each other or on the base: their jobs share the cluster
+        laid = [pool.submit(lay, name, side, key) for name, side, key in sides]
+        out, by = base, None
+        for (name, _, key), side in zip(sides, laid):
+            if key != by:
+                out, by = lay(f"base_{name}", out, key), key
+            out = wide_join(out, [(side.result(), key)])
     return out
