@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from vitalis.operators import explain as E
+from vitalis.operators import forest as FO
 
 
 def _extend(m, pz, po, pi):
@@ -213,3 +214,43 @@ def test_one_product_and_one_lookup_for_each_branch(monkeypatch):
     assert len(lookups) == n_splits     # one for each split, none for its leaf of value 0
     follows = (x > 0).all(axis=1)
     assert np.allclose(phi.sum(axis=1), follows - 1.0 / (n_splits + 1))
+
+
+def _chain(d, rng):
+    """A tree whose longest path splits on each of ``d`` features once, then on the first one again."""
+    n = 2 * (d + 1) + 1
+    t = {"left": [-1] * n, "right": [-1] * n, "feature": [-1] * n, "threshold": [0.0] * n, "value": rng.random(n).tolist(), "cover": [0.0] * n}
+    at, cover = 0, 4096.0
+    for k in range(d + 1):
+        t["left"][at], t["right"][at], t["feature"][at], t["threshold"][at], t["cover"][at] = 2 * k + 1, 2 * k + 2, k % d, -0.5 if k == d else 0.0, cover
+        t["cover"][2 * k + 2] = cover * 0.3
+        at, cover = 2 * k + 1, cover * 0.7
+    t["cover"][at] = cover
+    return t
+
+
+@pytest.mark.parametrize("d", [4, 9, 22])
+def test_states_of_a_path_are_reckoned_once_whatever_the_batch(d):
+    """All states of short paths, those that occur of longer ones: a row's values do not depend on the rows beside it, and add up."""
+    rng = np.random.default_rng(d)
+    tree, x = _chain(d, rng), np.random.default_rng(1).normal(size=(3000, d)) - 1.5
+    phi = E.tree_shap_batch(x, tree)
+    assert np.allclose(phi[:5], np.vstack([E.tree_shap_batch(x[i:i + 1], tree) for i in range(5)]), atol=1e-12)
+    left, cover, value = (np.array(tree[c]) for c in ("left", "cover", "value"))
+    expected = (cover * value)[left < 0].sum() / cover[0]
+    assert np.allclose(phi.sum(axis=1) + expected, FO._descend(x, tree), atol=1e-9)
+    z = [0.7, 0.2, 0.9]
+    assert np.allclose(E.leaf_table(z, 2.0), E.leaf_table(z, 2.0, np.arange(8)))
+    assert np.isclose(E.leaf_table(z, 2.0)[:, 7].sum(), 2.0 * (1 - np.prod(z)))
+
+
+def test_few_rows_are_explained_by_all_cores(spark):
+    """One block of rows: its trees are dealt over the tasks, so that no leaf is reckoned for every few rows anew."""
+    rows = spark.createDataFrame([(i, float(i % 7), float(i % 5), int(i % 3 == 0)) for i in range(200)], "id long, a double, b double, label int")
+    model = FO.fit_forest(rows, ["a", "b"], params={"numTrees": 12, "maxDepth": 4})
+    explained, expected = E.explained_rows(rows, "id", ["a", "b"], model)
+    plan = explained._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and "sum" in plan      # the slices' values are added up by row
+    got = {r["row_id"]: sum(r["phi"]) + expected for r in explained.collect()}
+    scores = {r["id"]: r["score"] for r in model.transform(rows).collect()}
+    assert len(got) == 200 and all(abs(got[i] - scores[i]) < 1e-9 for i in scores)
