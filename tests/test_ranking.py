@@ -140,3 +140,39 @@ def test_exact_knn_deals_a_large_block_into_tiles(spark, monkeypatch):
     assert all(abs(a[3] - b[3]) < 1e-12 for a, b in zip(sorted(exact, key=lambda r: (r[0], r[2])), want))
     assert sorted((r["q_id"], r["c_id"]) for r in tiles.collect()) == sorted(inside)
     assert N.exact_knn(df.limit(1), 4).collect() == [] and N.exact_knn(df.limit(0), 4).collect() == []
+
+
+def test_vectors_are_sent_once_to_a_group_of_blocks(spark, monkeypatch):
+    """Evenly spread points visit nearly all blocks: a point goes to few groups, and the neighbours are those of brute force."""
+    rng = np.random.default_rng(8)
+    pts = rng.normal(size=(600, 12)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(pts)], "id long, x array<float>")
+    sent = []
+
+    def spy(q, own, k, real=N._inside):
+        sent.append((q.count(), q.schema["qx"].dataType.simpleString()))
+        return real(q, own, k)
+
+    monkeypatch.setattr(N, "_inside", spy)
+    got = {(r["q_id"], r["rank"]): r["c_id"] for r in N.exact_knn(df, 3, n_blocks=50).collect()}
+    assert sent[1][0] <= 8 * len(pts) and sent[1][1] == "array<float>"      # about 50 times before
+    x = pts.astype(float)
+    for i in range(len(x)):
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        d[i] = np.inf
+        assert [got[(i, r)] for r in (1, 2, 3)] == np.lexsort((np.arange(len(x)), d))[:3].tolist()
+
+
+def test_orders_of_projections_carry_no_vectors(spark, monkeypatch):
+    df = spark.createDataFrame([(i, [float(i % 10), float(i // 10)]) for i in range(300)], "id long, x array<double>")
+    columns = []
+
+    def spy(rows, *a, real=N.range_ranked):
+        columns.extend(rows.columns)
+        return real(rows, *a)
+
+    monkeypatch.setattr(N, "range_ranked", spy)
+    monkeypatch.setattr(N, "SPAN", 32)      # several spans of two cells
+    found = N.projection_knn(df, 2, tables=6, cell=16)
+    assert N.recall(found, N.exact_knn(df, 2)).first()["recall"] > 0.9
+    assert "x" not in columns
